@@ -92,3 +92,9 @@ def training_fold(ids: Column) -> Column:
 
 def all_of(conds: list[Column]) -> Column:
     return functools.reduce(lambda a, b: a & b, conds)
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """At most so many rows in an Arrow batch, since texts may be long."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
