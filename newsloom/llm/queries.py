@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from newsloom.llm import bpe, classifier, fingerprints, licenses, mixing, neardup, quality, toxicity, warc
+from newsloom.llm import bpe, classifier, fingerprints, licenses, mixing, neardup, pii, quality, toxicity, warc
 
 
 def queries() -> dict:
-    found = [bpe.op1_bpe, quality.op2_quality, licenses.op3_licenses, fingerprints.op4_fingerprints, neardup.op5_neardup, warc.op6_warc, classifier.op7_classifier, mixing.op9_mixing, toxicity.op10_toxicity]
+    found = [bpe.op1_bpe, quality.op2_quality, licenses.op3_licenses, fingerprints.op4_fingerprints, neardup.op5_neardup, warc.op6_warc, classifier.op7_classifier, pii.op8_pii, mixing.op9_mixing, toxicity.op10_toxicity]
     return {f.__name__: f for f in found}
 
 
