@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import bpe, mixing, neardup, pii, quality
-from newsloom.llm.common import Scratch, read_table
+from newsloom.llm.common import Scratch, read_table, where_computed
 
 #: The steps need Python and counts of the whole corpus, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
@@ -19,7 +19,7 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the likelihood ratio reject go."""
     judged = quality.quality_rules(docs, quality.trusted_ids(spark, sf_dir), keep=docs.columns)
-    return judged.where("_nl_kept").select(*docs.columns)
+    return where_computed(judged, F.col("_nl_kept")).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,3 +98,10 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """At most so many rows in an Arrow batch, since texts may be long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def where_computed(df: DataFrame, cond: Column) -> DataFrame:
+    """df.where(cond) on columns that cost much to compute. A plain filter would be pushed down through their projection, and each
+    mention of such a column would then be computed again, within lambdas even once an element; it is not pushed past a column
+    that is not deterministic."""
+    return df.withColumn("_nl_row", F.monotonically_increasing_id()).where((F.col("_nl_row") >= 0) & cond).drop("_nl_row")
