@@ -5,13 +5,15 @@ token among the first n - ceil(t n) + 1 of each. The first order puts the corpus
 (token, set) meet by token. Pairs are kept only if the number of prefix tokens that they share allows the needed overlap, then
 if their prefixes meet under every further order, and are then verified exactly.
 
-Groups of copies never become all pairs. Equal texts are one class before anything else. In the first round each posting list
-links its members with its first one; what one component holds already is not compared again. Only members of different
-components are, in lists of a bounded length all at once, in longer ones a bounded number of leaders against the list a round.
+Groups of copies never become all pairs. Equal texts are one class before anything else. A first round compares each set with
+the one that leads most of its posting lists. What one component then holds is not compared again: only
+members of different components whose sizes and places in the list allow a link are, in lists of a bounded length all at once, in
+longer ones a bounded number of leaders against the list a round.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +30,11 @@ from newsloom.llm.features import mix
 WORDS, NUM, DEN = 5, 4, 5
 #: Further token orders under which prefixes must meet.
 ORDERS = (11, 12)
-#: Counters of the Misra-Gries summary of a task, and heavy tokens at most that are put last. They bound memory and the broadcast;
-#: results are the same for any set of heavy tokens.
-COUNTERS, MOST_HEAVY, HEAVY_FROM = 1 << 14, 1 << 16, 40
+#: Counters of hashed tokens. Their sums over all documents tell which tokens are heavy; they bound memory and the broadcast.
+#: Results are the same for any counts.
+COUNTERS, CHUNKS = 1 << 22, 64
 #: Posting lists up to this length are compared pair by pair; of longer ones, so many leaders a round.
-LIST = 64
+LIST = 1024
 
 
 def prefix_length(n):
@@ -54,14 +56,11 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(mix(out, WORDS))
 
 
-def prefix(tokens: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """The first tokens in the index's order: by hash, heavy ones last."""
+def prefix(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The first tokens in the index's order: by the class of their frequency, then by hash."""
     p = prefix_length(len(tokens))
-    if len(heavy) and len(tokens):
-        on = heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] == tokens
-        if on.any():
-            tokens = np.concatenate([tokens[~on], tokens[on]])
-    return tokens[:p]
+    own = classes[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    return tokens[np.argsort(own, kind="stable")[:p]] if own.any() else tokens[:p]
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -86,54 +85,80 @@ def _signature(text: str) -> tuple[int, int]:
     return xxhash.xxh64_intdigest(data, 2), xxhash.xxh64_intdigest(data, 3)
 
 
-class Heavy:
-    """Misra-Gries counters over the tokens of all documents of a task."""
+class Counts:
+    """Counters of hashed tokens over all documents of a task, each up to 255."""
 
     def __init__(self):
-        self.tokens, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def add(self, sets: list[np.ndarray]) -> None:
-        if not sets:
-            return
-        tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-        more = counts > 1
-        known = np.isin(tokens, self.tokens, assume_unique=True) if len(self.tokens) else np.zeros(len(tokens), bool)
-        tokens, counts = tokens[more | known], counts[more | known]
-        both, at = np.unique(np.concatenate([self.tokens, tokens]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([self.counts, counts]), len(both)).astype(np.int64)
-        if len(both) > COUNTERS:
-            least = np.partition(total, len(total) - COUNTERS - 1)[len(total) - COUNTERS - 1]
-            both, total = both[total > least], total[total > least] - least
-        self.tokens, self.counts = both, total
+        self.counts, self.waiting, self.size = np.zeros(COUNTERS, np.uint8), [], 0
+
+    def add(self, tokens: np.ndarray) -> None:
+        self.waiting.append(tokens)
+        self.size += len(tokens)
+        if self.size >= 1 << 20:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.waiting:
+            at, n = np.unique((np.concatenate(self.waiting) & np.uint64(COUNTERS - 1)).astype(np.int32), return_counts=True)
+            self.counts[at] = np.minimum(self.counts[at] + n, 255)
+            self.waiting, self.size = [], 0
+
+    def chunks(self) -> list[bytes]:
+        self.flush()
+        return [zlib.compress(x.tobytes(), 1) for x in np.split(self.counts, CHUNKS)]
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: 0, a document with its signature and set size; 1, a heavy token of a task with its count."""
+    """Rows of two kinds: 0, a document with its signature and set size; 1, a chunk (n) of a task's counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = Heavy()
-        names = ["kind", "doc_id", "sig", "sig2", "n"]
+        counts = Counts()
+        names = ["kind", "doc_id", "sig", "sig2", "n", "data"]
         for b in batches:
-            sets = [shingles(t.as_py() or "") for t in b.column("text")]
-            heavy.add(sets)
+            sizes = []
+            for t in b.column("text"):
+                tokens = shingles(t.as_py() or "")
+                counts.add(tokens)
+                sizes.append(len(tokens))
             sigs = np.array([_signature(t.as_py() or "") for t in b.column("text")], np.uint64).reshape(-1, 2)
+            k = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(sets), np.int32)), b.column("doc_id"), _signed(sigs[:, 0].copy()), _signed(sigs[:, 1].copy()), pa.array([len(s) for s in sets], pa.int64())], names=names
+                [pa.array(np.zeros(k, np.int32)), b.column("doc_id"), _signed(sigs[:, 0].copy()), _signed(sigs[:, 1].copy()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.binary())], names=names
             )
-        if k := len(heavy.tokens):
-            none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), none, _signed(heavy.tokens), none, pa.array(heavy.counts)], names=names)
+        none = pa.nulls(CHUNKS, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(CHUNKS, np.int32)), none, none, none, pa.array(range(CHUNKS), pa.int64()), pa.array(counts.chunks(), pa.binary())], names=names)
+
+    return docs.mapInArrow(run, "kind int, doc_id long, sig long, sig2 long, n long, data binary")
+
+
+def frequency_classes(chunks: DataFrame) -> np.ndarray:
+    """A byte for each counter: 0 for what chance gives, else the logarithm of what exceeds it. chunks: (n, data) of all tasks;
+    each is summed where it meets its like, and the sums, COUNTERS numbers in all, come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for n, data in zip(b.column("n"), b.column("data"), strict=True):
+                one = np.frombuffer(zlib.decompress(data.as_py()), np.uint8)
+                sums[n.as_py()] = sums.get(n.as_py(), 0) + one.astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["n", "data"])
 
-    return docs.mapInArrow(run, "kind int, doc_id long, sig long, sig2 long, n long")
+    total = np.zeros(COUNTERS, np.uint32)
+    step = COUNTERS // CHUNKS
+    for r in chunks.repartition(16, "n").mapInArrow(run, "n long, data binary").collect():
+        total[r.n * step : (r.n + 1) * step] = np.frombuffer(zlib.decompress(bytes(r.data)), np.uint32)
+    mean = total.mean()
+    above = np.maximum(total - (mean + 4 * np.sqrt(mean) + 8), 0)
+    return np.where(above > 0, 1 + np.log2(np.maximum(above, 1)), 0).astype(np.uint8)
 
 
-def postings(docs: DataFrame, heavy) -> DataFrame:
-    """(token, sig, n) for the prefix of every document's set; a task gives a text that it meets again only once."""
+def postings(docs: DataFrame, classes) -> DataFrame:
+    """(token, sig, n, pos) for the prefix of every document's set; a task gives a text that it meets again only once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, met = heavy.value, set()
+        by_class, met = classes.value, set()
         for b in batches:
-            found, sigs, sizes = [], [], []
+            found, sigs, sizes, places = [], [], [], []
             for t in b.column("text"):
                 t = t.as_py() or ""
                 sig = _signature(t)[0]
@@ -142,14 +167,15 @@ def postings(docs: DataFrame, heavy) -> DataFrame:
                 if len(met) < 1_000_000:
                     met.add(sig)
                 tokens = shingles(t)
-                p = prefix(tokens, last)
+                p = prefix(tokens, by_class)
                 found.append(p)
                 sigs.append(np.full(len(p), sig, np.uint64))
                 sizes.append(np.full(len(p), len(tokens), np.int64))
+                places.append(np.arange(len(p), dtype=np.int64))
             if found:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), _signed(np.concatenate(sigs)), pa.array(np.concatenate(sizes))], names=["token", "sig", "n"])
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), _signed(np.concatenate(sigs)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "sig", "n", "pos"])
 
-    return docs.mapInArrow(run, "token long, sig long, n long")
+    return docs.mapInArrow(run, "token long, sig long, n long, pos long")
 
 
 def may_link(shared: Column, n: Column, m: Column) -> Column:
@@ -160,6 +186,20 @@ def may_link(shared: Column, n: Column, m: Column) -> Column:
     return (F.least(n, m) * DEN >= F.greatest(n, m) * NUM) & (shared + F.greatest(rest(n), rest(m)) >= needed)
 
 
+def reaches(n: Column, pos: Column, m: Column) -> Column:
+    """If two sets first meet in a token that stands at pos of n tokens, they share the n - pos from there at most; a partner of m
+    tokens needs (n + m) t / (1 + t) of them."""
+    return (NUM + DEN) * (n - pos) >= NUM * (n + m)
+
+
+def meeting(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (a, b, n_a, n_b) whose prefixes share enough."""
+    one = prefixes.select(F.col("sig").alias("a"), F.col("tokens").alias("tokens_a"))
+    two = prefixes.select(F.col("sig").alias("b"), F.col("tokens").alias("tokens_b"))
+    both = pairs.join(one, "a").join(two, "b")
+    return both.where(may_link(F.size(F.array_intersect("tokens_a", "tokens_b")), F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b) of the pairs that link, by their whole texts. texts: (sig, text)."""
 
@@ -215,42 +255,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = scratch.keep(scan(docs), "scan")
-    own = seen.where("kind = 0").drop("kind")
-    top = seen.where("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_FROM).orderBy(F.desc("n"), "sig").limit(MOST_HEAVY)
-    heavy = np.array(sorted(r.sig & 0xFFFFFFFFFFFFFFFF for r in top.collect()), np.uint64)
+    own = seen.where("kind = 0").drop("kind", "data")
+    classes_of_counts = spark.sparkContext.broadcast(frequency_classes(seen.where("kind = 1").select("n", "data")))
     classes = scratch.keep(own.where("n > 0").groupBy("sig", "sig2").agg(F.min("doc_id").alias("rep")), "classes")
 
     # Posting lists with two sets or more.
     over = Window.partitionBy("token")
-    lists = postings(docs, spark.sparkContext.broadcast(heavy)).withColumn("low", F.min("sig").over(over)).withColumn("high", F.max("sig").over(over))
-    lists = scratch.keep(lists.where("low <> high").groupBy("token", "sig").agg(F.first("n").alias("n")), "lists")
+    lists = postings(docs, classes_of_counts).withColumn("low", F.min("sig").over(over)).withColumn("high", F.max("sig").over(over))
+    lists = scratch.keep(lists.where("low <> high").groupBy("token", "sig").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "lists")
     held = lists.select("sig").distinct().join(classes, "sig").where("rep is not null").select("sig", F.col("rep").alias("doc_id"))
     texts = scratch.keep(docs.where("text is not null").join(held.hint("shuffle_hash"), "doc_id").select("sig", "text").dropDuplicates(["sig"]), "texts")
 
     prefixes = scratch.keep(lists.groupBy("sig").agg(F.collect_list("token").alias("tokens")), "prefixes")  # a row is as long as a text's prefix
 
-    links, comps, k = None, None, 0
+    # Members that share enough lists with the set that has the list's token earliest: nearly all of them link. In a group of
+    # copies that is the text with the fewest words of its own.
+    useful = lists.withColumn("least", F.min("n").over(over)).where(reaches(F.col("n"), F.col("pos"), F.col("least")))
+    first = useful.withColumn("low", F.min(F.struct("pos", "sig", "n")).over(over)).where(F.col("low.sig") != F.col("sig"))
+    first = first.groupBy(F.col("sig").alias("b"), F.col("low.sig").alias("a")).agg(F.count(F.lit(1)).alias("shared"), F.first("low.n").alias("n_a"), F.first("n").alias("n_b"))
+    first = first.groupBy("b").agg(F.max(F.struct("shared", "a", "n_a", "n_b")).alias("x")).select("x.a", "b", "x.n_a", "x.n_b")
+    links = scratch.keep(verify(meeting(first, prefixes), texts), "links")
+    comps = components(links, scratch, "comps")
+
+    k = 0
     while True:
-        left = lists if comps is None else lists.join(comps, "sig", "left")
-        left = left.withColumn("comp", F.col("sig") if comps is None else F.coalesce("comp", "sig"))
+        left = lists.join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+        left = left.withColumn("least", F.min("n").over(over)).where(reaches(F.col("n"), F.col("pos"), F.col("least")))
         left = left.withColumn("low", F.min("comp").over(over)).withColumn("high", F.max("comp").over(over)).where("low <> high")
-        left = left.withColumn("members", F.count(F.lit(1)).over(over)).withColumn("no", F.row_number().over(over.orderBy("sig")))
-        left = scratch.keep(left.select("token", "sig", "n", "comp", "members", "no"), f"left-{k}")
-        if k and not left.limit(1).count():
-            break
-        leaders = F.lit(1) if k == 0 else F.lit(LIST)
-        a = left.where(F.col("no") <= leaders).select("token", F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), F.col("no").alias("no_a"))
-        b = left.select("token", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("no").alias("no_b"))
-        met = a.join(b, "token").where((F.col("no_a") < F.col("no_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM))
-        met = met.select("a", "b", "n_a", "n_b").distinct()
-        met = met.join(prefixes.select(F.col("sig").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(prefixes.select(F.col("sig").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-        pairs = met.where(may_link(F.size(F.array_intersect("tokens_a", "tokens_b")), F.col("n_a"), F.col("n_b")))
-        found = scratch.keep(verify(pairs.select("a", "b"), texts), f"links-{k}")
-        links = found if links is None else scratch.keep(links.union(found).distinct(), f"all-{k}")
-        comps = components(links, scratch, f"comps-{k}")
-        lists = scratch.keep(left.where((F.col("members") > LIST) | F.lit(k == 0)).where(F.col("no") > leaders).select("token", "sig", "n"), f"rest-{k}")
-        scratch.drop(f"left-{k}")
+        left = left.withColumn("members", F.count(F.lit(1)).over(over)).withColumn("no", F.row_number().over(over.orderBy("pos", "sig")))
+        left = scratch.keep(left.select("token", "sig", "n", "pos", "comp", "members", "no"), f"left-{k}")
+        a = left.where(F.col("no") <= LIST).select("token", *[F.col(c).alias(f"{c}_a") for c in ("sig", "n", "pos", "comp", "no")])
+        b = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("sig", "n", "pos", "comp", "no")])
+        fits = reaches(F.col("n_a"), F.col("pos_a"), F.col("n_b")) & reaches(F.col("n_b"), F.col("pos_b"), F.col("n_a"))
+        met = a.join(b, (a["token"] == b["token"]) & (F.col("no_a") < F.col("no_b")) & (F.col("comp_a") != F.col("comp_b")) & fits)
+        met = met.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"), "n_a", "n_b")
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
+        met = met.distinct()
+        found = scratch.keep(verify(meeting(met, prefixes), texts), f"links-{k}")
+        if found.limit(1).count():
+            links = scratch.keep(links.union(found), f"all-{k}")
+            comps = components(links, scratch, f"comps-{k}")
+        lists = left.where((F.col("members") > LIST) & (F.col("no") > LIST)).select("token", "sig", "n", "pos")
         k += 1
+        if not lists.limit(1).count():
+            break
 
     named = classes.join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", F.col("sig")))
     by_comp = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
