@@ -6,6 +6,7 @@ import base64
 import heapq
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,7 @@ class Codec:
         self.rank = {t: i for i, t in enumerate(tokens) if t}
         self.split = regex.compile(pattern).findall
         self.pieces: dict[str, list[int]] = {}
+        self.packed: dict[str, tuple[bytes, bytes]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def merge(self, data: bytes) -> list[int]:
@@ -141,6 +143,22 @@ class Codec:
             out += self.piece(p)
         return out
 
+    def pack(self, text: str) -> tuple[bytes, bytes]:
+        """A piece's ids as 32-bit numbers, and the bytes that they decode to."""
+        ids = self.tree(text.encode())
+        found = np.array(ids, "<i4").tobytes(), self.decode(ids)
+        if len(text) <= 4 * LEAF:
+            if len(self.packed) >= MEMO:
+                self.packed.clear()
+            self.packed[text] = found
+        return found
+
+    def round_trip(self, text: str) -> tuple[bytes, bytes]:
+        """Ids and decoded bytes of a text, both the concatenation of its pieces' own."""
+        get, pack = self.packed.get, self.pack
+        parts = [get(p) or pack(p) for p in self.split(text)]
+        return b"".join([a for a, _ in parts]), b"".join([b for _, b in parts])
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -181,15 +199,13 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
         own = codec()
 
         def work(texts: pa.Array):
-            offsets, flat, back = [0], [], []
-            parts = []
+            offsets, parts, back = [0], [], []
             for t in texts:
-                found = own.encode(t.as_py() or "")
-                parts.append(pa.array(found, pa.int32()))
-                offsets.append(offsets[-1] + len(found))
-                if decoded:
-                    back.append(own.decode(found))
-            flat = pa.concat_arrays(parts) if parts else pa.array([], pa.int32())
+                packed, data = own.round_trip(t.as_py() or "")
+                parts.append(packed)
+                offsets.append(offsets[-1] + len(packed) // 4)
+                back.append(data)
+            flat = pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32())
             arrays = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]
             return (arrays + [pa.array(back, pa.binary())], [ids, decoded]) if decoded else (arrays, [ids])
 
