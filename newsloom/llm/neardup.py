@@ -109,11 +109,11 @@ class Counts:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: 0, a document with its signature and set size; 1, a chunk (n) of a task's counters."""
+    """Rows of two kinds: 0, a document with its text's hash h, its signature and set size; 1, a chunk (n) of a task's counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts()
-        names = ["kind", "doc_id", "sig", "sig2", "n", "data"]
+        names = ["kind", "doc_id", "h", "sig", "sig2", "n", "data"]
         for b in batches:
             sizes = []
             for t in b.column("text"):
@@ -123,12 +123,12 @@ def scan(docs: DataFrame) -> DataFrame:
             sigs = np.array([_signature(t.as_py() or "") for t in b.column("text")], np.uint64).reshape(-1, 2)
             k = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(k, np.int32)), b.column("doc_id"), _signed(sigs[:, 0].copy()), _signed(sigs[:, 1].copy()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.binary())], names=names
+                [pa.array(np.zeros(k, np.int32)), b.column("doc_id"), b.column("h"), _signed(sigs[:, 0].copy()), _signed(sigs[:, 1].copy()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.binary())], names=names
             )
         none = pa.nulls(CHUNKS, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(CHUNKS, np.int32)), none, none, none, pa.array(range(CHUNKS), pa.int64()), pa.array(counts.chunks(), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(CHUNKS, np.int32)), none, none, none, none, pa.array(range(CHUNKS), pa.int64()), pa.array(counts.chunks(), pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "kind int, doc_id long, sig long, sig2 long, n long, data binary")
+    return docs.mapInArrow(run, "kind int, doc_id long, h long, sig long, sig2 long, n long, data binary")
 
 
 def frequency_classes(chunks: DataFrame) -> np.ndarray:
@@ -243,28 +243,34 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, text_hash: str | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs: the size of its set of shingles and the smallest doc_id that links
     of Jaccard similarity NUM / DEN or more reach.
 
     Null texts and texts without words have no shingles and link with nothing. Rows with a null doc_id are compared like others
-    but cannot name a component. Repeated rows have equal results. An empty table gives none. Other columns are ignored.
+    but cannot name a component. Repeated rows have equal results; rows that repeat a doc_id with other texts are compared each
+    by its own text, and `text_hash` names a column with xxhash64(text) that tells them apart. An empty table gives none. Other
+    columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "neardup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     seen = scratch.keep(scan(docs), "scan")
     own = seen.where("kind = 0").drop("kind", "data")
+    # A class is known by one row: the least id, unless all are null, and of the rows that repeat it the least hash of a text.
+    least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h"))
     classes_of_counts = spark.sparkContext.broadcast(frequency_classes(seen.where("kind = 1").select("n", "data")))
-    classes = scratch.keep(own.where("n > 0").groupBy("sig", "sig2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = own.where("n > 0").groupBy("sig", "sig2").agg(least.alias("x"))
+    classes = scratch.keep(classes.select("sig", "sig2", F.col("x.doc_id").alias("rep"), F.col("x.h").alias("h")), "classes")
 
     # Posting lists with two sets or more.
     over = Window.partitionBy("token")
-    lists = postings(docs, classes_of_counts).withColumn("low", F.min("sig").over(over)).withColumn("high", F.max("sig").over(over))
+    lists = postings(docs.select("text"), classes_of_counts).withColumn("low", F.min("sig").over(over)).withColumn("high", F.max("sig").over(over))
     lists = scratch.keep(lists.where("low <> high").groupBy("token", "sig").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "lists")
-    held = lists.select("sig").distinct().join(classes, "sig").where("rep is not null").select("sig", F.col("rep").alias("doc_id"))
-    texts = scratch.keep(docs.where("text is not null").join(held.hint("shuffle_hash"), "doc_id").select("sig", "text").dropDuplicates(["sig"]), "texts")
+    held = lists.select("sig").distinct().join(classes, "sig").select("sig", "rep", "h").hint("shuffle_hash")
+    named_by = docs["doc_id"].eqNullSafe(held["rep"]) & (docs["h"] == held["h"])
+    texts = scratch.keep(docs.where("text is not null").join(held, named_by).select("sig", "text").dropDuplicates(["sig"]), "texts")
 
     prefixes = scratch.keep(lists.groupBy("sig").agg(F.collect_list("token").alias("tokens")), "prefixes")  # a row is as long as a text's prefix
 
@@ -304,7 +310,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     by_comp = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_class = scratch.keep(named.join(by_comp, "comp").select("sig", "sig2", "component_id"), "named")
     out = own.join(of_class, ["sig", "sig2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", *([F.col("h").alias(text_hash)] if text_hash else []), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,6 +171,17 @@ def test_neardup_tables(docs, none):
     assert [c for i, _, c in out if i in (5, 6, 7, 8)] == [5] * 5 and (None, 0, None) in out and (None, 116, 5) in out
 
 
+def test_neardup_repeated_and_null_ids(spark):
+    """An id with two texts links by each of its own; a row without id still links its neighbours."""
+    w = [f"c{i}" for i in range(104)]
+    chain = [" ".join(w[:100]), " ".join(w[4:] + ["x1", "x2"]), " ".join(w[13:] + ["x1", "x2", "y1", "y2"])]
+    rows = [(3, BASE), (5, BASE.replace("word50 ", "")), (5, "quite another text of some eight words here"), (7, chain[0]), (None, chain[1]), (9, chain[2])]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), text_hash="h").collect()
+    brute = brute_components([(k if i is None else i * 10 + k, t) for k, (i, t) in enumerate(rows)])
+    assert len({c for i, (_, c) in brute.items() if i in (73, 4, 95)}) == 1
+    assert sorted((str(r.doc_id), r.component_id) for r in out) == [("3", 3), ("5", 3), ("5", 5), ("7", 7), ("9", 7), ("None", 7)]
+
+
 def test_lists_beyond_the_bound(spark, monkeypatch):
     monkeypatch.setattr(neardup, "LIST", 4)
     rows = [(i, " ".join([f"p{k}" for k in range(40)] + [f"q{i % 12}"] * (i % 5))) for i in range(60)]
