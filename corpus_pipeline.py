@@ -23,10 +23,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id stays. Rows that repeat one doc_id are one document."""
-    groups = neardup.near_duplicates(docs)
-    gone = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of linked documents, the one with the smallest doc_id stays. Rows that repeat an id and text are one document."""
+    groups = neardup.near_duplicates(docs, text_hash="_nl_h")
+    gone = groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_nl_id"), "_nl_h").distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["_nl_id"]) & (F.xxhash64(docs["text"]) == gone["_nl_h"]), "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
