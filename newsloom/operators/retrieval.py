@@ -101,6 +101,23 @@ def ranker_top(d: Spark) -> str:
     return _features(d) + f" SELECT article_id, score, rn FROM (SELECT article_id, round({_score()}, 4) AS score, row_number() OVER (ORDER BY round({_score()}, 4) DESC, reliability DESC, article_id) AS rn FROM featured) x WHERE rn <= 10"
 
 
+def ranker_score(d: Spark) -> str:
+    """The logistic score of every candidate."""
+    return _features(d) + f" SELECT article_id, round({_score()}, 4) AS score FROM featured"
+
+
+def knn_events(d: Spark, k: int = 3) -> str:
+    """The k story events whose mean vector is nearest each of a bounded set of query vectors."""
+    n = "generate_subscripts(embedding, 1)" if d.name == "duck" else "pos"
+    flat = f"SELECT label, unnest(embedding) AS x, {n} AS pos FROM embeddings" if d.name == "duck" else "SELECT label, x, pos + 1 AS pos FROM embeddings LATERAL VIEW posexplode(embedding) p AS pos, x"
+    query = flat.replace("label,", "vec_id,").replace("FROM embeddings", "FROM (SELECT * FROM embeddings WHERE vec_id < 5) e", 1)
+    return f"""WITH flat AS ({flat}), mean AS (SELECT label AS event_id, pos, avg(cast(x AS double)) AS x FROM flat GROUP BY label, pos), norms AS (SELECT event_id, sqrt(sum(x * x)) AS norm FROM mean GROUP BY event_id),
+        q AS ({query}), sizes AS (SELECT vec_id, sqrt(sum(cast(x AS double) * x)) AS norm FROM q GROUP BY vec_id),
+        dots AS (SELECT q.vec_id, m.event_id, sum(cast(q.x AS double) * m.x) AS dot FROM q JOIN mean m ON m.pos = q.pos GROUP BY q.vec_id, m.event_id),
+        near AS (SELECT d.vec_id AS query_id, d.event_id, round(d.dot / nullif(s.norm * n.norm, 0), 6) AS similarity FROM dots d JOIN sizes s ON s.vec_id = d.vec_id JOIN norms n ON n.event_id = d.event_id)
+        SELECT query_id, event_id, similarity, rn FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, event_id) AS rn FROM near) x WHERE rn <= {k}"""
+
+
 def sufficiency_gate(d: Spark) -> str:
     return _composite(d) + " SELECT count(*) AS candidates, count(CASE WHEN composite >= 0.45 THEN 1 END) AS relevant, count(CASE WHEN composite >= 0.45 THEN 1 END) >= 1 AS sufficient FROM composed"
 
@@ -142,5 +159,5 @@ def confusion(d: Spark) -> str:
 
 
 QUERIES = [
-    cosine_topk, lexical_lane, lane_union, token_overlap, temporal_score, composite_rerank, ranker_features, ranker_top, sufficiency_gate, weak_labels, time_split, threshold_sweep, ranking_metrics, confusion,
+    cosine_topk, lexical_lane, lane_union, token_overlap, temporal_score, composite_rerank, ranker_features, ranker_score, ranker_top, knn_events, sufficiency_gate, weak_labels, time_split, threshold_sweep, ranking_metrics, confusion,
 ]

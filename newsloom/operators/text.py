@@ -174,7 +174,80 @@ def region_activity(d: Spark) -> str:
     return with_tables(d, ["story_events"], f"SELECT region, count(DISTINCT event_id) AS events FROM ({' UNION ALL '.join(parts)}) x GROUP BY region")
 
 
+def tracking_params(d: Spark) -> str:
+    """How many parameters of an address only track."""
+    tracks = d.keep(d.words("split_part(url, '?', 2)", "&"), d.rlike("x", "^(?:utm_[^=]*|" + "|".join(TRACKING) + ")(?:=|$)"))
+    return f"SELECT page_id, {d.integer(d.size(tracks))} AS tracking_params FROM pages"
+
+
+def wire_sql(d: Spark, x: str, wires: dict[str, str]) -> str:
+    """The first service whose signature x holds, else null. Boundaries are those of ASCII words in both engines."""
+    edge = (r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])", r"\b")[d.name == "duck"]
+    arms = " ".join(f"WHEN {d.rlike(x, p.replace(chr(92) + 'b', f'(?:{edge})'))} THEN {d.text(name)}" for name, p in wires.items())
+    return f"CASE {arms} END"
+
+
+def wire_service(d: Spark) -> str:
+    return with_tables(d, ["articles", "sources"], f"""
+        SELECT article_id, {wire_sql(d, "said", V.FIXTURE_WIRES)} AS wire, {wire_sql(d, "said", V.WIRES)} AS news_wire FROM (
+        SELECT a.article_id, coalesce(a.title, '') || ' ' || coalesce(s.name, '') || ' ' || left(coalesce(a.summary, ''), 300) AS said FROM articles a LEFT JOIN sources s ON s.source_id = a.source_id) x""")
+
+
+def hierarchy_sql(d: Spark, name: str, kind: str, url: str) -> str:
+    """The first level that the source's type equals, or whose marks its address or name contains."""
+    arms = []
+    for level, (kinds, urls, names) in V.HIERARCHY.items():
+        conds = [f"lower({kind}) = {d.text(x)}" for x in kinds] + [f"contains(lower({url}), {d.text(x)})" for x in urls] + [f"contains(lower({name}), {d.text(x)})" for x in names]
+        arms.append(f"WHEN {' OR '.join(conds)} THEN {d.text(level)}")
+    return f"CASE {' '.join(arms)} ELSE 'SECONDARY_REPORT' END"
+
+
+def source_hierarchy(d: Spark) -> str:
+    """Levels of the addresses of pages and, by name and type, of the sources; every third source passes for one without a type."""
+    return with_tables(d, ["sources"], f"""
+        SELECT 'page' AS kind, page_id AS id, {hierarchy_sql(d, "''", "''", "url")} AS level FROM pages
+        UNION ALL SELECT 'source', source_id, {hierarchy_sql(d, "name", "CASE WHEN source_id % 3 = 1 THEN '' ELSE type END", "''")} FROM sources""")
+
+
+#: Types of events that a question's signals ask for, and those that they rule out.
+EXPECTED = {
+    "forecast": "FORECAST", "model": "MODEL_RELEASE,PRODUCT_LAUNCH,PRODUCT_RELEASE,COMPANY_ANNOUNCEMENT", "launches": "PRODUCT_LAUNCH,PRODUCT_RELEASE,FEATURE_RELEASE,COMPANY_ANNOUNCEMENT",
+    "research": "RESEARCH_FINDING,SCIENTIFIC_DISCOVERY,REPORT", "court": "COURT_DECISION,REPORT,INVESTIGATION", "cause": "REPORT,INVESTIGATION,DISASTER,CONFLICT,ANALYSIS", "disaster": "DISASTER,REPORT",
+    "policy": "POLICY,REGULATION,LAW,GOVERNMENT", "business": "BUSINESS_DEAL,ACQUISITION,MARKET_MOVE,COMPANY_ANNOUNCEMENT", "history": "REPORT,ANALYSIS",
+    "broad": "PRODUCT_LAUNCH,MODEL_RELEASE,RESEARCH_FINDING,COMPANY_ANNOUNCEMENT,POLICY,BUSINESS_DEAL",
+}
+DEMOTED = {"model": "EXPERT_WARNING,OPINION", "launches": "EXPERT_WARNING,OPINION,FORECAST,ANALYSIS", "research": "OPINION,MARKET_MOVE,EXPERT_WARNING"}
+
+
+def intent_sql(d: Spark, table: str, keys: str, signals: dict[str, list[str]], mode: str = "ask") -> str:
+    """keys, primary_intent, intents (in the order of the rules), expected and demoted types, temporal_focus of table's `text`."""
+    flags = ", ".join(f"{d.word('q', ts)} AS s_{name}" for name, ts in signals.items())
+    yes = lambda cond, labels: f"CASE WHEN {cond} THEN {d.text(labels + ',')} ELSE '' END"
+    asked = " || ".join([
+        yes("s_forecast", "FORECAST"), yes(f"s_fact_check OR {d.text(mode)} = 'fact_check'", "FACT_CHECK"), yes("s_model", "MODEL_RELEASE,PRODUCT_RELEASE"), yes("s_launches AND NOT s_model", "PRODUCT_LAUNCH,PRODUCT_RELEASE"),
+        yes("s_launches AND s_model", "PRODUCT_LAUNCH"), yes("s_research", "RESEARCH_FINDING,SCIENTIFIC_DISCOVERY"), yes("s_court", "COURT_DECISION,LEGAL"),
+        yes("s_cause", "CAUSE" + (",RESEARCH_FINDING" if mode == "research" else "")), yes("s_disaster", "DISASTER_STATUS"), yes("s_policy", "POLICY,REGULATION"), yes("s_business", "BUSINESS,MARKETS"),
+        yes("s_history", "HISTORY,TIMELINE"), yes("s_timeline AND NOT s_history", "TIMELINE,HISTORY"), yes("s_broad", "LATEST_NEWS,NEWS_OVERVIEW")])
+    whole = "CASE WHEN asked <> '' THEN asked WHEN s_now THEN 'LATEST_NEWS,' ELSE 'GENERAL_EXPLANATION,' END"
+    types = lambda by: d.sorted(d.distinct(d.keep(d.words(" || ".join(yes(f"s_{k}", v) for k, v in by.items()), ","), "x <> ''")))
+    return f"""
+        SELECT {keys}, split_part(intents, ',', 1) AS primary_intent, left(intents, length(intents) - 1) AS intents, {d.joined('expected', ',')} AS expected_types,
+               {d.joined(d.keep('demoted', 'NOT array_contains(expected, x)'), ',')} AS demoted_types,
+               CASE WHEN s_forecast THEN 'FUTURE' WHEN contains(intents, 'HISTORY') THEN 'HISTORICAL' ELSE 'CURRENT' END AS temporal_focus
+        FROM (SELECT *, {whole} AS intents, {types(EXPECTED)} AS expected, {types(DEMOTED)} AS demoted FROM (
+        SELECT *, {asked} AS asked FROM (
+        SELECT *, s_overview OR ({d.size(d.words('q', ' '))} <= 4 AND s_short_overview AND NOT s_launch AND NOT s_model) AS s_broad, s_launch OR (s_product AND s_fresh) AS s_launches FROM (
+        SELECT {keys}, q, {flags} FROM (SELECT {keys}, lower(trim(text)) AS q FROM {table}) a) b) c) e) f"""
+
+
+def query_intent(d: Spark) -> str:
+    """What each user turn is after; the news signals and some of the fixture's words."""
+    signals = {k: [*ts, *V.FIXTURE_SIGNALS.get(k, [])] for k, ts in V.INTENT_SIGNALS.items()}
+    return intent_sql(d, "(SELECT conv_id, turn, text FROM conversations WHERE role = 'user') u", "conv_id, turn", signals)
+
+
 QUERIES = [
     clean_url, url_parts, url_guard, strip_html, page_paragraphs, page_titles, normalize_articles, content_hash, dedupe_articles, claim_hash, token_stats, stem_tokens, capitalized_phrases,
     conversation_titles, trigram_title_pairs, headline_jaccard, syndication_pairs, category_histogram, infer_severity, taxonomy_labels, source_tier, temporal_intent, region_activity,
+    tracking_params, wire_service, source_hierarchy, query_intent,
 ]
