@@ -51,6 +51,13 @@ def lane_union(d: Spark) -> str:
     return _lanes(d) + " SELECT article_id, lane, round(similarity, 6) AS similarity FROM lanes"
 
 
+def lane_pool(d: Spark) -> str:
+    """The articles of both lanes, at most 70, with their place: the most similar first."""
+    return _lanes(d) + """
+        SELECT l.article_id, row_number() OVER (ORDER BY round(l.similarity, 6) DESC, l.article_id) AS place, a.title, a.summary, s.name AS outlet
+        FROM lanes l JOIN articles a ON a.article_id = l.article_id LEFT JOIN sources s ON s.source_id = a.source_id"""
+
+
 def token_overlap(d: Spark) -> str:
     return with_tables(d, ["articles"], f"SELECT article_id, round({overlap(d, 'content')}, 6) AS overlap FROM articles")
 
@@ -122,6 +129,18 @@ def sufficiency_gate(d: Spark) -> str:
     return _composite(d) + " SELECT count(*) AS candidates, count(CASE WHEN composite >= 0.45 THEN 1 END) AS relevant, count(CASE WHEN composite >= 0.45 THEN 1 END) >= 1 AS sufficient FROM composed"
 
 
+def prune_hypotheses(d: Spark) -> str:
+    """Hypotheses that the retrieved pool supports: two in five of their longer words stand in it, or the whole phrase does."""
+    terms = d.distinct(d.keep(d.words("h", "[^a-z0-9]+"), f"length(x) > 3 AND NOT x IN ({', '.join(map(d.text, V.STOP))})"))
+    return _lanes(d) + f"""
+        , pool AS (SELECT lower(a.title || ' ' || a.summary || ' ' || left(a.content, 1000)) AS t FROM lanes l JOIN articles a ON a.article_id = l.article_id), hyp AS (SELECT item_id, lower(text) AS h FROM benchmark),
+        terms AS (SELECT item_id, term FROM {d.rows("hyp", terms, "term")}), held AS (SELECT x.term FROM (SELECT DISTINCT term FROM terms) x WHERE EXISTS (SELECT 1 FROM pool WHERE contains(pool.t, x.term))),
+        phrases AS (SELECT hyp.item_id FROM hyp WHERE EXISTS (SELECT 1 FROM pool WHERE contains(pool.t, hyp.h)))
+        SELECT item_id, total, matched, (total > 0 AND 5 * matched >= 2 * total) OR phrase AS supported FROM (
+        SELECT hyp.item_id, count(t.term) AS total, count(held.term) AS matched, count(p.item_id) > 0 AS phrase FROM hyp LEFT JOIN terms t ON t.item_id = hyp.item_id LEFT JOIN held ON held.term = t.term
+        LEFT JOIN phrases p ON p.item_id = hyp.item_id GROUP BY hyp.item_id) y"""
+
+
 def weak_labels(d: Spark) -> str:
     return with_tables(d, ["articles"], f"""
         SELECT article_id, CASE WHEN t >= 0.6 THEN 5 WHEN t > 0 AND x > 0 THEN 4 WHEN x >= 0.6 THEN 3 WHEN x > 0 THEN 2 ELSE 0 END AS relevance FROM (SELECT article_id, {overlap(d, 'title')} AS t, {overlap(d, 'content')} AS x FROM articles) y""")
@@ -150,7 +169,7 @@ def threshold_sweep(d: Spark) -> str:
 def ranking_metrics(d: Spark) -> str:
     """Precision and NDCG at 5 by source."""
     return _labelled(d) + """, r AS (SELECT source_id, y, row_number() OVER (PARTITION BY source_id ORDER BY p DESC, article_id) AS i, row_number() OVER (PARTITION BY source_id ORDER BY y DESC, article_id) AS ideal FROM s)
-        SELECT source_id, round(sum(CASE WHEN i <= 5 THEN y ELSE 0 END) / 5.0, 6) AS p_at_5, round(coalesce(sum(CASE WHEN i <= 5 THEN (power(2.0, y) - 1) / log2(i + 1) END) / nullif(sum(CASE WHEN ideal <= 5 THEN (power(2.0, y) - 1) / log2(ideal + 1) END), 0), 0), 6) AS ndcg_at_5 FROM r GROUP BY source_id"""
+        SELECT source_id, round(cast(sum(CASE WHEN i <= 5 THEN y ELSE 0 END) AS double) / 5.0, 6) AS p_at_5, round(coalesce(sum(CASE WHEN i <= 5 THEN (power(2.0, y) - 1) / log2(i + 1) END) / nullif(sum(CASE WHEN ideal <= 5 THEN (power(2.0, y) - 1) / log2(ideal + 1) END), 0), 0), 6) AS ndcg_at_5 FROM r GROUP BY source_id"""
 
 
 def confusion(d: Spark) -> str:
@@ -159,5 +178,5 @@ def confusion(d: Spark) -> str:
 
 
 QUERIES = [
-    cosine_topk, lexical_lane, lane_union, token_overlap, temporal_score, composite_rerank, ranker_features, ranker_score, ranker_top, knn_events, sufficiency_gate, weak_labels, time_split, threshold_sweep, ranking_metrics, confusion,
+    cosine_topk, lexical_lane, lane_union, token_overlap, temporal_score, composite_rerank, ranker_features, ranker_score, ranker_top, knn_events, prune_hypotheses, sufficiency_gate, weak_labels, time_split, threshold_sweep, ranking_metrics, confusion,
 ]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions import vocabulary as V
+from newsloom.functions.dialect import Spark
+from newsloom.operators import clusters, retrieval
 from newsloom.streaming import ingest
 
 
@@ -33,8 +36,16 @@ def train_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, float(w)) for n, w in zip([*names, "intercept"], [*model.coefficients, model.intercept], strict=True)], "feature string, weight double")
 
 
+def independent_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the two lanes' pool, the nearest first."""
+    for t in ("documents", "embeddings"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    pool = retrieval.lane_pool(Spark())
+    return clusters.independent_clusters(spark.sql(pool), V.FIXTURE_WIRES)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (ingest_stream_dedupe, train_logreg)}
+    return {f.__name__: f for f in (ingest_stream_dedupe, train_logreg, independent_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,7 +19,7 @@ def _tables(d: Spark) -> dict[str, tuple[list[str], str]]:
     title = "left(split_part(text, chr(10), 1), 80)"
     return {
         "sources": ([], """
-            SELECT source_id, 'src' || source_id AS name, round(0.50 + 0.05 * (source_id % 10), 2) AS reliability, source_id % 7 <> 0 AS enabled,
+            SELECT source_id, 'src' || source_id AS name, round(cast(0.50 + 0.05 * (source_id % 10) AS double), 2) AS reliability, source_id % 7 <> 0 AS enabled,
                    CASE source_id % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'gdelt' ELSE 'newsapi' END AS type
             FROM (SELECT DISTINCT cast(substr(source, 4) AS int) AS source_id FROM documents) s"""),
         "articles": ([], f"""
