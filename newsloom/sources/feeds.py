@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 RAW = ("external_id", "url", "title", "content", "summary", "author", "published_at", "image_url", "language", "source_name", "source_type")
 
 _MEDIA = "struct<_url:string,_type:string>"
-_RSS = f"""guid string, id string, link string, title string, description string, `content:encoded` string, content string, summary string, `dc:creator` string, author string,
+_LINK = {"item": "string", "entry": "array<struct<_href:string,_rel:string>>"}
+_ITEM = f"""guid string, id string, title string, description string, `content:encoded` string, content string, summary string, `dc:creator` string, author string,
     pubDate string, published string, updated string, enclosure {_MEDIA}, `media:content` {_MEDIA}, `media:thumbnail` {_MEDIA}"""
 _GDELT = "articles array<struct<url:string,title:string,seendate:string,socialimage:string,domain:string,language:string,sourcecountry:string>>"
 _NEWSAPI = "status string, articles array<struct<source:struct<name:string>,author:string,title:string,description:string,url:string,urlToImage:string,publishedAt:string,content:string>>"
@@ -32,16 +33,18 @@ def parsed_time(x: Column, as_of: str) -> Column:
 def read_rss(spark: SparkSession, path: str, name: str, as_of: str, row_tag: str = "item") -> DataFrame:
     """Items of RSS files (row_tag "item") or Atom files ("entry"). The image is the first of an image enclosure, media content
     and thumbnail."""
-    item = spark.read.format("xml").option("rowTag", row_tag).option("mode", "DROPMALFORMED").schema(_RSS).load(path)
-    link = F.col("link")
+    item = spark.read.format("xml").option("rowTag", row_tag).option("mode", "DROPMALFORMED").schema(f"{_ITEM}, link {_LINK[row_tag]}").load(path)
+    # Atom names addresses in attributes; the article's own has no relation or is the alternate
+    own = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate") if row_tag == "entry" else None
+    link = F.col("link") if own is None else F.get(own, 0)["_href"]
     image = F.coalesce(F.when(F.col("enclosure._type").startswith("image/"), F.col("enclosure._url")), F.col("`media:content`._url"), F.col("`media:thumbnail`._url"))
-    snippet = F.trim(F.regexp_replace(_text(F.col("description"), F.col("content")), r"<[^>]*>", ""))
+    snippet = F.trim(F.regexp_replace(_text(F.col("description"), F.col("content"), F.col("summary")), r"<[^>]*>", ""))
     return item.select(
         F.coalesce("guid", "id", link).alias("external_id"),
         _text(link).alias("url"),
         _text(F.col("title")).alias("title"),
         _text(F.col("`content:encoded`"), F.col("content"), F.col("description")).alias("content"),
-        _text(snippet, F.col("summary")).alias("summary"),
+        snippet.alias("summary"),
         _text(F.col("`dc:creator`"), F.col("author"), F.lit(name)).alias("author"),
         parsed_time(F.coalesce("pubDate", "published", "updated"), as_of).alias("published_at"),
         image.alias("image_url"),
@@ -94,7 +97,7 @@ def read_newsapi(spark: SparkSession, path: str, name: str, as_of: str) -> DataF
     )
 
 
-READERS = {"rss": read_rss, "gdelt": read_gdelt, "newsapi": read_newsapi}
+READERS = {"rss": read_rss, "atom": functools.partial(read_rss, row_tag="entry"), "gdelt": read_gdelt, "newsapi": read_newsapi}
 
 
 def read_feeds(spark: SparkSession, feeds: list[tuple[str, str, str]], as_of: str) -> DataFrame:

@@ -38,6 +38,14 @@ def test_rss(spark, saved):
     assert (two.external_id, two.content, two.summary, two.author, two.image_url, two.published_at) == ("https://a.b/2", "", "", "Paper", "https://a.b/t.png", moment(2024, 1, 31))
 
 
+def test_atom(spark, saved):
+    text = """<feed xmlns="a"><entry><id>e1</id><link rel="self" href="https://a.b/self"/><link href="https://a.b/1"/><title>One</title><summary>sum</summary><updated>2024-01-15T10:00:00Z</updated></entry>
+    <entry><id>e2</id><link rel="alternate" href="https://a.b/2"/><title>Two</title></entry></feed>"""
+    one, two = feeds.read_rss(spark, saved("a.xml", text), "Paper", AS_OF, row_tag="entry").orderBy("external_id").collect()
+    assert (one.external_id, one.url, one.summary, one.published_at) == ("e1", "https://a.b/1", "sum", moment(2024, 1, 15, 10))
+    assert (two.url, two.published_at) == ("https://a.b/2", moment(2024, 1, 31))
+
+
 def test_gdelt(spark, saved):
     at = saved("g.json", {"articles": [{"url": "https://a.b", "title": "T", "seendate": "20240115T123000Z", "domain": "a.b"}, {"url": "https://c.d", "seendate": "soon"}]})
     one, two = feeds.read_gdelt(spark, at, "Lists", AS_OF).orderBy("url").collect()
