@@ -1,16 +1,18 @@
 """Personal data: patterns for protected entities, and terms that the corpus shows to disclose them.
 
-Sanitisation by information content: the corpus tells how many documents hold an entity e, a term t, and t close to e. Of the
-information that e carries, IC(e) = -log p(e), the term gives away PMI(t; e) = log p(e | t) - log p(e). A term near e whose share
-PMI / IC reaches REMOVE is removed, one that reaches GENERALISE is replaced by a general word.
+Sanitisation by information content: the corpus tells how many documents hold an entity e, a term t, and both. Of the
+information that e carries, IC(e) = -log p(e), the term gives away PMI(t; e) = log p(e | t) - log p(e). A term whose share
+PMI / IC reaches REMOVE for some entity is removed wherever it stands, one that reaches GENERALISE is replaced by a general word.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Scratch, broadcast_if, read_table, where_computed
+from newsloom.llm.common import Scratch, broadcast_if, read_table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The contract's patterns. Possessive repeats and the look-behinds change no match: nothing that they hold on to could be given
@@ -21,11 +23,12 @@ PATTERNS = (
     r"[0-9](?:[\x20-]?[0-9])++",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
-WORD = r"\p{L}{4,}"
-#: Code points beside a span in which terms are looked for; documents in which term and entity must stand together.
-NEAR, SUPPORT = 48, 3
+LETTER = r"[\p{L}\p{M}\p{N}]"
+WORD = f"{LETTER}+"
+#: Different texts in which term and entity must both stand; with fewer, any word of a text would disclose its entities.
+SUPPORT = 3
 REMOVE, GENERALISE = 0.98, 0.9
-#: Candidate terms up to which their table is broadcast to count them; beyond it the join is shuffled.
+#: Rows up to which a table of entities, terms or hits is broadcast; beyond it the join is shuffled.
 MOST_BROADCAST = 100_000
 TAGS = ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>", "<TERM>", "")
 
@@ -33,15 +36,18 @@ _FOUND = "array<struct<s:int,e:int,v:string>>"
 _SPANS = "array<struct<kind:int,s:int,e:int,v:string>>"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as (s, e, v) in code points: their places add up from what split() leaves between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
+def matches(text: Column, pattern: str | Column, kind: int = 0) -> Column:
+    """Leftmost non-overlapping matches as (s, e, v) in code points: their places add up from what split() leaves between them.
+    Only those valid for the kind are appended, as each append copies the array."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all(text, pattern, 0)
     gaps = F.split(text, pattern, -1)
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["gap"])
         e = s + F.length(x["v"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("out"))
+        grown = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"))))
+        return F.struct(e.alias("at"), (F.when(_valid(kind, x["v"]), grown).otherwise(acc["out"]) if kind else grown).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
     zipped = F.zip_with(gaps, found, lambda g, v: F.struct(g.alias("gap"), v.alias("v")))
@@ -73,94 +79,112 @@ def base_spans(text: Column) -> Column:
     """array of (kind, s, e, v), by kind and start."""
     parts = []
     for kind, pattern in enumerate(PATTERNS):
-        found = matches(text, pattern)
-        if kind:
-            found = _filtered(found, kind)
-        parts.append(_with_kind(found, kind))
+        parts.append(_with_kind(matches(text, pattern, kind), kind))
     return F.concat(*parts)
 
 
-def _filtered(found: Column, kind: int) -> Column:
-    return F.filter(found, lambda x: _valid(kind, x["v"]))
-
-
 def _with_kind(found: Column, kind: int) -> Column:
     return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"))).cast(_SPANS)
 
 
-def _near_terms(text: str, spans: str) -> Column:
-    """array of (entity, term, s, e): whole words of letters within NEAR code points of each span, outside all spans."""
+_CUTS = "array<struct<s:int,e:int,tag:int>>"
+
+
+def _merged(cuts: Column) -> Column:
+    """Cuts (s, e, tag) by place; those that overlap become one, with the tag of the first."""
+
+    def joined(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), last["tag"].alias("tag"))))
+        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["e"] > x["s"]), grown).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(F.array_sort(cuts), F.array().cast(_CUTS), joined)
 
-    def of(x: Column) -> Column:
-        low = F.greatest(x["s"] - NEAR, F.lit(0))
-        high = F.least(x["e"] + NEAR, F.length(text))
-        entity = F.xxhash64(x["kind"], F.lower(x["v"]))
-        sides = []
-        for at, to in ((low, x["s"]), (x["e"], high)):
-            ws = matches(F.substring(F.col(text), at + 1, to - at), WORD)
-            sides.append(_placed(_whole(ws, at, to, F.length(text)), entity, at))
-        return F.concat(*sides)
 
-    every = F.flatten(F.transform(spans, of))
-    return F.filter(every, lambda t: ~F.exists(spans, lambda x: (x["s"] < t["e"]) & (t["s"] < x["e"])))
+def _tagged(spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("tag"))).cast(_CUTS)
 
 
-def _whole(ws: Column, at: Column, to: Column, n: Column) -> Column:
-    """Without words that the window may have cut."""
-    return F.filter(ws, lambda w: ((w["s"] > 0) | (at == 0)) & ((w["e"] < to - at) | (to == n)))
+def _replaced(text: Column, cuts: str, by: Callable[[Column], Column]) -> Column:
+    """text with each cut x replaced by by(x)."""
+    before = lambda i: F.coalesce(F.get(cuts, i - 1)["e"], F.lit(0))
+    parts = F.transform(cuts, lambda x, i: F.concat(F.substring(text, before(i) + 1, x["s"] - before(i)), by(x)))
+    end = F.get(cuts, F.size(cuts) - 1)["e"]
+    return F.when(F.size(cuts) > 0, F.concat(F.array_join(parts, ""), F.substring(text, end + 1, F.length(text)))).otherwise(text)
 
 
-def _placed(ws: Column, entity: Column, at: Column) -> Column:
-    return F.transform(ws, lambda w: F.struct(entity.alias("entity"), F.lower(w["v"]).alias("term"), (at + w["s"]).alias("s"), (at + w["e"]).alias("e")))
+def _with_blanks(df: DataFrame) -> DataFrame:
+    """df with _nl_blank: the text with a blank for each code point of a span, so that places stay."""
+    out = df.withColumn("_nl_cuts", _merged(_tagged(F.col("_nl_spans"))))
+    return out.withColumn("_nl_blank", _replaced(F.coalesce("text", F.lit("")), "_nl_cuts", lambda x: F.repeat(F.lit(" "), x["e"] - x["s"]))).drop("_nl_cuts")
 
 
-def _key(spans: str, text: str) -> Column:
-    """Equal for equal texts with spans; other rows have keys of their own that match nothing, so that no key is hot for them."""
-    return F.when(F.size(spans) > 0, F.concat_ws(":", F.xxhash64(text).cast("string"), F.xxhash64(F.lit(1), text).cast("string"))).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+def find_entities(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Every row of docs with a number _nl_row, its base spans _nl_spans and its different words outside them, _nl_words."""
+    out = docs.withColumn("_nl_row", F.monotonically_increasing_id()).withColumn("_nl_spans", base_spans(F.coalesce("text", F.lit(""))))
+    out = _with_blanks(out).withColumn("_nl_words", F.array_distinct(F.regexp_extract_all("_nl_blank", F.lit(WORD), 0))).drop("_nl_blank")
+    return scratch.keep(out, "rows")
 
 
-def find_entities(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, spans, near) of every row of docs: the base spans and the terms near them, without a shuffle."""
-    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = out.withColumn("spans", base_spans(F.col("text")))
-    near = F.when(F.size("spans") > 0, _near_terms("text", "spans")).otherwise(F.array().cast("array<struct<entity:bigint,term:string,s:int,e:int>>"))
-    return out.select("doc_id", _key("spans", "text").alias("key"), "spans", near.alias("near"))
+def _lowered(ws: str) -> Column:
+    return F.array_distinct(F.transform(ws, lambda w: F.lower(w)))
 
 
-def disclosing_terms(docs: DataFrame, entities: DataFrame, scratch: Scratch, near: int = SUPPORT) -> DataFrame | None:
-    """(key, s, e, remove): places of terms to sanitise by text; None if there are none. All counts cover the whole corpus:
-    documents by entity and by term over all rows, and different texts in which both stand close."""
-    places = entities.where(F.size("near") > 0).select("key", F.explode("near").alias("x")).select("key", "x.*").distinct()
-    pairs = places.groupBy("term", "entity").agg(F.countDistinct("key").alias("texts")).where(F.col("texts") >= near)
-    held = entities.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["term"].alias("term"), x["entity"].alias("entity"))))).alias("x")).select("x.*")
-    pairs = pairs.join(held.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("both")), ["term", "entity"])
-    of_entity = entities.where(F.size("spans") > 0).select(F.explode(F.array_distinct(F.transform("spans", lambda x: F.xxhash64(x["kind"], F.lower(x["v"]))))).alias("entity"))
-    pairs = pairs.join(of_entity.groupBy("entity").agg(F.count(F.lit(1)).alias("by_entity")), "entity")
-    beside = entities.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: x["term"]))).alias("term"))
-    pairs = pairs.join(beside.groupBy("term").agg(F.count(F.lit(1)).alias("beside")), "term")
-    content = -F.log(F.col("by_entity") / entities.count())
+def disclosing_terms(rows: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(term, remove): the terms to sanitise; None if there are none. All counts cover the whole corpus and whole documents:
+    documents by entity, by term and by both over all rows, and different texts that hold both."""
+    key = F.concat_ws(":", F.xxhash64("text").cast("string"), F.xxhash64(F.lit(1), "text").cast("string"))
+    entities = F.array_distinct(F.transform("_nl_spans", lambda x: F.xxhash64(x["kind"], F.lower(x["v"]))))
+    texts = rows.where(F.size("_nl_spans") > 0).select(key.alias("key"), entities.alias("entities"), _lowered("_nl_words").alias("words"))
+    texts = scratch.keep(texts.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words")), "texts")
+    of_text = texts.select("key", "copies", F.explode("entities").alias("entity"))
+    common = of_text.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("by_entity")).where(F.col("texts") >= SUPPORT)
+    common = scratch.keep(common.select("entity", "by_entity"), "common")
+    n_common = common.count()
+    if not n_common:
+        return None
+    few = broadcast_if(common, n_common, MOST_BROADCAST)
+    held = texts.select("key", "copies", "words").join(of_text.join(few, "entity", "left_semi").select("key", "entity"), "key")
+    pairs = held.select("entity", "copies", F.explode("words").alias("term")).groupBy("term", "entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("both"))
+    pairs = pairs.where(F.col("texts") >= SUPPORT).join(few, "entity")
+    beside = texts.select("copies", F.explode("words").alias("term")).groupBy("term").agg(F.sum("copies").alias("beside"))
+    pairs = pairs.join(beside, "term")
+    content = -F.log(F.col("by_entity") / rows.count())
     share = lambda by_term: F.when(content > 0, 1 + F.log(F.least(F.lit(1.0), F.col("both") / F.col(by_term))) / content).otherwise(0.0)
-    # A term is in at least as many documents as it is beside an entity in, so the share can be bounded before the corpus is counted.
+    # A term is in at least as many documents as it is with any entity in, so the share can be bounded before the corpus is counted.
     pairs = scratch.keep(pairs.where(share("beside") >= GENERALISE), "pairs")
     terms = scratch.keep(pairs.select("term").distinct(), "terms")
     n_terms = terms.count()
     if not n_terms:
         return None
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0))).alias("term"))
+    words = rows.select(F.explode(_lowered("_nl_words")).alias("term"))
     by_term = words.join(broadcast_if(terms, n_terms, MOST_BROADCAST), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("by_term"))
     found = pairs.join(by_term, "term").withColumn("share", share("by_term")).where(F.col("share") >= GENERALISE)
-    found = scratch.keep(found.select("term", "entity", (F.col("share") >= REMOVE).alias("remove")), "disclosing")
-    if not found.limit(1).count():
-        return None
-    return scratch.keep(places.join(found, ["term", "entity"]).groupBy("key", "s", "e").agg(F.max("remove").alias("remove")), "places")
+    found = scratch.keep(found.groupBy("term").agg((F.max("share") >= REMOVE).alias("remove")), "disclosing")
+    return found if found.limit(1).count() else None
+
 
+_TERMS = "array<struct<s:int,e:int,remove:boolean>>"
 
-def _by_text(places: DataFrame) -> DataFrame:
-    """(key, terms): the places in one text, which are as many as its words near spans at most."""
-    return places.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("s", "e", "remove"))).alias("terms"))
 
+def _with_terms(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows with _nl_terms: the places (s, e, remove) of every disclosing term outside the base spans, whatever else the row holds.
 
-_TERMS = "array<struct<s:int,e:int,remove:boolean>>"
+    The words of all rows are joined with the terms; a row's hits, as they are written there, make up a pattern that finds them."""
+    found = disclosing_terms(rows, scratch)
+    if found is None:
+        return rows.withColumn("_nl_terms", F.array().cast(_TERMS))
+    words = rows.select("_nl_row", F.explode("_nl_words").alias("w"))
+    hits = words.join(broadcast_if(found, found.count(), MOST_BROADCAST), F.lower("w") == F.col("term"))
+    hits = hits.groupBy("_nl_row").agg(*[F.array_sort(F.collect_list(F.when(F.col("remove") == r, F.col("w")))).alias(c) for c, r in (("_nl_gone", True), ("_nl_general", False))])
+    hits = scratch.keep(hits, "hits")
+    n = hits.agg(F.sum(F.size("_nl_gone") + F.size("_nl_general"))).first()[0] or 0
+    out = _with_blanks(rows.join(broadcast_if(hits, n, MOST_BROADCAST), "_nl_row", "left"))
+    for c, remove in (("_nl_gone", F.lit(True)), ("_nl_general", F.lit(False))):
+        pattern = F.concat(F.lit(f"(?<!{LETTER})(?:"), F.array_join(c, "|"), F.lit(f")(?!{LETTER})"))
+        places = F.transform(matches(F.col("_nl_blank"), pattern), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), remove.alias("remove")))  # noqa: B023
+        out = out.withColumn(c, F.when(F.size(c) > 0, places.cast(_TERMS)).otherwise(F.array().cast(_TERMS)))
+    return out.withColumn("_nl_terms", F.array_sort(F.concat("_nl_gone", "_nl_general"))).drop("_nl_gone", "_nl_general", "_nl_blank")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -170,48 +194,20 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     Empty tables give no rows. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    entities = scratch.keep(find_entities(docs), "entities")
-    places = disclosing_terms(docs, entities, scratch)
-    if places is None:
-        return entities.select("doc_id", "spans", F.array().cast(_TERMS).alias("terms"))
-    out = entities.join(_by_text(places), "key", "left")
-    return out.select("doc_id", "spans", F.coalesce("terms", F.array().cast(_TERMS)).alias("terms"))
+    out = _with_terms(find_entities(docs.select("doc_id", "text"), scratch), scratch)
+    return out.select("doc_id", F.col("_nl_spans").alias("spans"), F.col("_nl_terms").alias("terms"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with base spans replaced by their kinds, and disclosing terms by <TERM> or nothing. Rows without spans go through in
-    place; only those with spans are joined with the places of terms. Columns and row count are those of docs."""
+    """docs with base spans replaced by their kinds, and every disclosing term by <TERM> or nothing. Columns and row count are
+    those of docs; texts without either stay as they are."""
     scratch = Scratch(docs.sparkSession, "pii")
-    entities = scratch.keep(find_entities(docs), "entities")
-    places = disclosing_terms(docs, entities, scratch)
-    out = docs.withColumn("_nl_text", F.coalesce(docs["text"], F.lit(""))).withColumn("_nl_spans", base_spans(F.col("_nl_text")))
-    clean = where_computed(out, F.size("_nl_spans") == 0).select(*docs.columns)
-    hit = where_computed(out, F.size("_nl_spans") > 0).withColumn("_nl_key", _key("_nl_spans", "_nl_text"))
-    if places is None:
-        hit = hit.withColumn("_nl_terms", F.array().cast(_TERMS))
-    else:
-        few = _by_text(places).select(F.col("key").alias("_nl_key"), F.col("terms").alias("_nl_terms"))
-        hit = hit.join(few, "_nl_key", "left").withColumn("_nl_terms", F.coalesce("_nl_terms", F.array().cast(_TERMS)))
-    both = F.concat(
-        F.transform("_nl_spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("tag"))),
-        F.transform("_nl_terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["remove"], 5).otherwise(4).alias("tag"))),
-    )
-
-    def joined(acc: Column, x: Column) -> Column:
-        """Spans that overlap become one, with the tag of the first."""
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), last["tag"].alias("tag"))))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["e"] > x["s"]), grown).otherwise(F.concat(acc, F.array(x)))
-
-    hit = hit.withColumn("_nl_cuts", F.aggregate(F.array_sort(both), F.array().cast("array<struct<s:int,e:int,tag:int>>"), joined))
+    out = _with_terms(find_entities(docs, scratch), scratch)
+    terms = F.transform("_nl_terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["remove"], 5).otherwise(4).alias("tag"))).cast(_CUTS)
     tags = F.array(*map(F.lit, TAGS))
-    before = lambda i: F.coalesce(F.get("_nl_cuts", i - 1)["e"], F.lit(0))
-    parts = F.transform("_nl_cuts", lambda x, i: F.concat(F.substring(F.col("_nl_text"), before(i) + 1, x["s"] - before(i)), F.get(tags, x["tag"])))
-    end = F.get("_nl_cuts", F.size("_nl_cuts") - 1)["e"]
-    text = F.concat(F.array_join(parts, ""), F.substring(F.col("_nl_text"), end + 1, F.length("_nl_text")))
-    hit = hit.withColumn("_nl_out", text)
-    hit = hit.select(*[F.col("_nl_out").alias(c) if c == "text" else hit[c] for c in docs.columns])
-    return clean.unionByName(hit)
+    out = out.withColumn("_nl_cuts", _merged(F.concat(_tagged(F.col("_nl_spans")), terms)))
+    out = out.withColumn("_nl_out", _replaced(F.col("text"), "_nl_cuts", lambda x: F.get(tags, x["tag"])))
+    return out.select(*[F.col("_nl_out").alias(c) if c == "text" else out[c] for c in docs.columns])
 
 
 def _joined(spans: Column) -> Column:

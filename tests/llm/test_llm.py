@@ -232,6 +232,21 @@ def test_pii_terms(spark):
     assert out[12] == rows[7][1]
 
 
+def test_pii_terms_everywhere(spark):
+    """A disclosing term goes far from its entity and in documents without it, short ones and ones with digits too."""
+    far = " ".join(f"pad{k % 7}" for k in range(400))
+    rows = [(i, f"Zorbax {far} from q7x to zorb@mail.example.com number {i}") for i in range(9)]
+    rows += [(20, f"ZORBAX alone {far} and Q7x"), (21, "Zorbaxian stays"), (22, None)] + [(30 + i, f"plain {far} from a to b number {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert len(out) == len(rows) and all("zorbax" not in out[i].lower() and "q7x" not in out[i].lower() for i in [*range(9), 20])
+    assert out[20] == f"<TERM> alone {far} and <TERM>" and "from" in out[0]
+    assert out[21] == "Zorbaxian stays" and out[22] is None and all(out[30 + i] == t for i, t in enumerate(t for k, t in rows if k >= 30))
+    at = {r.doc_id: [(x.s, x.e) for x in r.terms] for r in pii.find_personal_data(docs).collect()}
+    n = len(f"ZORBAX alone {far} and ")
+    assert at[20] == [(0, 6), (n, n + 3)] and at[21] == []
+
+
 def test_mixing(spark, docs, none):
     sizes = {None: 50, "a": 1000, "b": 10, "c": 400, "d": 0}
     rows = [(k * 1000 + i, "w", s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)] + [(9999, "", "d")]
