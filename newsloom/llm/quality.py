@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Scratch, bounded_sample, read_table, words
+from newsloom.llm.common import Scratch, broadcast_if, read_table, words
 
 #: Buckets of hashed word 1- and 2-grams; both multinomials have this size at every scale.
 BUCKETS = 1 << 15
 WINDOW = 5
 #: Documents below this mean log-likelihood ratio per n-gram (nats) are rejected.
 THRESHOLD = -0.2
-#: Bound on the labelled rows from which the trusted multinomial is counted; their ids are broadcast. The raw corpus is counted whole.
-MOST_TRUSTED = 50_000
+#: Ids of good rows up to which they are broadcast; beyond it the join is shuffled. All of them are counted in either case.
+MOST_BROADCAST = 100_000
 
 
 def _hashes(ws: Column) -> Column:
@@ -72,13 +72,14 @@ def document_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def ratio_table(docs: DataFrame, trusted: DataFrame | None, buckets: int = BUCKETS) -> DataFrame:
     """One row: array of log(p_trusted / p_raw) by bucket. Raw counts are scaled to the trusted total before both get one pseudo-count a
-    bucket, so that in a small corpus, too, what both hold alike has ratio 0. Raw counts cover every row of docs; trusted ones the rows whose doc_id is in `trusted` (a bounded table). Without any, all ratios are 0."""
-    hs = docs.select("doc_id", _hashes(words(F.col("text"))).alias("hs"))
+    bucket, so that in a small corpus, too, what both hold alike has ratio 0. Raw counts cover every row of docs; trusted ones every row whose doc_id is in `trusted`. Without any, all ratios are 0."""
+    on = docs.select("doc_id", "text")
     if trusted is None:
-        hs = hs.withColumn("on", F.lit(False))
+        on = on.withColumn("on", F.lit(False))
     else:
-        few = F.broadcast(trusted.select(F.col("doc_id").alias("_nl_id"), F.lit(True).alias("on")).distinct())
-        hs = hs.join(few, F.col("doc_id") == F.col("_nl_id"), "left")
+        ids = trusted.select(F.col("doc_id").alias("_nl_id"), F.lit(True).alias("on")).distinct()
+        on = on.join(broadcast_if(ids, trusted.count(), MOST_BROADCAST), F.col("doc_id") == F.col("_nl_id"), "left")
+    hs = on.select("on", _hashes(words(F.col("text"))).alias("hs"))
     grams = hs.select(F.coalesce("on", F.lit(False)).cast("int").alias("on"), F.explode(_grams(F.col("hs"), buckets)).alias("b"))
     counts = grams.groupBy("b").agg(F.sum("on").alias("t"), F.count(F.lit(1)).alias("r"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
@@ -107,10 +108,9 @@ def quality_rules(docs: DataFrame, trusted: DataFrame | None, *, keep: list[str]
     return out.withColumn("_nl_kept", ~F.col("_nl_base_failed") & (F.col("_nl_llr") >= threshold))
 
 
-def trusted_ids(spark: SparkSession, sf_dir: str, most: int = MOST_TRUSTED) -> DataFrame:
-    """Ids of rows labelled as good, at most about `most` of them."""
-    good = read_table(spark, sf_dir, "labels").where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id")
-    return bounded_sample(good, "doc_id", most, 17)
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all rows labelled as good."""
+    return read_table(spark, sf_dir, "labels").where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,18 @@ def test_quality_ratio_rejects_foreign_words(spark):
     assert not out.pop(99) and all(out.values())
 
 
+def test_quality_trusts_every_good_label(spark):
+    """More good labels than the former cap all count, broadcast or shuffled."""
+    root = Scratch(spark, "test-quality").root
+    n = 120_000
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")).write.parquet(f"{root}/labels.parquet")
+    trusted = quality.trusted_ids(spark, root)
+    assert trusted.count() == n
+    docs = spark.range(0, n, 100).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    ratios = quality.ratio_table(docs, trusted, 64).first().ratios
+    assert max(map(abs, ratios)) < 1e-9
+
+
 def test_licenses(spark, docs, none):
     cases = {
         1: ("Released under the MIT License.", "", "mit", 0),
