@@ -1,4 +1,4 @@
-"""License scans: a positional index of template words, looked up by the rarest licence words of each file."""
+"""License scans: a positional index of template words, looked up by the rarest word of each key phrase."""
 
 from __future__ import annotations
 
@@ -28,8 +28,6 @@ TEMPLATES = (
     ("mpl", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 )
-#: Rarest words of a template that are indexed, and how many of them a file must hold.
-RARE, NEEDED = 5, 2
 #: Share of a template's words that must stand in their places.
 LEAST = 0.6
 
@@ -45,7 +43,7 @@ def license_words(text: Column) -> Column:
 
 
 def template_index(df: DataFrame, n_docs: int) -> DataFrame:
-    """One row: the templates with their rarest words. df: rows (w, df), the document frequencies of the licence words; they
+    """One row: the templates with the rarest word of their key phrases and its place. df: rows (w, df), the document frequencies of the licence words; they
     and the index are as large as TEMPLATES, whatever the corpus."""
     spark = df.sparkSession
     rows = []
@@ -53,8 +51,8 @@ def template_index(df: DataFrame, n_docs: int) -> DataFrame:
         ws = text.split()
         ks = key.split()
         at = next(i for i in range(len(ws)) if ws[i : i + len(ks)] == ks)
-        for w in dict.fromkeys(ws):
-            rows.append((k, label, ws, at, len(ks), w, ws.index(w)))
+        for w in dict.fromkeys(ks):
+            rows.append((k, label, ws, at, len(ks), w, at + ks.index(w)))
     postings = spark.createDataFrame(rows, "k int, label string, ws array<string>, key_at int, key_n int, w string, q int")
     weighed = postings.join(F.broadcast(df), "w", "left").withColumn("idf", F.log((F.lit(float(n_docs)) + 1) / (F.coalesce("df", F.lit(0)) + 1)))
     per = weighed.groupBy("k").agg(
@@ -62,7 +60,7 @@ def template_index(df: DataFrame, n_docs: int) -> DataFrame:
         F.first("ws").alias("ws"),
         F.first("key_at").alias("key_at"),
         F.first("key_n").alias("key_n"),
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("cost"), F.col("w").alias("w"), F.col("q").alias("q")))), 1, RARE).alias("rare"),
+        F.min(F.struct((-F.col("idf")).alias("cost"), F.col("w").alias("w"), F.col("q").alias("q"))).alias("rare"),
     )
     return per.agg(F.array_sort(F.collect_list(F.struct("k", "label", "ws", "key_at", "key_n", "rare"))).alias("index"))
 
@@ -102,16 +100,15 @@ def scan_licenses(docs: DataFrame, *, keep: list[str], least: float = LEAST) ->
     out = out.withColumn("_nl_held", F.array_intersect("_nl_ws", vocabulary)).withColumn("_nl_n_words", F.size("_nl_ws").cast("long"))
     for k, (phrase, _) in enumerate(PHRASES):
         out = out.withColumn(f"_nl_p{k}", _places(F.col("_nl_ws"), phrase.split()))
-    # Templates of which the file holds enough rare words; of those words, the rarest two give the starts to verify.
-    has = lambda r: F.array_contains("_nl_held", r["w"])
-    near = F.transform("_nl_index", lambda t: F.struct(t["label"].alias("label"), t["ws"].alias("ws"), t["key_at"].alias("key_at"), t["key_n"].alias("key_n"), F.slice(F.filter(t["rare"], has), 1, NEEDED).alias("two")))
-    near = F.filter(near, lambda t: F.size(t["two"]) >= NEEDED)
-    out = out.withColumn("_nl_index", index).withColumn("_nl_near", F.when(F.size("_nl_held") >= NEEDED, near)).drop("_nl_index")
+    # Templates of which the file holds enough words; every start at which the key phrase stands is verified.
+    # A word of the key phrase stands at each such start, so the places of its rarest word (all of them) give the starts.
+    keys = lambda t: F.slice(t["ws"], t["key_at"] + 1, t["key_n"])
+    near = F.filter("_nl_index", lambda t: F.forall(keys(t), lambda w: F.array_contains("_nl_held", w)))
+    out = out.withColumn("_nl_index", index).withColumn("_nl_near", F.when(F.size("_nl_held") >= 2, near)).drop("_nl_index")
     starts_of = lambda r: F.filter(F.transform("_nl_ws", lambda w, i: F.when(w == r["w"], i - r["q"])), lambda i: i.isNotNull())
-    common = lambda t: F.array_intersect(starts_of(t["two"][0]), starts_of(t["two"][1]))
     out = out.withColumn(
         "_nl_near",
-        F.transform("_nl_near", lambda t: F.struct(t["label"].alias("label"), t["ws"].alias("ws"), t["key_at"].alias("key_at"), t["key_n"].alias("key_n"), common(t).alias("starts"))),
+        F.transform("_nl_near", lambda t: F.struct(t["label"].alias("label"), t["ws"].alias("ws"), t["key_at"].alias("key_at"), t["key_n"].alias("key_n"), starts_of(t["rare"]).alias("starts"))),
     )
     stands = lambda t, s, q: F.coalesce((s + q >= 0) & (F.get("_nl_ws", s + q) == F.get(t["ws"], q)), F.lit(False))
     matched = lambda t, s: F.size(F.filter(F.sequence(F.lit(0), F.size(t["ws"]) - 1), lambda q: stands(t, s, q))) / F.size(t["ws"])

@@ -118,6 +118,14 @@ def test_licenses(spark, docs, none):
     assert licenses.scan_licenses(none, keep=["doc_id"]).count() == 0
 
 
+def test_licenses_with_stray_words(spark):
+    """A rare word elsewhere in the file hides no notice that has its key phrase in place."""
+    text = "This file is under the MIT license. It was first released in 2019"
+    rows = [(1, text), (2, "x " * 500 + "mit " * 50 + text), (3, "released under the license of mit")]
+    out = {r.doc_id: (r._nl_labels, r._nl_score) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).collect()}
+    assert out == {1: (["mit"], 0.8), 2: (["mit"], 0.8), 3: ([], 0.0)}
+
+
 def test_fingerprints(spark, docs, none):
     out = fingerprints.fingerprint_documents(docs).collect()
     assert len(out) == docs.count() and fingerprints.fingerprint_documents(none).count() == 0
