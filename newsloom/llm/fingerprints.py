@@ -1,4 +1,4 @@
-"""Document fingerprints: closed syncmers of words as context-free anchors, kept with their places in a bottom sketch."""
+"""Document fingerprints: closed syncmers of words as context-free anchors, all kept with their places."""
 
 from __future__ import annotations
 
@@ -10,9 +10,7 @@ from newsloom.llm.common import read_table, words
 
 #: Symbols in a k-mer and in its inner substrings. A k-mer is an anchor if its least inner substring is its first or its last.
 K, S = 6, 2
-#: Anchors kept: those with the smallest hashes. It bounds a fingerprint, whatever the text's length.
-SKETCH = 96
-#: Two anchors agree if their shift is within this many symbols of the usual shift.
+#: Two matches are in one group if their shifts, or those of matches between them, are within this many symbols of each other.
 SHIFT = 8
 #: Rows of a range of ids, and ranges at most; beyond it ranges get longer.
 RANGE_ROWS, MOST_RANGES = 128, 8192
@@ -25,7 +23,7 @@ def _symbols(text: Column) -> Column:
 
 
 def add_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with `name`: arrays of hashes, ascending, and of their places. Texts without an anchor get one for the whole of them, empty texts none."""
+    """df with `name`: arrays of hashes, ascending, and of their places; a hash comes once for each place. Texts without an anchor get one for the whole of them, empty texts none."""
     h, m = f"{name}_h", f"{name}_m"
     inner = K - S
     df = df.withColumn(h, F.when(F.coalesce(F.length(text), F.lit(0)) > 0, _symbols(F.col(text))).otherwise(F.array().cast("array<long>")))
@@ -37,24 +35,35 @@ def add_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
         return F.when((F.least(*at) == at[0]) | (F.least(*at) == at[inner]), F.struct(F.xxhash64(*[F.get(h, i + k) for k in range(K)]).alias("h"), i.alias("p")))
 
     anchors = F.filter(F.transform(F.sequence(F.lit(0), F.size(h) - K), anchor), lambda x: x.isNotNull())
-    df = df.withColumn(name, F.when(F.size(h) >= K, F.array_sort(anchors)).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))).drop(m)
+    df = df.withColumn(name, F.when(F.size(h) >= K, F.sort_array(anchors)).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))).drop(m)
     whole = F.when(F.size(h) > 0, F.array(F.struct(F.xxhash64(text).alias("h"), F.lit(0).alias("p")))).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))
-    # the first place of each hash
-    firsts = F.filter(F.transform(name, lambda x, i: F.when((i == 0) | (F.get(name, i - 1)["h"] != x["h"]), x)), lambda x: x.isNotNull())
-    df = df.withColumn(name, F.when(F.size(name) > 0, F.slice(firsts, 1, SKETCH)).otherwise(whole)).drop(h)
+    df = df.withColumn(name, F.when(F.size(name) > 0, F.col(name)).otherwise(whole)).drop(h)
     return df.withColumn(name, F.struct(F.transform(name, lambda x: x["h"]).alias("h"), F.transform(name, lambda x: x["p"]).alias("p")))
 
 
-def likeness(a: str, b: str) -> Column:
-    """Share of the anchors of both sketches that match in place: of the SKETCH smallest hashes of the union, those in both whose
-    shift is near the median shift. Two empty sketches are alike (1); an empty and another are not (0)."""
-    ha, hb = F.col(f"{a}.h"), F.col(f"{b}.h")
-    union = F.slice(F.array_sort(F.array_union(ha, hb)), 1, SKETCH)
-    shared = F.array_intersect(F.array_intersect(union, ha), hb)
-    place = lambda c, h: F.element_at(f"{c}.p", F.array_position(f"{c}.h", h).cast("int"))
-    shifts = F.array_sort(F.transform(shared, lambda h: place(a, h) - place(b, h)))
-    near = F.aggregate(F.array(shifts), F.lit(0), lambda acc, xs: F.size(F.filter(xs, lambda d: F.abs(d - F.get(xs, F.floor(F.size(xs) / 2).cast("int"))) <= SHIFT)))
-    return F.when((F.size(ha) == 0) & (F.size(hb) == 0), 1.0).when(~F.arrays_overlap(ha, hb), 0.0).otherwise(near / F.size(union))
+def _numbered(name: str, side: int) -> Column:
+    """The anchors as (hash, number among its places, side, place). Numbers are looked up only where a hash repeats."""
+    h = f"{name}.h"
+    row = lambda x, i, k: F.struct(x.alias("h"), k.alias("k"), F.lit(side).alias("side"), F.get(f"{name}.p", i).alias("p"))
+    plain = F.transform(h, lambda x, i: row(x, i, F.lit(0)))
+    return F.when(F.size(F.array_distinct(h)) == F.size(h), plain).otherwise(F.transform(h, lambda x, i: row(x, i, i + 1 - F.array_position(h, x).cast("int"))))
+
+
+def add_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """df with `name`: of all anchors of either text, the share that match. Equal hashes match in the order of their places, and a
+    match counts if another one has nearly its shift, so that each part of a text that moved has a group of its own; a single
+    match counts too. Two empty fingerprints are alike (1); an empty and another are not (0)."""
+    both, shifts = f"{name}_both", f"{name}_shifts"
+    df = df.withColumn(both, F.when(F.arrays_overlap(f"{a}.h", f"{b}.h"), F.sort_array(F.concat(_numbered(a, 0), _numbered(b, 1)))))
+
+    def shift(x: Column, i: Column) -> Column:
+        after = F.get(both, i + 1)
+        return F.when((after["h"] == x["h"]) & (after["k"] == x["k"]), x["p"] - after["p"])
+
+    df = df.withColumn(shifts, F.sort_array(F.filter(F.transform(both, shift), lambda d: d.isNotNull()))).drop(both)
+    near = F.filter(shifts, lambda d, i: F.coalesce((d - F.get(shifts, i - 1) <= SHIFT), F.lit(False)) | F.coalesce((F.get(shifts, i + 1) - d <= SHIFT), F.lit(False)) | (F.size(shifts) == 1))
+    n = F.size(f"{a}.h") + F.size(f"{b}.h")
+    return df.withColumn(name, F.when(n == 0, 1.0).when(F.col(shifts).isNull(), 0.0).otherwise(F.size(near) / (n - F.size(shifts)))).drop(shifts)
 
 
 def fingerprint_text(name: str) -> Column:
@@ -97,13 +106,15 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     first, so a single row is its own next. Null texts are empty. An empty table gives no rows. Other columns are ignored.
     """
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    df = add_fingerprint(df, "text", "fp")
-    df = with_next(df, "doc_id", ["text"], ["text", "fp"])
+    df = with_next(df, "doc_id", ["text"], ["text"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    df = df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))).drop("next_text")
-    df = add_fingerprint(df, "edited", "edited_fp")
-    return df.select("doc_id", "text", "edited", "fp", "edited_fp", likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
+    df = df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
+    # Fingerprints are as long as the texts, so that of the next text is computed here again instead of being shuffled.
+    for text, name in (("text", "fp"), ("edited", "edited_fp"), ("next_text", "next_fp")):
+        df = add_fingerprint(df, text, name)
+    df = add_likeness(add_likeness(df, "fp", "edited_fp", "near_edited"), "fp", "next_fp", "near_next")
+    return df.select("doc_id", "text", "edited", "fp", "edited_fp", "near_edited", "near_next")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,6 +140,20 @@ def test_fingerprints(spark, docs, none):
         assert edited == text[: len(text) - h] + after[:h]
 
 
+def test_likeness_of_moved_parts_and_long_texts(spark):
+    """Insertions move the rest of a text and cost only their own anchors; a passage in long texts is found."""
+    w = [f"w{i}" for i in range(600)]
+    x = [f"x{i}" for i in range(60)]
+    twice = w[:200] + x[:20] + w[200:400] + x[20:40] + w[400:]
+    long = [[f"{c}{i}" for i in range(10_000)] + x + [f"{c}{c}{i}" for i in range(10_000)] for c in "pq"]
+    pairs = [(w, w), (w, twice), (w, x), long, (w + w, w + w)]
+    df = spark.createDataFrame([(i, " ".join(a), " ".join(b)) for i, (a, b) in enumerate(pairs)], "i long, a string, b string")
+    df = fingerprints.add_fingerprint(fingerprints.add_fingerprint(df, "a", "fa"), "b", "fb")
+    out = {r.i: (r.near, len(r.fa.h)) for r in fingerprints.add_likeness(df, "fa", "fb", "near").collect()}
+    assert out[0][0] == out[4][0] == 1 and out[1][0] > 0.85 and out[2][0] == 0 and 0 < out[3][0] < 0.01
+    assert out[3][1] > 0.3 * 20_060 and out[4][1] > 1.9 * out[0][1]
+
+
 def test_successors_across_ranges(spark):
     df = spark.range(0, 3000).select((F.col("id") * 7).alias("doc_id"), F.col("id").cast("string").alias("text"))
     got = fingerprints.with_next(df, "doc_id", ["text"], ["text"]).collect()
