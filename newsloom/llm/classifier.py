@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import Scratch, read_table, small_batches, training_fold
 from newsloom.llm.features import WordHashes, mix, sigmoid
-from newsloom.llm.toxicity import labelled_rows
+from newsloom.llm.toxicity import bounded_features, labelled_rows
 
 #: Hash buckets of words, and the rank of the interactions.
 DIMS, RANK = 1 << 16, 8
@@ -88,7 +88,8 @@ class Machine:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED) -> Machine:
-    """Only the features of the bounded sample come to the driver. Without labelled rows every score is a half."""
+    """Only the features of the bounded sample come to the driver (rows and features both bounded). Null texts are empty; without labelled rows every score is
+    a half. Columns other than doc_id, text and `label` are not read, whatever their names."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
     scratch = Scratch(docs.sparkSession, "classifier")
     rows = labelled_rows(docs, labels, label, most)
-    got = scratch.keep(rows.mapInArrow(run, "doc_id long, label int, at array<int>, stats array<double>"), "sample").toArrow().sort_by("doc_id")
+    got = bounded_features(scratch.keep(rows.mapInArrow(run, "doc_id long, label int, at array<int>, stats array<double>"), "sample"))
     stats = np.array(got.column("stats").to_pylist()).reshape(-1, len(STATS))
     machine = Machine(stats.mean(axis=0), stats.std(axis=0) + 1e-3) if len(stats) else Machine(np.zeros(len(STATS)), np.ones(len(STATS)))
     at = [x.values.to_numpy() if len(x.values) else np.zeros(0, np.int32) for x in got.column("at")]
@@ -118,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
     """(doc_id, name) of every row of docs: the probability of label 1 from its whole text. Null texts are empty, and empty texts
     are scored by their statistics. Nothing is shuffled; the broadcast weights are (DIMS + STATS) * (RANK + 1) numbers. Repeated
-    rows have equal scores."""
+    rows have equal scores, an empty table gives none, very long texts are read whole. Other columns are not read."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
     small_batches(docs.sparkSession)
 
@@ -136,6 +137,7 @@ def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
 
 
 def op7_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out (false for a null id), score and predicted of every row of documents, learnt from `labels.quality`."""
     docs = read_table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, read_table(spark, sf_dir, "labels")))
     return scored.select(

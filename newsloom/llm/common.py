@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import functools
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,9 +17,12 @@ PREFIX = "_nl_"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`; where unset (tests), one under /tmp."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Only where driver and executors are one process (tests)
+    may it be unset, and one under /tmp is set; on a cluster such a folder would not be shared, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -90,12 +93,9 @@ def training_fold(ids: Column) -> Column:
     return F.crc32(ids.cast("string").cast("binary")) % 5 != 0
 
 
-def all_of(conds: list[Column]) -> Column:
-    return functools.reduce(lambda a, b: a & b, conds)
-
-
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """At most so many rows in an Arrow batch, since texts may be long."""
+    """At most so many rows in an Arrow batch, since texts may be long. Plans run after their functions return, so the session keeps
+    the setting; a smaller one of the caller's own stays."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

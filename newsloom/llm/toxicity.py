@@ -9,17 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Scratch, bounded_sample, read_table, small_batches, training_fold
+from newsloom.llm.common import Scratch, bounded_sample, read_table, small_batches, training_fold, unit_hash
 from newsloom.llm.features import WordHashes, mix, sigmoid
 
 #: Hash buckets. Weights are a vector of this size, broadcast by its non-zero entries.
 DIMS = 1 << 20
 #: FTRL-proximal: learning rate, its offset, and the L1 and L2 penalties; passes over the sample.
-ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 10.0, 0.1, 4
+ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 30.0, 0.1, 6
 #: Label 1 is rare; its rows weigh as the ratio of the labels, up to this.
-MOST_WEIGHT = 4.0
+MOST_WEIGHT = 8.0
 #: Bound on the labelled rows that the model is fitted on. They are chosen by a hash of their ids.
 MOST_LABELLED = 12_000
+#: Bound on the features of those rows, 4 bytes each on the driver; rows beyond it, by the same hash, are not learnt from.
+MOST_FEATURES = 32_000_000
 SEED = 31
 
 
@@ -57,14 +59,28 @@ class Ftrl:
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(doc_id, text, label) of at most about `most` labelled rows of the training fold. Their ids are broadcast, so that the
-    texts are not shuffled. Rows without a label of 0 or 1 don't count; a repeated id counts once."""
+    texts are not shuffled. Rows without a label of 0 or 1 don't count. A repeated id counts once, by the text of the least hash and the
+    greatest label, so that reruns agree."""
     rows = labels.where(training_fold(F.col("doc_id")) & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     few = bounded_sample(rows, "doc_id", most, SEED)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("label").alias("label"))
+
+
+def bounded_features(sample: DataFrame, at: str = "at", most: int = MOST_FEATURES) -> pa.Table:
+    """The rows of the sample by doc_id, as many by the hash of their ids as have `most` features together. The sample's ids and
+    sizes, MOST_LABELLED numbers, tell where to stop before any features are fetched."""
+    order = unit_hash(SEED + 1, F.col("doc_id"))
+    sizes = sample.select(order.alias("u"), F.size(at).alias("n")).toArrow().sort_by("u")
+    held = np.cumsum(sizes.column("n").to_numpy())
+    if len(held) and held[-1] > most:
+        sample = sample.where(order < float(sizes.column("u")[int(np.searchsorted(held, most, side="right"))].as_py()))
+    return sample.toArrow().sort_by("doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED) -> tuple[np.ndarray, np.ndarray, float]:
-    """(buckets, weights, bias). Only the buckets of the bounded sample's n-grams come to the driver."""
+    """(buckets, weights, bias). Only the buckets of the bounded sample's n-grams come to the driver. Null texts are empty; columns of docs and labels
+    other than doc_id, text and `label` are not read, whatever their names; without labelled rows every score is a half."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +91,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
     scratch = Scratch(docs.sparkSession, "toxicity")
     rows = labelled_rows(docs, labels, label, most)
-    got = scratch.keep(rows.mapInArrow(run, "doc_id long, label int, at array<int>"), "sample").toArrow().sort_by("doc_id")
+    got = bounded_features(scratch.keep(rows.mapInArrow(run, "doc_id long, label int, at array<int>"), "sample"))
     model = Ftrl()
     at = [x.values.to_numpy() if len(x.values) else np.zeros(0, np.int32) for x in got.column("at")]
     y = got.column("label").to_pylist()
@@ -91,7 +107,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], name: str = "score") -> DataFrame:
     """(doc_id, name) of every row of docs: the probability of label 1 from its whole text. Null and empty texts get that of the
-    bias. Nothing is shuffled; the broadcast weights are at most DIMS. Repeated rows have equal scores."""
+    bias. Nothing is shuffled; the broadcast weights are at most DIMS. Repeated rows have equal scores, an empty table gives none, very long
+    texts are read whole, one batch at a time. Other columns, such as one called `name`, are not read."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     small_batches(docs.sparkSession)
 
@@ -112,6 +129,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], name: st
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out (false for a null id), score and predicted of every row of documents, learnt from `labels.toxic`."""
     docs = read_table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, read_table(spark, sf_dir, "labels")))
     return scored.select(
