@@ -1,14 +1,16 @@
-"""N-gram Jaccard join: prefix filters under several global token orders, exact verification, components of the links.
+"""N-gram Jaccard join: prefix filters under several global token orders, intersected before exact verification.
 
 Shingles are 64-bit hashes of five words. Under any global order of the tokens, two sets of Jaccard similarity t or more share a
-token among the first n - ceil(t n) + 1 of each. The first order puts the corpus's heavy tokens last and is the index: postings
-(token, set) meet by token. Pairs are kept only if the number of prefix tokens that they share allows the needed overlap, then
-if their prefixes meet under every further order, and are then verified exactly.
+token among the first n - ceil(t n) + 1 of each, and so many that what stands after the prefix that ends first can make up the
+needed overlap. The first order puts the corpus's heavy tokens last and is the index: postings (token, set) meet by token. Each
+set also carries a sketch, its prefixes under the further orders. A pair is a candidate if its prefixes share enough under the
+first order and under every other one; only then are the two texts fetched and compared exactly.
 
 Groups of copies never become all pairs. Equal texts are one class before anything else. A first round compares each set with
 the one that leads most of its posting lists. What one component then holds is not compared again: only
 members of different components whose sizes and places in the list allow a link are, in lists of a bounded length all at once, in
-longer ones a bounded number of leaders against the list a round.
+longer ones a bounded number of leaders against the list a round. No step holds a list in one task: postings of heavy tokens are
+salted, and what is known of a list as a whole is aggregated and joined back.
 """
 
 from __future__ import annotations
@@ -19,11 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsloom.llm.common import Scratch, read_table, small_batches
+from newsloom.llm.common import Scratch, broadcast_if, read_table, small_batches
 from newsloom.llm.features import mix
 
 #: Words of a shingle; similarity, as a fraction, of which pairs link.
@@ -33,8 +36,14 @@ ORDERS = (11, 12)
 #: Counters of hashed tokens. Their sums over all documents tell which tokens are heavy; they bound memory and the broadcast.
 #: Results are the same for any counts.
 COUNTERS, CHUNKS = 1 << 22, 64
+#: Texts that a task remembers in order to give a copy's sketch and postings once.
+MOST_MET = 1_000_000
 #: Posting lists up to this length are compared pair by pair; of longer ones, so many leaders a round.
 LIST = 1024
+#: Tokens counted 2^HOT times beyond chance or oftener are dealt by token and salt, each salt about so many postings.
+HOT = 12
+#: Classes up to which those whose texts a round needs are broadcast; beyond it the join is shuffled.
+MOST_BROADCAST = 200_000
 
 
 def prefix_length(n):
@@ -63,14 +72,30 @@ def prefix(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return tokens[np.argsort(own, kind="stable")[:p]] if own.any() else tokens[:p]
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """The upper halves of the first tokens under each further order, ascending, one order after the other."""
+    p = prefix_length(len(tokens))
+    orders = [np.sort(np.partition(mix(tokens, seed), p - 1)[:p]) >> np.uint64(32) for seed in ORDERS]
+    return np.concatenate(orders).astype("<u4").tobytes()
+
+
+def may_meet(a: bytes, b: bytes, n: int, m: int) -> bool:
+    """Under every further order the prefixes of sets of n and m tokens share enough for a link. Shared tokens up to the end of the
+    prefix that ends first stand in both prefixes; after it, that set has no more than its rest. Upper halves of hashes may be
+    equal by chance, which only lets more pairs pass."""
+    needed = -(-NUM * (n + m) // (NUM + DEN))
+    for x, y in zip(np.split(np.frombuffer(a, "<u4"), len(ORDERS)), np.split(np.frombuffer(b, "<u4"), len(ORDERS)), strict=True):
+        shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        rest = n - len(x) if x[-1] < y[-1] else m - len(y) if y[-1] < x[-1] else max(n - len(x), m - len(y))
+        if shared + rest < needed:
+            return False
+    return True
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """The prefixes meet under every further order, and the Jaccard similarity is at least NUM / DEN."""
+    """The Jaccard similarity is at least NUM / DEN."""
     if min(len(a), len(b)) * DEN < max(len(a), len(b)) * NUM or not len(a):
         return False
-    for seed in ORDERS:
-        x, y = (np.sort(mix(t, seed))[: prefix_length(len(t))] for t in (a, b))
-        if not len(np.intersect1d(x, y, assume_unique=True)):
-            return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both * DEN >= NUM * (len(a) + len(b) - both)
 
@@ -109,43 +134,57 @@ class Counts:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: 0, a document with its text's hash h, its signature and set size; 1, a chunk (n) of a task's counters."""
+    """Rows of two kinds: 0, a document with its text's hash h, its signature, set size and, where a task meets the text first, its
+    sketch; 1, a chunk (n) of a task's counters, with the task's number in h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts()
+        counts, met = Counts(), set()
         names = ["kind", "doc_id", "h", "sig", "sig2", "n", "data"]
         for b in batches:
-            sizes = []
+            sizes, sigs, sketches = [], [], []
             for t in b.column("text"):
-                tokens = shingles(t.as_py() or "")
+                t = t.as_py() or ""
+                tokens = shingles(t)
                 counts.add(tokens)
                 sizes.append(len(tokens))
-            sigs = np.array([_signature(t.as_py() or "") for t in b.column("text")], np.uint64).reshape(-1, 2)
+                sigs.append(_signature(t))
+                sketches.append(sketch(tokens) if len(tokens) and sigs[-1][0] not in met else None)
+                if len(met) < MOST_MET:
+                    met.add(sigs[-1][0])
             k = len(sizes)
+            both = np.array(sigs, np.uint64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(k, np.int32)), b.column("doc_id"), b.column("h"), _signed(sigs[:, 0].copy()), _signed(sigs[:, 1].copy()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.binary())], names=names
+                [pa.array(np.zeros(k, np.int32)), b.column("doc_id"), b.column("h"), _signed(both[:, 0].copy()), _signed(both[:, 1].copy()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=names
             )
-        none = pa.nulls(CHUNKS, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(CHUNKS, np.int32)), none, none, none, none, pa.array(range(CHUNKS), pa.int64()), pa.array(counts.chunks(), pa.binary())], names=names)
+        none, task = pa.nulls(CHUNKS, pa.int64()), pa.array([TaskContext.get().partitionId()] * CHUNKS, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(CHUNKS, np.int32)), none, task, none, none, pa.array(range(CHUNKS), pa.int64()), pa.array(counts.chunks(), pa.binary())], names=names)
 
     return docs.mapInArrow(run, "kind int, doc_id long, h long, sig long, sig2 long, n long, data binary")
 
 
 def frequency_classes(chunks: DataFrame) -> np.ndarray:
-    """A byte for each counter: 0 for what chance gives, else the logarithm of what exceeds it. chunks: (n, data) of all tasks;
-    each is summed where it meets its like, and the sums, COUNTERS numbers in all, come to the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for n, data in zip(b.column("n"), b.column("data"), strict=True):
-                one = np.frombuffer(zlib.decompress(data.as_py()), np.uint8)
-                sums[n.as_py()] = sums.get(n.as_py(), 0) + one.astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["n", "data"])
-
+    """A byte for each counter: 0 for what chance gives, else the logarithm of what exceeds it. chunks: (n, task, data) of all
+    tasks. They are summed up a tree, 64 tasks at a time by chunk and then by chunk; the sums, COUNTERS numbers in all, come to the
+    driver."""
+
+    def summed(dtype: type):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple, np.ndarray] = {}
+            for b in batches:
+                for n, task, data in zip(b.column("n").to_pylist(), b.column("task").to_pylist(), b.column("data"), strict=True):
+                    one = np.frombuffer(zlib.decompress(data.as_py()), dtype).astype(np.uint32)
+                    sums[n, task] = sums[n, task] + one if (n, task) in sums else one
+            keys = [pa.array([k[i] for k in sums], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["n", "task", "data"])
+
+        return run
+
+    schema = "n long, task long, data binary"
+    some = chunks.select("n", F.shiftright("task", 6).alias("task"), "data").repartition("n", "task").mapInArrow(summed(np.uint8), schema)
+    all_ = some.select("n", F.lit(0).cast("long").alias("task"), "data").repartition("n").mapInArrow(summed(np.uint32), schema)
     total = np.zeros(COUNTERS, np.uint32)
     step = COUNTERS // CHUNKS
-    for r in chunks.repartition(16, "n").mapInArrow(run, "n long, data binary").collect():
+    for r in all_.collect():
         total[r.n * step : (r.n + 1) * step] = np.frombuffer(zlib.decompress(bytes(r.data)), np.uint32)
     mean = total.mean()
     above = np.maximum(total - (mean + 4 * np.sqrt(mean) + 8), 0)
@@ -153,7 +192,8 @@ def frequency_classes(chunks: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, classes) -> DataFrame:
-    """(token, sig, n, pos) for the prefix of every document's set; a task gives a text that it meets again only once."""
+    """(token, salt, hot, sig, n, pos) for the prefix of every document's set; a task gives a text that it meets again only once. The
+    postings of a heavy token (hot) have salts by their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_class, met = classes.value, set()
@@ -164,7 +204,7 @@ def postings(docs: DataFrame, classes) -> DataFrame:
                 sig = _signature(t)[0]
                 if sig in met:
                     continue
-                if len(met) < 1_000_000:
+                if len(met) < MOST_MET:
                     met.add(sig)
                 tokens = shingles(t)
                 p = prefix(tokens, by_class)
@@ -173,9 +213,13 @@ def postings(docs: DataFrame, classes) -> DataFrame:
                 sizes.append(np.full(len(p), len(tokens), np.int64))
                 places.append(np.arange(len(p), dtype=np.int64))
             if found:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), _signed(np.concatenate(sigs)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "sig", "n", "pos"])
+                token, sig = np.concatenate(found), np.concatenate(sigs)
+                bits = np.maximum(by_class[(token & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.int64) - HOT, 0)
+                salt = (mix(sig, 3) & np.uint64(0xFFFFFF)).astype(np.int64) & ((1 << bits) - 1)
+                columns = [_signed(token), pa.array(salt), pa.array(bits > 0), _signed(sig), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "salt", "hot", "sig", "n", "pos"])
 
-    return docs.mapInArrow(run, "token long, sig long, n long, pos long")
+    return docs.mapInArrow(run, "token long, salt long, hot boolean, sig long, n long, pos long")
 
 
 def may_link(shared: Column, n: Column, m: Column) -> Column:
@@ -193,11 +237,26 @@ def reaches(n: Column, pos: Column, m: Column) -> Column:
 
 
 def meeting(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(a, b) of the pairs (a, b, n_a, n_b) whose prefixes share enough."""
-    one = prefixes.select(F.col("sig").alias("a"), F.col("tokens").alias("tokens_a"))
-    two = prefixes.select(F.col("sig").alias("b"), F.col("tokens").alias("tokens_b"))
+    """(a, b) of the pairs (a, b, n_a, n_b) whose prefixes share enough under all orders. prefixes: (sig, tokens, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            on = [may_meet(x.as_py(), y.as_py(), n.as_py(), m.as_py()) for x, y, n, m in zip(*(b.column(c) for c in ("sketch_a", "sketch_b", "n_a", "n_b")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(on, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+
+    one = prefixes.select(F.col("sig").alias("a"), F.col("tokens").alias("tokens_a"), F.col("sketch").alias("sketch_a"))
+    two = prefixes.select(F.col("sig").alias("b"), F.col("tokens").alias("tokens_b"), F.col("sketch").alias("sketch_b"))
     both = pairs.join(one, "a").join(two, "b")
-    return both.where(may_link(F.size(F.array_intersect("tokens_a", "tokens_b")), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    both = both.where(may_link(F.size(F.array_intersect("tokens_a", "tokens_b")), F.col("n_a"), F.col("n_b")))
+    return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
+def texts_of(candidates: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(sig, text) of the classes that the candidates name. classes: (sig, rep, h), the id and text hash of one of its rows."""
+    wanted = scratch.keep(candidates.select(F.col("a").alias("sig")).union(candidates.select(F.col("b").alias("sig"))).distinct().join(classes, "sig").select("sig", "rep", "h"), f"{name}-wanted")
+    named = broadcast_if(wanted, wanted.count(), MOST_BROADCAST)
+    found = docs.where("text is not null").join(named, docs["doc_id"].eqNullSafe(wanted["rep"]) & (docs["h"] == wanted["h"]))
+    return found.select("sig", "text").dropDuplicates(["sig"])
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -243,14 +302,24 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, text_hash: str | None = None) -> DataFrame:
+def leaders_of(lists: DataFrame) -> DataFrame:
+    """(token, sig, no) of the first LIST members of each list, by place, in two steps: of each part first, so that neither holds
+    more of a list of m members than about sqrt(m * LIST)."""
+    part = F.pmod(F.xxhash64("sig"), F.ceil(F.sqrt(F.col("members") / F.lit(LIST))))
+    own = Window.partitionBy("token", "part").orderBy("pos", "sig")
+    some = lists.withColumn("part", part).withColumn("no", F.row_number().over(own)).where(F.col("no") <= LIST)
+    return some.withColumn("no", F.row_number().over(Window.partitionBy("token").orderBy("pos", "sig"))).where(F.col("no") <= LIST).select("token", "sig", "no")
+
+
+def near_duplicates(docs: DataFrame, text_hash: str | None = None, group: str | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs: the size of its set of shingles and the smallest doc_id that links
     of Jaccard similarity NUM / DEN or more reach.
 
     Null texts and texts without words have no shingles and link with nothing. Rows with a null doc_id are compared like others
     but cannot name a component. Repeated rows have equal results; rows that repeat a doc_id with other texts are compared each
-    by its own text, and `text_hash` names a column with xxhash64(text) that tells them apart. An empty table gives none. Other
-    columns are ignored.
+    by its own text, and `text_hash` names a column with xxhash64(text) that tells them apart. `group` names a column that is equal
+    for the rows of a component, whatever their ids, and null without shingles. An empty table gives none. Very long texts count
+    whole; a batch of texts and their shingles is in memory. Other columns of docs are not read, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -260,58 +329,71 @@ def near_duplicates(docs: DataFrame, text_hash: str | None = None) -> DataFrame:
     own = seen.where("kind = 0").drop("kind", "data")
     # A class is known by one row: the least id, unless all are null, and of the rows that repeat it the least hash of a text.
     least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h"))
-    classes_of_counts = spark.sparkContext.broadcast(frequency_classes(seen.where("kind = 1").select("n", "data")))
+    classes_of_counts = spark.sparkContext.broadcast(frequency_classes(seen.where("kind = 1").select("n", F.col("h").alias("task"), "data")))
     classes = own.where("n > 0").groupBy("sig", "sig2").agg(least.alias("x"))
     classes = scratch.keep(classes.select("sig", "sig2", F.col("x.doc_id").alias("rep"), F.col("x.h").alias("h")), "classes")
 
-    # Posting lists with two sets or more.
-    over = Window.partitionBy("token")
+    # Posting lists with two sets or more; those of heavy tokens are taken to have them.
+    over = Window.partitionBy("token", "salt")
     lists = postings(docs.select("text"), classes_of_counts).withColumn("low", F.min("sig").over(over)).withColumn("high", F.max("sig").over(over))
-    lists = scratch.keep(lists.where("low <> high").groupBy("token", "sig").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "lists")
-    held = lists.select("sig").distinct().join(classes, "sig").select("sig", "rep", "h").hint("shuffle_hash")
-    named_by = docs["doc_id"].eqNullSafe(held["rep"]) & (docs["h"] == held["h"])
-    texts = scratch.keep(docs.where("text is not null").join(held, named_by).select("sig", "text").dropDuplicates(["sig"]), "texts")
+    lists = lists.where("low <> high or hot").groupBy("token", "salt", "sig").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    lists = scratch.keep(lists.select("token", "sig", "n", "pos"), "lists")
 
-    prefixes = scratch.keep(lists.groupBy("sig").agg(F.collect_list("token").alias("tokens")), "prefixes")  # a row is as long as a text's prefix
+    # A row of prefixes is as long as a text's own.
+    sketches = seen.where("kind = 0 and data is not null").groupBy("sig").agg(F.first("data").alias("sketch"))
+    prefixes = scratch.keep(lists.groupBy("sig").agg(F.collect_list("token").alias("tokens")).join(sketches, "sig"), "prefixes")
 
-    # Members that share enough lists with the set that has the list's token earliest: nearly all of them link. In a group of
+    # Members with the set that has the list's token earliest: those that share enough lists nearly all link. In a group of
     # copies that is the text with the fewest words of its own.
-    useful = lists.withColumn("least", F.min("n").over(over)).where(reaches(F.col("n"), F.col("pos"), F.col("least")))
-    first = useful.withColumn("low", F.min(F.struct("pos", "sig", "n")).over(over)).where(F.col("low.sig") != F.col("sig"))
+    low = lists.groupBy("token").agg(F.min(F.struct("pos", "sig", "n")).alias("low"))
+    fits = reaches(F.col("n"), F.col("pos"), F.col("low.n")) & reaches(F.col("low.n"), F.col("low.pos"), F.col("n"))
+    first = lists.join(low, "token").where((F.col("low.sig") != F.col("sig")) & fits)
     first = first.groupBy(F.col("sig").alias("b"), F.col("low.sig").alias("a")).agg(F.count(F.lit(1)).alias("shared"), F.first("low.n").alias("n_a"), F.first("n").alias("n_b"))
     first = first.groupBy("b").agg(F.max(F.struct("shared", "a", "n_a", "n_b")).alias("x")).select("x.a", "b", "x.n_a", "x.n_b")
-    links = scratch.keep(verify(meeting(first, prefixes), texts), "links")
+    candidates = scratch.keep(meeting(first, prefixes), "candidates")
+    links = scratch.keep(verify(candidates, texts_of(candidates, docs, classes, scratch, "first")), "links")
     comps = components(links, scratch, "comps")
 
     k = 0
     while True:
         left = lists.join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-        left = left.withColumn("least", F.min("n").over(over)).where(reaches(F.col("n"), F.col("pos"), F.col("least")))
-        left = left.withColumn("low", F.min("comp").over(over)).withColumn("high", F.max("comp").over(over)).where("low <> high")
-        left = left.withColumn("members", F.count(F.lit(1)).over(over)).withColumn("no", F.row_number().over(over.orderBy("pos", "sig")))
-        left = scratch.keep(left.select("token", "sig", "n", "pos", "comp", "members", "no"), f"left-{k}")
-        a = left.where(F.col("no") <= LIST).select("token", *[F.col(c).alias(f"{c}_a") for c in ("sig", "n", "pos", "comp", "no")])
-        b = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("sig", "n", "pos", "comp", "no")])
-        fits = reaches(F.col("n_a"), F.col("pos_a"), F.col("n_b")) & reaches(F.col("n_b"), F.col("pos_b"), F.col("n_a"))
-        met = a.join(b, (a["token"] == b["token"]) & (F.col("no_a") < F.col("no_b")) & (F.col("comp_a") != F.col("comp_b")) & fits)
-        met = met.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"), "n_a", "n_b")
-        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
-        met = met.distinct()
-        found = scratch.keep(verify(meeting(met, prefixes), texts), f"links-{k}")
+        left = scratch.keep(left, f"named-{k}")
+        whole = left.groupBy("token").agg(F.min("n").alias("least"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
+        left = left.join(whole, "token").where(reaches(F.col("n"), F.col("pos"), F.col("least")))
+        left = scratch.keep(left.select("token", "sig", "n", "pos", "comp", "members"), f"left-{k}")
+        names = ("sig", "n", "pos", "comp")
+        fits = reaches(F.col("n_a"), F.col("pos_a"), F.col("n_b")) & reaches(F.col("n_b"), F.col("pos_b"), F.col("n_a")) & (F.col("comp_a") != F.col("comp_b"))
+        side = lambda df, x, *more: df.select("token", *[F.col(c).alias(f"{c}_{x}") for c in (*names, *more)])
+        short, long_ = left.where(F.col("members") <= LIST), left.where(F.col("members") > LIST)
+        met = side(short, "a").join(side(short, "b"), "token").where((F.col("sig_a") < F.col("sig_b")) & fits).select("sig_a", "sig_b", "n_a", "n_b")
+        rest = None
+        if long_.limit(1).count():
+            leaders = scratch.keep(leaders_of(long_), f"leaders-{k}")
+            ranked = scratch.keep(long_.join(leaders, ["token", "sig"], "left"), f"ranked-{k}")
+            after = (F.col("no_b").isNull() | (F.col("no_a") < F.col("no_b"))) & fits
+            met = met.union(side(ranked.where("no is not null"), "a", "no").join(side(ranked, "b", "no"), "token").where(after).select("sig_a", "sig_b", "n_a", "n_b"))
+            rest = ranked.where("no is null").select("token", "sig", "n", "pos")
+        swap = F.col("sig_a") > F.col("sig_b")
+        ordered = [F.when(swap, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")) for c in ("sig", "n")] + [F.when(swap, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")) for c in ("sig", "n")]
+        met = met.select(*[c.alias(x) for c, x in zip(ordered, ("a", "n_a", "b", "n_b"), strict=True)]).distinct()
+        candidates = scratch.keep(meeting(met, prefixes), f"candidates-{k}")
+        found = scratch.keep(verify(candidates, texts_of(candidates, docs, classes, scratch, f"round-{k}")), f"links-{k}")
         if found.limit(1).count():
             links = scratch.keep(links.union(found), f"all-{k}")
             comps = components(links, scratch, f"comps-{k}")
-        lists = left.where((F.col("members") > LIST) & (F.col("no") > LIST)).select("token", "sig", "n", "pos")
         k += 1
-        if not lists.limit(1).count():
+        if rest is None or not rest.limit(1).count():
             break
+        lists = rest
 
     named = classes.join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", F.col("sig")))
     by_comp = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_class = scratch.keep(named.join(by_comp, "comp").select("sig", "sig2", "component_id"), "named")
+    of_class = scratch.keep(named.join(by_comp, "comp").select("sig", "sig2", "comp", "component_id"), "named")
     out = own.join(of_class, ["sig", "sig2"], "left")
-    return out.select("doc_id", *([F.col("h").alias(text_hash)] if text_hash else []), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    more = ([F.col("h").alias(text_hash)] if text_hash else []) + ([F.when(F.col("n") > 0, F.col("comp")).alias(group)] if group else [])
+    return out.select("doc_id", *more, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of every row of documents."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
