@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable, Iterator
+import struct
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,12 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import read_table, small_batches
 
-#: Bytes up to which a piece is merged directly.
-LEAF = 32
+#: Bytes up to which part of a piece is merged directly; longer ones are halved.
+LEAF = 8
+#: Parts of a text that are concatenated at once at the leaves of its tree.
+FAN = 256
+#: Bytes beyond which windows are merged by a heap, and characters beyond which a piece isn't kept in the memo.
+LONG = 128
 #: Entries of a worker's memo of pieces and of token pairs; it starts anew beyond them.
 MEMO = 200_000
 
@@ -30,6 +35,13 @@ def load_ranks(path: str) -> list[bytes]:
     return out
 
 
+def concatenated(parts: list[bytes]) -> bytes:
+    """The parts' bytes, FAN parts at a time up the tree."""
+    while len(parts) > FAN:
+        parts = [b"".join(parts[i : i + FAN]) for i in range(0, len(parts), FAN)]
+    return b"".join(parts)
+
+
 class Codec:
     """Encodes pieces of text and decodes ids.
 
@@ -44,14 +56,14 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.pieces: dict[str, list[int]] = {}
         self.packed: dict[str, tuple[bytes, bytes]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[tuple[int, int], list[int]] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """The definition: merge the pair of lowest rank, leftmost first, until none has a rank."""
         rank = self.rank
         if data in rank:
             return [rank[data]]
-        if len(data) > 4 * LEAF:
+        if len(data) > LONG:
             return self.merge_long(data)
         parts = [data[i : i + 1] for i in range(len(data))]
         none = len(self.tokens)
@@ -99,28 +111,35 @@ class Codec:
             i = ends[i]
         return out
 
-    def fits(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
+    def pair(self, a: int, b: int) -> list[int]:
+        """The encoding of two tokens' bytes."""
+        found = self.pairs.get((a, b))
+        if found is None:
             if len(self.pairs) >= MEMO:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
-        return known
+            found = self.pairs[a, b] = self.merge(self.tokens[a] + self.tokens[b])
+        return found
+
+    def fits(self, a: int, b: int) -> bool:
+        return self.pair(a, b) == [a, b]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         if not left or not right:
             return left + right
-        k = 1
-        while not self.fits(left[-1], right[0]):
+        window, k = self.pair(left[-1], right[0]), 1
+        if window == [left[-1], right[0]]:
+            return left + right
+        while True:
             i, j = max(0, len(left) - k), min(len(right), k)
-            data = self.decode(left[i:] + right[:j])
-            window = self.merge(data)
             if (i == 0 or self.fits(left[i - 1], window[0])) and (j == len(right) or self.fits(window[-1], right[j])):
                 return left[:i] + window + right[j:]
             k *= 2
-        return left + right
+            window = self.merge(self.decode(left[max(0, len(left) - k) :] + right[:k]))
 
     def tree(self, data: bytes) -> list[int]:
+        known = self.rank.get(data)
+        if known is not None:
+            return [known]
         if len(data) <= LEAF:
             return self.merge(data)
         half = len(data) // 2
@@ -130,7 +149,7 @@ class Codec:
         ids = self.pieces.get(text)
         if ids is None:
             ids = self.tree(text.encode())
-            if len(text) <= 4 * LEAF:
+            if len(text) <= LONG:
                 if len(self.pieces) >= MEMO:
                     self.pieces.clear()
                 self.pieces[text] = ids
@@ -146,21 +165,21 @@ class Codec:
     def pack(self, text: str) -> tuple[bytes, bytes]:
         """A piece's ids as 32-bit numbers, and the bytes that they decode to."""
         ids = self.tree(text.encode())
-        found = np.array(ids, "<i4").tobytes(), self.decode(ids)
-        if len(text) <= 4 * LEAF:
+        found = struct.pack(f"<{len(ids)}i", *ids), self.decode(ids)
+        if len(text) <= LONG:
             if len(self.packed) >= MEMO:
                 self.packed.clear()
             self.packed[text] = found
         return found
 
     def round_trip(self, text: str) -> tuple[bytes, bytes]:
-        """Ids and decoded bytes of a text, both the concatenation of its pieces' own."""
+        """Ids and decoded bytes of a text. Pieces never merge with each other, so up the tree both are concatenated."""
         get, pack = self.packed.get, self.pack
         parts = [get(p) or pack(p) for p in self.split(text)]
-        return b"".join([a for a, _ in parts]), b"".join([b for _, b in parts])
+        return concatenated([a for a, _ in parts]), concatenated([b for _, b in parts])
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: Sequence[int]) -> bytes:
+        return concatenated(list(map(self.tokens.__getitem__, ids)))
 
 
 def _codec(spark: SparkSession, path: str | None, pattern: str | None):
@@ -190,9 +209,10 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     """docs with `ids` (array<int>) of every whole text, and with `decoded` (binary) made from these ids if it is named.
 
     Null texts are empty and have no ids. Rows are independent: nothing is shuffled and any partition can be made again. Memory
-    is bounded by a batch of texts. The other columns, repeated rows and empty tables go through unchanged; the new names must
-    not be columns of docs.
+    is bounded by a batch of texts; very long ones are encoded whole. The other columns, repeated rows and empty tables go through
+    unchanged; columns of docs that have the new names are replaced.
     """
+    docs = docs.drop(*[c for c in (ids, decoded) if c])
     codec = _codec(docs.sparkSession, path, pattern)
 
     def each():
@@ -215,7 +235,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
 
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """df with `decoded` (binary): the tokens' bytes, concatenated. Null ids give empty bytes."""
+    """df with `decoded` (binary): the tokens' bytes, concatenated. Null ids give empty bytes; a column of that name is replaced."""
+    df = df.drop(decoded)
     codec = _codec(df.sparkSession, path, None)
 
     def each():
@@ -226,6 +247,7 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", decoded: st
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of encode() and of what its ids decode to, for every row of documents."""
     out = encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select(
