@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsloom.llm.common import read_table, words
+from newsloom.llm.common import read_table, unit_hash, words
 
 #: Symbols in a k-mer and in its inner substrings. A k-mer is an anchor if its least inner substring is its first or its last.
 K, S = 6, 2
 #: Two matches are in one group if their shifts, or those of matches between them, are within this many symbols of each other.
 SHIFT = 8
-#: Rows of a range of ids, and ranges at most; beyond it ranges get longer.
-RANGE_ROWS, MOST_RANGES = 128, 8192
+#: Rows of a range of ids, ranges at most (beyond it ranges get longer and their sorts spill), and ids a range that the bounds are
+#: estimated from. Results are the same for any bounds.
+RANGE_ROWS, MOST_RANGES, SAMPLE = 128, 1 << 17, 32
 
 
 def _symbols(text: Column) -> Column:
@@ -74,7 +75,7 @@ def fingerprint_text(name: str) -> Column:
 def with_next(df: DataFrame, key: str, order: list[str], carried: list[str]) -> DataFrame:
     """df with next_<c> for each carried column c: its value in the next row by (key, order), after the last the first.
 
-    Rows are dealt into ranges of keys whose bounds are quantiles of the column (at most MOST_RANGES numbers on the driver). The
+    Rows are dealt into ranges of keys whose bounds are quantiles of a hashed sample of the column (SAMPLE * MOST_RANGES keys). The
     rows of the least key of a range are dealt to the range before too, as guests at its end, so that every row finds its
     successor within its range. No window holds more than a range.
     """
@@ -82,8 +83,9 @@ def with_next(df: DataFrame, key: str, order: list[str], carried: list[str]) ->
     keys = df.select(F.col(key).cast("long").alias("k"))
     n, low, nulls = keys.agg(F.count(F.lit(1)), F.min("k"), F.coalesce(F.sum(F.col("k").isNull().cast("long")), F.lit(0))).first()
     ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
-    bounds = keys.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], max(10_000, 4 * ranges))).first()[0] if ranges > 1 else []
-    starts = sorted({low, *(bounds or [])} - {None})  # the least key of each range; nulls are range 0
+    some = keys.where("k is not null").distinct() if n <= SAMPLE * ranges else keys.where(unit_hash(7, F.col("k")) < SAMPLE * ranges / n).distinct()
+    sampled = [r.k for r in some.sort("k").collect()] if ranges > 1 else []
+    starts = sorted({low, *sampled[:: max(1, len(sampled) // ranges)]} - {None})  # the least key of each range; nulls are range 0
     table = spark.createDataFrame([(starts,)], "starts array<long>").scalar()
     halves = [1 << b for b in range(max(1, len(starts)).bit_length() - 1, -1, -1)]
     found = F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), lambda acc, h: F.when(F.get("_nl_starts", acc + h - 1) <= F.col(key), acc + h).otherwise(acc))
@@ -103,7 +105,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     edited: text with its last floor(n/2) code points replaced by as many of the next document's first, or all of them. The next
     document is that of the next doc_id, nulls first; repeated ids follow in the order of their texts; after the last comes the
-    first, so a single row is its own next. Null texts are empty. An empty table gives no rows. Other columns are ignored.
+    first, so a single row is its own next. Null texts are empty. An empty table gives no rows. Very long texts keep all their anchors.
+    Other columns are ignored, whatever their names.
     """
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     df = with_next(df, "doc_id", ["text"], ["text"])
@@ -118,6 +121,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fingerprint_documents() of every row of documents."""
     out = fingerprint_documents(read_table(spark, sf_dir, "documents"))
     return out.select(
         "doc_id",
