@@ -26,7 +26,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
 
     A target is min(cap * source_size, level * weight). The level is the water level at which the targets add up to all sizes:
     with sources sorted by cap * source_size / weight, those before the first that the level of the rest doesn't fill are
-    capped. That is the fixed point of resharing the excess by weight. The windows run over one row per source.
+    capped. That is the fixed point of resharing the excess by weight. The weights go by the sources' global order, so the windows sort
+    one row of some 50 bytes per source in one task: fit for up to some ten million sources, however many documents they have.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -70,7 +71,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CA
     """(doc_id, source, size, source_size, target, copies) of every row of docs.
 
     Null text: size 0. Null source: a source of its own, last. A document's Bernoulli draw depends on its id and its source's
-    seed, so reruns agree and repeated rows of one id take the same copies. Empty table: no rows. Other columns are ignored.
+    seed, so reruns agree and repeated rows of one id take the same copies. Very long texts count whole. Empty table: no rows. Other
+    columns are ignored, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     sizes = scratch.keep(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
@@ -92,5 +94,6 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mixed() of every row of documents, with the words that its copies take."""
     out = mixed(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
