@@ -1,4 +1,5 @@
-"""License scans: a positional index of template words, looked up by the rarest word of each key phrase."""
+"""License scans: a positional index of template words. A file's licence words, rarest first, are looked up in the postings; places of
+a second rare word at the same relative position confirm a start; the mandatory key phrase and the rest of the template are verified there."""
 
 from __future__ import annotations
 
@@ -12,24 +13,45 @@ PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights r
 
 #: Notices of the index: label, words of the notice, key phrase that must stand in it (fixed values).
 TEMPLATES = (
-    ("agpl", "gnu affero general public license", "gnu affero general public license"),
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
+    ("agpl", "gnu affero general public license", "affero general public license"),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this program", "affero general public license along"),
+    ("apache-2.0", "apache license version 2 0", "apache license version 2 0"),
+    ("apache-2.0", "apache license 2 0", "apache license 2 0"),
+    ("apache-2.0", "spdx license identifier apache 2 0", "spdx license identifier apache 2 0"),
+    ("apache-2.0", "you may not use this file except in compliance with the license", "except in compliance with the license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "must retain the above copyright notice"),
+    ("bsd", "spdx license identifier bsd", "spdx license identifier bsd"),
+    ("bsd", "bsd license", "bsd license"),
+    ("bsl-1.0", "boost software license version 1 0", "boost software license"),
+    ("cc-by-nc", "cc by nc", "cc by nc"),
+    ("cc-by-nc", "creative commons attribution noncommercial", "creative commons attribution noncommercial"),
+    ("cc-by-sa", "cc by sa", "cc by sa"),
+    ("cc-by-sa", "creative commons attribution sharealike", "creative commons attribution sharealike"),
     ("cc0", "creative commons zero public domain dedication", "public domain dedication"),
+    ("cc0", "cc0 1 0 universal", "cc0 1 0"),
+    ("cc0", "spdx license identifier cc0", "spdx license identifier cc0"),
     ("epl", "eclipse public license v 2 0", "eclipse public license"),
     ("gpl-2.0", "this work is licensed under the gnu general public license version 2", "general public license version 2"),
+    ("gpl-2.0", "spdx license identifier gpl 2 0", "spdx license identifier gpl 2 0"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", "general public license version 3"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "use copy modify and or distribute"),
-    ("lgpl", "gnu lesser general public license", "gnu lesser general public license"),
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge"),
-    ("mpl", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
+    ("gpl-3.0", "spdx license identifier gpl 3 0", "spdx license identifier gpl 3 0"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "copy modify and or distribute"),
+    ("isc", "isc license", "isc license"),
+    ("lgpl", "gnu lesser general public license", "lesser general public license"),
+    ("mit", "mit license", "mit license"),
+    ("mit", "spdx license identifier mit", "spdx license identifier mit"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "hereby granted free of charge"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission notice shall be included"),
+    ("mpl", "mozilla public license version 2 0", "mozilla public license"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "will the authors be held liable"),
 )
-#: Share of a template's words that must stand in their places.
+#: Share of a template's words that must stand near their places.
 LEAST = 0.6
+#: Words that may have been put into a notice, or left out, before a word's place shifts out of reach.
+SLACK = 3
 
 
 def _vocabulary() -> list[str]:
@@ -43,26 +65,23 @@ def license_words(text: Column) -> Column:
 
 
 def template_index(df: DataFrame, n_docs: int) -> DataFrame:
-    """One row: the templates with the rarest word of their key phrases and its place. df: rows (w, df), the document frequencies of the licence words; they
-    and the index are as large as TEMPLATES, whatever the corpus."""
+    """One row: the postings as a map from a word to the templates that it is the rarest word of the key phrase of. df: rows (w, df), the
+    document frequencies of the licence words; they and the index are as large as TEMPLATES, whatever the corpus. A posting holds
+    the word's place q in its template and the second rarest word of the key phrase with its own (rare2, q2)."""
     spark = df.sparkSession
     rows = []
     for k, (label, text, key) in enumerate(TEMPLATES):
-        ws = text.split()
-        ks = key.split()
+        ws, ks = text.split(), key.split()
         at = next(i for i in range(len(ws)) if ws[i : i + len(ks)] == ks)
-        for w in dict.fromkeys(ks):
-            rows.append((k, label, ws, at, len(ks), w, at + ks.index(w)))
-    postings = spark.createDataFrame(rows, "k int, label string, ws array<string>, key_at int, key_n int, w string, q int")
-    weighed = postings.join(F.broadcast(df), "w", "left").withColumn("idf", F.log((F.lit(float(n_docs)) + 1) / (F.coalesce("df", F.lit(0)) + 1)))
-    per = weighed.groupBy("k").agg(
-        F.first("label").alias("label"),
-        F.first("ws").alias("ws"),
-        F.first("key_at").alias("key_at"),
-        F.first("key_n").alias("key_n"),
-        F.min(F.struct((-F.col("idf")).alias("cost"), F.col("w").alias("w"), F.col("q").alias("q"))).alias("rare"),
-    )
-    return per.agg(F.array_sort(F.collect_list(F.struct("k", "label", "ws", "key_at", "key_n", "rare"))).alias("index"))
+        rows += [(k, label, ws, ks, at, w, at + ks.index(w)) for w in dict.fromkeys(ks)]
+    words = spark.createDataFrame(rows, "k int, label string, ws array<string>, ks array<string>, key_at int, w string, q int")
+    weighed = words.join(F.broadcast(df), "w", "left").withColumn("idf", F.log((F.lit(float(n_docs)) + 1) / (F.coalesce("df", F.lit(0)) + 1)))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("cost"), F.col("w").alias("w"), F.col("q").alias("q"))))
+    per = weighed.groupBy("k").agg(F.first("label").alias("label"), F.first("ws").alias("ws"), F.first("ks").alias("ks"), F.first("key_at").alias("key_at"), ranked.alias("r"))
+    one, two = F.get("r", F.lit(0)), F.get("r", F.lit(1))
+    posting = F.struct("k", "label", "ws", "ks", "key_at", one["q"].alias("q"), two["w"].alias("rare2"), two["q"].alias("q2"))
+    per = per.select(one["w"].alias("w"), one["cost"].alias("cost"), posting.alias("p")).groupBy("w").agg(F.min("cost").alias("cost"), F.array_sort(F.collect_list("p")).alias("ps"))
+    return per.agg(F.map_from_entries(F.collect_list(F.struct("w", F.struct("cost", "ps")))).alias("index"))
 
 
 def _places(ws: Column, phrase: list[str]) -> Column:
@@ -87,7 +106,8 @@ def scan_licenses(docs: DataFrame, *, keep: list[str], least: float = LEAST) ->
 
     Every row is scanned in place, without a shuffle; only the document frequencies of the fixed licence vocabulary are
     aggregated first. Null and empty texts have no words, labels or places. Repeated rows have equal results. An empty table
-    gives none. Other columns are only carried.
+    gives none. Very long texts are scanned whole, at every place. Other columns are only carried; names with the prefix _nl_ are
+    reserved.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "licenses")
@@ -100,21 +120,23 @@ def scan_licenses(docs: DataFrame, *, keep: list[str], least: float = LEAST) ->
     out = out.withColumn("_nl_held", F.array_intersect("_nl_ws", vocabulary)).withColumn("_nl_n_words", F.size("_nl_ws").cast("long"))
     for k, (phrase, _) in enumerate(PHRASES):
         out = out.withColumn(f"_nl_p{k}", _places(F.col("_nl_ws"), phrase.split()))
-    # Templates of which the file holds enough words; every start at which the key phrase stands is verified.
-    # A word of the key phrase stands at each such start, so the places of its rarest word (all of them) give the starts.
-    keys = lambda t: F.slice(t["ws"], t["key_at"] + 1, t["key_n"])
-    near = F.filter("_nl_index", lambda t: F.forall(keys(t), lambda w: F.array_contains("_nl_held", w)))
-    out = out.withColumn("_nl_index", index).withColumn("_nl_near", F.when(F.size("_nl_held") >= 2, near)).drop("_nl_index")
-    starts_of = lambda r: F.filter(F.transform("_nl_ws", lambda w, i: F.when(w == r["w"], i - r["q"])), lambda i: i.isNotNull())
-    out = out.withColumn(
-        "_nl_near",
-        F.transform("_nl_near", lambda t: F.struct(t["label"].alias("label"), t["ws"].alias("ws"), t["key_at"].alias("key_at"), t["key_n"].alias("key_n"), starts_of(t["rare"]).alias("starts"))),
-    )
-    stands = lambda t, s, q: F.coalesce((s + q >= 0) & (F.get("_nl_ws", s + q) == F.get(t["ws"], q)), F.lit(False))
-    matched = lambda t, s: F.size(F.filter(F.sequence(F.lit(0), F.size(t["ws"]) - 1), lambda q: stands(t, s, q))) / F.size(t["ws"])
-    keyed = lambda t, s: F.forall(F.sequence(t["key_at"], t["key_at"] + t["key_n"] - 1), lambda q: stands(t, s, q))
-    best = lambda t: F.array_max(F.transform(F.filter(t["starts"], lambda s: keyed(t, s)), lambda s: matched(t, s)))
-    out = out.withColumn("_nl_found", F.filter(F.transform("_nl_near", lambda t: F.struct(t["label"].alias("label"), best(t).alias("share"))), lambda x: x["share"] >= least))
+    # The file's licence words that have postings, rarest first; of their templates, those whose key words the file holds.
+    out = out.withColumn("_nl_index", index)
+    looked = F.filter(F.transform("_nl_held", lambda w: F.struct(F.try_element_at("_nl_index", w).alias("e"), w.alias("w"))), lambda x: x["e"].isNotNull())
+    looked = F.array_sort(F.transform(looked, lambda x: F.struct(x["e"]["cost"].alias("cost"), x["w"].alias("w"), x["e"]["ps"].alias("ps"))))
+    out = out.withColumn("_nl_looked", F.when(F.size("_nl_held") >= 2, looked)).drop("_nl_index")
+    near = F.flatten(F.transform("_nl_looked", lambda x: F.transform(F.filter(x["ps"], lambda p: F.forall(p["ks"], lambda w: F.array_contains("_nl_held", w))), lambda p: F.struct(x["w"].alias("w"), p.alias("p")))))
+    out = out.withColumn("_nl_near", near).drop("_nl_looked")
+    # Places of a posting's word give starts; those with the second rare word at its relative position go on, and the key phrase is
+    # verified there. The template's other words may stand up to SLACK places off.
+    window = lambda at, n: F.slice("_nl_ws", F.greatest(at - SLACK, F.lit(0)) + 1, F.least(at, F.lit(SLACK)) + n + SLACK)
+    starts = lambda x: F.filter(F.transform("_nl_ws", lambda w, i: F.when(w == x["w"], i - x["p"]["q"])), lambda s: s.isNotNull())
+    crossed = lambda x: F.filter(starts(x), lambda s: (s + x["p"]["key_at"] >= 0) & F.coalesce(F.get("_nl_ws", s + x["p"]["q2"]) == x["p"]["rare2"], F.lit(False)))
+    out = out.withColumn("_nl_near", F.filter(F.transform("_nl_near", lambda x: F.struct(x["p"].alias("p"), crossed(x).alias("starts"))), lambda x: F.size(x["starts"]) > 0))
+    keyed = lambda p, s: F.slice("_nl_ws", s + p["key_at"] + 1, F.size(p["ks"])) == p["ks"]
+    held = lambda p, s: F.filter(F.transform(p["ws"], lambda w, q: (s + q + SLACK >= 0) & F.array_contains(window(F.greatest(s + q, F.lit(0)), 1), w)), lambda x: x)
+    best = lambda x: F.array_max(F.transform(F.filter(x["starts"], lambda s: keyed(x["p"], s)), lambda s: F.size(held(x["p"], s)) / F.size(x["p"]["ws"])))
+    out = out.withColumn("_nl_found", F.filter(F.transform("_nl_near", lambda x: F.struct(x["p"]["label"].alias("label"), best(x).alias("share"))), lambda x: x["share"] >= least))
     base = F.filter(F.array(*[F.when(F.size(f"_nl_p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]), lambda x: x.isNotNull())
     out = out.withColumn("_nl_places", F.array_sort(F.concat(*[F.col(f"_nl_p{k}") for k in range(len(PHRASES))]))).withColumn("_nl_base", F.array_sort(base))
     found = F.coalesce(F.transform("_nl_found", lambda x: x["label"]), F.array().cast("array<string>"))
@@ -124,6 +146,7 @@ def scan_licenses(docs: DataFrame, *, keep: list[str], least: float = LEAST) ->
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, places, labels and score of scan_licenses() for every row of documents."""
     out = scan_licenses(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
     places = F.col("_nl_places")
     return out.select(

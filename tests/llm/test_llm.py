@@ -123,7 +123,44 @@ def test_licenses_with_stray_words(spark):
     text = "This file is under the MIT license. It was first released in 2019"
     rows = [(1, text), (2, "x " * 500 + "mit " * 50 + text), (3, "released under the license of mit")]
     out = {r.doc_id: (r._nl_labels, r._nl_score) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).collect()}
-    assert out == {1: (["mit"], 0.8), 2: (["mit"], 0.8), 3: ([], 0.0)}
+    assert out == {1: (["mit"], 1.0), 2: (["mit"], 1.0), 3: ([], 0.0)}
+
+
+def brute_labels(text):
+    """Every template at every start: its key phrase in place, and enough of its words within SLACK places of theirs."""
+    ws = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    found = {}
+    for label, t, key in licenses.TEMPLATES:
+        t, key = t.split(), key.split()
+        at = next(i for i in range(len(t)) if t[i : i + len(key)] == key)
+        for s in range(-len(t), len(ws)):
+            if s + at >= 0 and ws[s + at : s + at + len(key)] == key:
+                share = sum(s + q + licenses.SLACK >= 0 and w in ws[max(0, s + q - licenses.SLACK) : max(0, s + q) + 1 + licenses.SLACK] for q, w in enumerate(t)) / len(t)
+                if share >= licenses.LEAST:
+                    found[label] = max(found.get(label, 0), share)
+    base = {label for p, label in licenses.PHRASES for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split()}
+    return sorted(base | set(found)), 1.0 if base else max(found.values(), default=0.0)
+
+
+def test_licenses_against_brute_force(spark):
+    rnd = random.Random(11)
+    texts = [
+        "MIT License", "distributed under the MIT License. Released yesterday", "Licensed under Apache License Version 2.0", "SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier: MIT",
+        "This is free and unencumbered software that was released into the whole public domain.", None, "", "mit", "license " * 30, "the mit of license",
+    ]
+    words = sorted({w for _, t, _ in licenses.TEMPLATES for w in t.split()}) + ["river", "stone"]
+    for _ in range(120):
+        _, t, _ = rnd.choice(licenses.TEMPLATES)
+        t = t.split()
+        for _ in range(rnd.randrange(0, 5)):
+            t.insert(rnd.randrange(len(t) + 1), rnd.choice(words))
+        if rnd.random() < 0.4:
+            del t[rnd.randrange(len(t))]
+        texts.append(" ".join([rnd.choice(words) for _ in range(rnd.randrange(20))] + t + [rnd.choice(words) for _ in range(rnd.randrange(20))]))
+    out = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep=["doc_id"]).collect()
+    got = {r.doc_id: (r._nl_labels, round(r._nl_score, 9)) for r in out}
+    assert got == {i: (x, round(y, 9)) for i, (x, y) in enumerate(map(brute_labels, texts))}
+    assert [got[i][0] for i in range(6)] == [["mit"], ["mit"], ["apache-2.0"], ["apache-2.0"], ["mit"], ["unlicense"]]
 
 
 def test_fingerprints(spark, docs, none):
