@@ -3,10 +3,14 @@
 Sanitisation by information content: the corpus tells how many documents hold an entity e, a term t, and both. Of the
 information that e carries, IC(e) = -log p(e), the term gives away PMI(t; e) = log p(e | t) - log p(e). A term whose share
 PMI / IC reaches REMOVE for some entity is removed wherever it stands, one that reaches GENERALISE is replaced by a general word.
+
+What a few documents show may be chance: every word of a single text stands beside its entities. So the texts that hold both must
+give evidence, PMI nats each, that exceeds what the best of all pairs looked at would give by chance (at ERROR).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,12 +29,13 @@ PATTERNS = (
 )
 LETTER = r"[\p{L}\p{M}\p{N}]"
 WORD = f"{LETTER}+"
-#: Different texts in which term and entity must both stand; with fewer, any word of a text would disclose its entities.
-SUPPORT = 3
+#: Chance that any pair of term and entity at all is taken for disclosing without being so.
+ERROR = 0.01
 REMOVE, GENERALISE = 0.98, 0.9
 #: Rows up to which a table of entities, terms or hits is broadcast; beyond it the join is shuffled.
 MOST_BROADCAST = 100_000
-TAGS = ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>", "<TERM>", "")
+#: What stands for a span of each kind, then for a general term by its form (numbers, mixed letters and digits, capitalised, other), then for a removed one.
+TAGS = ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>", "<NUMBER>", "<CODE>", "<NAME>", "<WORD>", "")
 
 _FOUND = "array<struct<s:int,e:int,v:string>>"
 _SPANS = "array<struct<kind:int,s:int,e:int,v:string>>"
@@ -132,13 +137,19 @@ def _lowered(ws: str) -> Column:
 
 def disclosing_terms(rows: DataFrame, scratch: Scratch) -> DataFrame | None:
     """(term, remove): the terms to sanitise; None if there are none. All counts cover the whole corpus and whole documents:
-    documents by entity, by term and by both over all rows, and different texts that hold both."""
+    documents by entity, by term and by both over all rows, and different texts that hold both. A text gives log(rows) nats of
+    evidence at most, so pairs in fewer than `least` texts can be left out before anything is joined."""
     key = F.concat_ws(":", F.xxhash64("text").cast("string"), F.xxhash64(F.lit(1), "text").cast("string"))
     entities = F.array_distinct(F.transform("_nl_spans", lambda x: F.xxhash64(x["kind"], F.lower(x["v"]))))
     texts = rows.where(F.size("_nl_spans") > 0).select(key.alias("key"), entities.alias("entities"), _lowered("_nl_words").alias("words"))
     texts = scratch.keep(texts.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words")), "texts")
+    n_rows, looked = rows.count(), texts.agg(F.sum(F.size("entities").cast("double") * F.size("words"))).first()[0]
+    if n_rows < 2 or not looked:
+        return None
+    needed = math.log(looked / ERROR)
+    least = max(1, math.ceil(needed / math.log(n_rows)))
     of_text = texts.select("key", "copies", F.explode("entities").alias("entity"))
-    common = of_text.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("by_entity")).where(F.col("texts") >= SUPPORT)
+    common = of_text.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("by_entity")).where(F.col("texts") >= least)
     common = scratch.keep(common.select("entity", "by_entity"), "common")
     n_common = common.count()
     if not n_common:
@@ -146,25 +157,30 @@ def disclosing_terms(rows: DataFrame, scratch: Scratch) -> DataFrame | None:
     few = broadcast_if(common, n_common, MOST_BROADCAST)
     held = texts.select("key", "copies", "words").join(of_text.join(few, "entity", "left_semi").select("key", "entity"), "key")
     pairs = held.select("entity", "copies", F.explode("words").alias("term")).groupBy("term", "entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("both"))
-    pairs = pairs.where(F.col("texts") >= SUPPORT).join(few, "entity")
+    pairs = pairs.where(F.col("texts") >= least).join(few, "entity")
     beside = texts.select("copies", F.explode("words").alias("term")).groupBy("term").agg(F.sum("copies").alias("beside"))
     pairs = pairs.join(beside, "term")
-    content = -F.log(F.col("by_entity") / rows.count())
+    content = -F.log(F.col("by_entity") / n_rows)
     share = lambda by_term: F.when(content > 0, 1 + F.log(F.least(F.lit(1.0), F.col("both") / F.col(by_term))) / content).otherwise(0.0)
     # A term is in at least as many documents as it is with any entity in, so the share can be bounded before the corpus is counted.
-    pairs = scratch.keep(pairs.where(share("beside") >= GENERALISE), "pairs")
+    discloses = lambda by_term: (share(by_term) >= GENERALISE) & (F.col("texts") * content * share(by_term) >= needed)
+    pairs = scratch.keep(pairs.where(discloses("beside")), "pairs")
     terms = scratch.keep(pairs.select("term").distinct(), "terms")
     n_terms = terms.count()
     if not n_terms:
         return None
     words = rows.select(F.explode(_lowered("_nl_words")).alias("term"))
     by_term = words.join(broadcast_if(terms, n_terms, MOST_BROADCAST), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("by_term"))
-    found = pairs.join(by_term, "term").withColumn("share", share("by_term")).where(F.col("share") >= GENERALISE)
+    found = pairs.join(by_term, "term").where(discloses("by_term")).withColumn("share", share("by_term"))
     found = scratch.keep(found.groupBy("term").agg((F.max("share") >= REMOVE).alias("remove")), "disclosing")
     return found if found.limit(1).count() else None
 
 
-_TERMS = "array<struct<s:int,e:int,remove:boolean>>"
+_TERMS = "array<struct<s:int,e:int,remove:boolean,form:int>>"
+
+
+def _form(v: Column) -> Column:
+    return F.when(v.rlike("^[0-9]+$"), 0).when(v.rlike("[0-9]"), 1).when(v.rlike(r"^\p{Lu}"), 2).otherwise(3)
 
 
 def _with_terms(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -182,7 +198,7 @@ def _with_terms(rows: DataFrame, scratch: Scratch) -> DataFrame:
     out = _with_blanks(rows.join(broadcast_if(hits, n, MOST_BROADCAST), "_nl_row", "left"))
     for c, remove in (("_nl_gone", F.lit(True)), ("_nl_general", F.lit(False))):
         pattern = F.concat(F.lit(f"(?<!{LETTER})(?:"), F.array_join(c, "|"), F.lit(f")(?!{LETTER})"))
-        places = F.transform(matches(F.col("_nl_blank"), pattern), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), remove.alias("remove")))  # noqa: B023
+        places = F.transform(matches(F.col("_nl_blank"), pattern), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), remove.alias("remove"), _form(x["v"]).alias("form")))  # noqa: B023
         out = out.withColumn(c, F.when(F.size(c) > 0, places.cast(_TERMS)).otherwise(F.array().cast(_TERMS)))
     return out.withColumn("_nl_terms", F.array_sort(F.concat("_nl_gone", "_nl_general"))).drop("_nl_gone", "_nl_general", "_nl_blank")
 
@@ -190,8 +206,8 @@ def _with_terms(rows: DataFrame, scratch: Scratch) -> DataFrame:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, spans, terms) of every row of docs: base spans (kind, s, e, v), and the places of disclosing terms (s, e, remove).
 
-    Null and empty texts have none. Repeated rows have equal results and count as documents each, but as one text for support.
-    Empty tables give no rows. Other columns are ignored.
+    Null and empty texts have none. Repeated rows have equal results and count as documents each, but as one text for evidence.
+    Very long texts are searched whole. Empty tables give no rows. Other columns are ignored, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     out = _with_terms(find_entities(docs.select("doc_id", "text"), scratch), scratch)
@@ -199,11 +215,12 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with base spans replaced by their kinds, and every disclosing term by <TERM> or nothing. Columns and row count are
-    those of docs; texts without either stay as they are."""
+    """docs with base spans replaced by their kinds, and every disclosing term by a general word for its form or nothing. Columns and
+    row count are those of docs; texts without either stay as they are. Nulls, empty and repeated rows as in find_personal_data();
+    other columns are carried, but names with the prefix _nl_ are reserved."""
     scratch = Scratch(docs.sparkSession, "pii")
     out = _with_terms(find_entities(docs, scratch), scratch)
-    terms = F.transform("_nl_terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["remove"], 5).otherwise(4).alias("tag"))).cast(_CUTS)
+    terms = F.transform("_nl_terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["remove"], len(TAGS) - 1).otherwise(4 + x["form"]).alias("tag"))).cast(_CUTS)
     tags = F.array(*map(F.lit, TAGS))
     out = out.withColumn("_nl_cuts", _merged(F.concat(_tagged(F.col("_nl_spans")), terms)))
     out = out.withColumn("_nl_out", _replaced(F.col("text"), "_nl_cuts", lambda x: F.get(tags, x["tag"])))
@@ -215,6 +232,7 @@ def _joined(spans: Column) -> Column:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by kind, the digest of the base spans and all spans of every row of documents."""
     out = find_personal_data(read_table(spark, sf_dir, "documents"))
     base = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     terms = F.transform("terms", lambda x: F.struct(F.lit(4).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))

@@ -311,13 +311,28 @@ def test_pii_terms_everywhere(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert len(out) == len(rows) and all("zorbax" not in out[i].lower() and "q7x" not in out[i].lower() for i in [*range(9), 20])
-    assert out[20] == f"<TERM> alone {far} and <TERM>" and "from" in out[0]
+    assert out[20] == f"<NAME> alone {far} and <CODE>" and "from" in out[0]
     assert out[21] == "Zorbaxian stays" and out[22] is None and all(out[30 + i] == t for i, t in enumerate(t for k, t in rows if k >= 30))
     at = {r.doc_id: [(x.s, x.e) for x in r.terms] for r in pii.find_personal_data(docs).collect()}
     n = len(f"ZORBAX alone {far} and ")
     assert at[20] == [(0, 6), (n, n + 3)] and at[21] == []
 
 
+def test_pii_names_against_plain_counts(spark):
+    """Names beside a person's address go wherever they stand; ordinary words, and those of a single text, stay."""
+    rnd = random.Random(17)
+    common = [f"common{i}" for i in range(60)]
+    people = [(f"Given{i}", f"Family{i}", f"p{i}@mail.example.org") for i in range(25)]
+    rows = [f"{g} {f} " + " ".join(rnd.choices(common, k=40)) + f" write to {m} once{i}x{k}" for i, (g, f, m) in enumerate(people) for k in range(2 + i % 4)]
+    n = len(rows)
+    rows += [" ".join(rnd.choices(common, k=40)) + f" single{i}" for i in range(600)] + [f"{g} {f} was here" for g, f, _ in people]
+    out = [r.text for r in sorted(pii.sanitise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)]
+    left = {w for x in out for w in x.split()}
+    often = [i for i in range(25) if 2 + i % 4 >= 3]
+    assert sum(left.isdisjoint(people[i][:2]) for i in often) >= 0.9 * len(often) and not any("@" in w for w in left)
+    assert out[n : n + 600] == rows[n : n + 600] and all(x.split()[-1].startswith("once") for x in out[:n])
+
+
 def test_mixing(spark, docs, none):
     sizes = {None: 50, "a": 1000, "b": 10, "c": 400, "d": 0}
     rows = [(k * 1000 + i, "w", s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)] + [(9999, "", "d")]
@@ -368,6 +383,33 @@ def test_classifiers_learn(spark, docs, none, module, label, word):
     assert all(0 <= r.score <= 1 for r in module.score(docs, module.train(none, labels.limit(0))).collect())
 
 
+def test_pipeline_stages(spark, docs, none, tmp_path):
+    """Each stage on nulls, repeats, empty tables and extra columns."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    extra = docs.withColumn("ids", F.lit(1)).withColumn("component_id", F.lit("c"))
+    for name, stage in corpus_pipeline.STAGES:
+        out, empty = stage(spark, extra, str(tmp_path)), stage(spark, none.withColumn("ids", F.lit(1)).withColumn("component_id", F.lit("c")), str(tmp_path))
+        assert empty.count() == 0
+        if name == "byte-level BPE":
+            assert {"n_tokens", "ids", "decoded_sha256", "component_id"} <= set(out.columns) and out.count() == docs.count()
+            assert all(r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest() for r in stage(spark, extra.withColumn("copy", F.col("text")), "").withColumnRenamed("copy", "text").collect())
+        else:
+            assert out.columns == extra.columns
+            out.collect()
+
+
+def test_near_duplicate_stage_keeps_one(spark):
+    import corpus_pipeline
+
+    other = "quite another text of some eight words here"
+    rows = [(2, BASE, "a"), (2, BASE, "b"), (None, BASE, "c"), (None, BASE, "c"), (2, BASE + " more", "d"), (7, other, "e"), (2, other, "f"), (None, None, "g"), (3, "", "h"), (3, "", "i")]
+    out = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in out if r.text) == sorted([("2", min(BASE, BASE + " more", key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t)).alias("h")).first().h)), ("2", other)])
+    assert sorted(r.lang for r in out if not r.text) == ["g", "h", "i"]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
 def test_pipeline(spark):
     import corpus_pipeline
