@@ -17,33 +17,44 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or the likelihood ratio reject go."""
+    """Documents that the rules or the likelihood ratio reject go; empty ones have too few words. Repeated rows are judged alike."""
     judged = quality.quality_rules(docs, quality.trusted_ids(spark, sf_dir), keep=docs.columns)
     return where_computed(judged, F.col("_nl_kept")).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id stays. Rows that repeat an id and text are one document."""
-    groups = neardup.near_duplicates(docs, text_hash="_nl_h")
-    gone = groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_nl_id"), "_nl_h").distinct()
-    return docs.join(gone, (docs["doc_id"] == gone["_nl_id"]) & (F.xxhash64(docs["text"]) == gone["_nl_h"]), "left_anti").select(*docs.columns)
+    """Of each group of linked documents, the one with the smallest (doc_id, text hash) stays, ids that are null last; of rows that
+    repeat both, any one. Documents without words link with nothing and all stay. Decisions travel as ids and hashes; only texts
+    whose id and hash repeat are shuffled."""
+    found = neardup.near_duplicates(docs, text_hash="_nl_h", group="_nl_group").where(F.col("_nl_group").isNotNull())
+    found = Scratch(spark, "groups").keep(found.groupBy("_nl_group", "doc_id", "_nl_h").agg(F.count(F.lit(1)).alias("_nl_rows")), "members")
+    best = found.groupBy("_nl_group").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_nl_h")).alias("_nl_best"))
+    stays = found["doc_id"].eqNullSafe(F.col("_nl_best.doc_id")) & (found["_nl_h"] == F.col("_nl_best._nl_h"))
+    judged = found.join(best, "_nl_group").select(F.col("doc_id").alias("_nl_id"), "_nl_h", "_nl_rows", stays.alias("_nl_stays"))
+    judged = judged.where(~F.col("_nl_stays") | (F.col("_nl_rows") > 1)).select("_nl_id", "_nl_h", "_nl_stays")
+    same = docs["doc_id"].eqNullSafe(judged["_nl_id"]) & (F.xxhash64(docs["text"]) == judged["_nl_h"])
+    kept = docs.join(judged, same, "left").where(F.coalesce("_nl_stays", F.lit(True)))
+    alone = kept.where(F.col("_nl_stays").isNull()).select(*docs.columns)
+    return alone.union(kept.where(F.col("_nl_stays")).dropDuplicates(["_nl_id", "_nl_h"]).select(*docs.columns))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that disclose it are replaced; n_chars follows the new text."""
+    """Personal data and the terms that disclose it are replaced; n_chars, if there is such a column, follows the new text. No row goes."""
     out = pii.sanitise(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as their source's rate says."""
+    """Documents come as often as their source's rate says, at most three times; rows that repeat an id as often as each other."""
     return mixing.mixed_documents(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars, n_tokens and the ids of every document of the mix."""
-    out = bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"))
-    return out.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Every document of the mix without its text: n_tokens and ids, and the SHA-256 of what the ids decode to. Rows that repeat
+    stay; columns of docs with one of the new names are replaced."""
+    out = bpe.encode(docs, decoded="_nl_decoded")
+    carried = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded_sha256")]
+    return out.select(*carried, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("_nl_decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
