@@ -26,16 +26,20 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of linked documents, the one with the smallest (doc_id, text hash) stays, ids that are null last; of rows that
     repeat both, any one. Documents without words link with nothing and all stay. Decisions travel as ids and hashes; only texts
     whose id and hash repeat are shuffled."""
+    scratch = Scratch(spark, "groups")
     found = neardup.near_duplicates(docs, text_hash="_nl_h", group="_nl_group").where(F.col("_nl_group").isNotNull())
-    found = Scratch(spark, "groups").keep(found.groupBy("_nl_group", "doc_id", "_nl_h").agg(F.count(F.lit(1)).alias("_nl_rows")), "members")
+    found = scratch.keep(found.groupBy("_nl_group", "doc_id", "_nl_h").agg(F.count(F.lit(1)).alias("_nl_rows")), "members")
     best = found.groupBy("_nl_group").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_nl_h")).alias("_nl_best"))
     stays = found["doc_id"].eqNullSafe(F.col("_nl_best.doc_id")) & (found["_nl_h"] == F.col("_nl_best._nl_h"))
     judged = found.join(best, "_nl_group").select(F.col("doc_id").alias("_nl_id"), "_nl_h", "_nl_rows", stays.alias("_nl_stays"))
-    judged = judged.where(~F.col("_nl_stays") | (F.col("_nl_rows") > 1)).select("_nl_id", "_nl_h", "_nl_stays")
-    same = docs["doc_id"].eqNullSafe(judged["_nl_id"]) & (F.xxhash64(docs["text"]) == judged["_nl_h"])
-    kept = docs.join(judged, same, "left").where(F.coalesce("_nl_stays", F.lit(True)))
-    alone = kept.where(F.col("_nl_stays").isNull()).select(*docs.columns)
-    return alone.union(kept.where(F.col("_nl_stays")).dropDuplicates(["_nl_id", "_nl_h"]).select(*docs.columns))
+    judged = scratch.keep(judged.where(~F.col("_nl_stays") | (F.col("_nl_rows") > 1)), "judged")
+    same = lambda other: docs["doc_id"].eqNullSafe(other["_nl_id"]) & (F.xxhash64(docs["text"]) == other["_nl_h"])
+    gone, repeated = judged.where(~F.col("_nl_stays")), judged.where("_nl_stays")
+    if not repeated.limit(1).count():
+        return docs.join(gone, same(gone), "left_anti")
+    marked = docs.join(judged, same(judged), "left")
+    once = marked.where(F.col("_nl_stays")).dropDuplicates(["_nl_id", "_nl_h"])
+    return marked.where(F.col("_nl_stays").isNull()).select(*docs.columns).union(once.select(*docs.columns))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
