@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.functions.dialect import Duck, Spark
-from newsloom.operators import intelligence, newsrules, relational, retrieval, text
+from newsloom.operators import editing, intelligence, newsrules, relational, retrieval, text
 from newsloom.plans import native
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-BUILDERS = [*relational.QUERIES, *text.QUERIES, *retrieval.QUERIES, *intelligence.QUERIES, *newsrules.QUERIES]
+BUILDERS = [*relational.QUERIES, *text.QUERIES, *retrieval.QUERIES, *intelligence.QUERIES, *newsrules.QUERIES, *editing.QUERIES]
 
 
 def register(spark: SparkSession, sf_dir: str, sql: str) -> None:
