@@ -72,6 +72,9 @@ class Spark:
     def seconds(self, ts: str) -> str:
         return f"unix_timestamp({ts})"
 
+    def micros(self, ts: str) -> str:
+        return f"unix_micros(cast({ts} AS timestamp))"
+
     def integer(self, x: str) -> str:
         return f"cast({x} AS bigint)"
 
@@ -149,6 +152,9 @@ class Duck(Spark):
     def seconds(self, ts):
         return f"epoch({ts})"
 
+    def micros(self, ts):
+        return f"epoch_us({ts})"
+
     def dot(self, a, b):
         return f"list_dot_product(cast({a} AS double[]), cast({b} AS double[]))"
 

@@ -26,12 +26,12 @@ def verified_picture(d: Spark) -> str:
 
 def event_forecast(d: Spark) -> str:
     hazard = "CASE category " + " ".join(f"WHEN {d.text(k)} THEN {v}" for k, v in V.HAZARDS.items()) + f" ELSE {V.HAZARD_OTHER} END"
-    z = f"{BIAS} + {VELOCITY} * ln(1 + article_count) + {BREADTH} * least(1.0, source_count / 6.0) + {RELIABILITY} * reliability + {HAZARD} * {hazard} + {CONTRADICTION} * contradicted + {ENTITIES} * least(1.0, entities / 10.0)"
+    z = f"{BIAS} + {VELOCITY} * ln(1 + article_count) + {BREADTH} * least(1.0, source_count / 6.0) + {RELIABILITY} * reliability + {HAZARD} * {hazard} + {CONTRADICTION} * contradicted + {ENTITIES} * least(1.0, greatest(1, entities) / 10.0)"
     return with_tables(d, ["story_events", "event_articles", "articles", "sources", "claims", "entities"], f"""
         , rel AS (SELECT ea.event_id, coalesce(avg(s.reliability), 0.55) AS reliability FROM event_articles ea JOIN articles a ON a.article_id = ea.article_id LEFT JOIN sources s ON s.source_id = a.source_id GROUP BY ea.event_id),
         con AS (SELECT event_id, max(CASE WHEN status = 'CONTRADICTED' THEN 1.0 ELSE 0.0 END) AS contradicted FROM claims GROUP BY event_id),
         ent AS (SELECT ea.event_id, count(DISTINCT e.name) AS entities FROM entities e JOIN event_articles ea ON ea.article_id = e.article_id GROUP BY ea.event_id),
-        f AS (SELECT e.event_id, e.article_count, e.source_count, 1.0 / (1.0 + exp(-({z}))) AS p FROM (SELECT ev.*, rel.reliability, coalesce(con.contradicted, 0.0) AS contradicted, coalesce(ent.entities, 0) AS entities
+        f AS (SELECT e.event_id, e.article_count, e.source_count, round(cast(1.0 / (1.0 + exp(-({z}))) AS double), 3) AS p FROM (SELECT ev.*, rel.reliability, coalesce(con.contradicted, 0.0) AS contradicted, coalesce(ent.entities, 0) AS entities
               FROM story_events ev JOIN rel ON rel.event_id = ev.event_id LEFT JOIN con ON con.event_id = ev.event_id LEFT JOIN ent ON ent.event_id = ev.event_id) e WHERE article_count >= 2 AND source_count >= 1)
         SELECT event_id, round(cast(p AS double), 3) AS probability, round(cast(greatest(0.01, p - 1.96 * sqrt(p * (1 - p) / greatest(10, 5 * article_count + 10 * source_count))) AS double), 3) AS lower_bound,
                round(cast(least(0.99, p + 1.96 * sqrt(p * (1 - p) / greatest(10, 5 * article_count + 10 * source_count))) AS double), 3) AS upper_bound FROM f""")
@@ -41,9 +41,9 @@ def timeline(d: Spark) -> str:
     """Milestones of an event by time with their phase."""
     return with_tables(d, ["event_articles", "articles", "claims"], f"""
         , m AS (SELECT ea.event_id, 'article:' || a.article_id AS id, a.published_at AS happened FROM event_articles ea JOIN articles a ON a.article_id = ea.article_id UNION ALL SELECT event_id, 'claim:' || claim_id, extracted_at FROM claims),
-        o AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY happened, id) AS i, cast({d.seconds('happened')} AS double) - cast({d.seconds('min(happened) OVER (PARTITION BY event_id)')} AS double) AS gone,
-                     greatest(0.001, cast({d.seconds('max(happened) OVER (PARTITION BY event_id)')} AS double) - cast({d.seconds('min(happened) OVER (PARTITION BY event_id)')} AS double)) AS whole FROM m)
-        SELECT event_id, id, i, CASE WHEN i = 1 THEN 'TRIGGER_POINT' WHEN gone / whole < 0.25 THEN 'BEFORE' WHEN gone / whole > 0.85 THEN 'SUBSEQUENT' WHEN gone / whole > 0.6 THEN 'AFTERMATH' ELSE 'DURING' END AS phase FROM o WHERE i <= 20""")
+        o AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY happened, id) AS i, cast({d.micros('happened')} AS double) - cast({d.micros('min(happened) OVER (PARTITION BY event_id)')} AS double) AS gone,
+                     greatest(1000.0, cast({d.micros('max(happened) OVER (PARTITION BY event_id)')} AS double) - cast({d.micros('min(happened) OVER (PARTITION BY event_id)')} AS double)) AS whole FROM m)
+        SELECT event_id, id, i, CASE WHEN i = 1 THEN 'TRIGGER_POINT' WHEN whole <= 1000 THEN 'DURING' WHEN gone / whole < 0.25 THEN 'BEFORE' WHEN gone / whole > 0.85 THEN 'SUBSEQUENT' WHEN gone / whole > 0.6 THEN 'AFTERMATH' ELSE 'DURING' END AS phase FROM o WHERE i <= 20""")
 
 
 def framing(d: Spark) -> str:

@@ -80,10 +80,12 @@ def related_events(d: Spark) -> str:
         SELECT event_id, related_id, rn FROM (SELECT event_id, related_id, row_number() OVER (PARTITION BY event_id ORDER BY article_count DESC, related_id) AS rn FROM pairs) x WHERE rn <= 4""")
 
 
-def event_family(d: Spark) -> str:
-    return with_tables(d, ["story_events"], """
-        SELECT seed_id, event_id, similarity FROM (SELECT s.event_id AS seed_id, e.event_id, 0.45 AS similarity, row_number() OVER (PARTITION BY s.event_id ORDER BY e.last_updated_at DESC, e.event_id) AS rn
-        FROM story_events s JOIN story_events e ON e.event_id <> s.event_id AND e.category = s.category AND e.severity = s.severity WHERE s.event_id < 3) x WHERE rn <= 4""")
+def event_family(d: Spark, token: str = "attion") -> str:
+    """Events of three seeds' country and category, or with the question's first word in the title: four each, the latest."""
+    return with_tables(d, ["story_events"], f"""
+        , near AS (SELECT s.event_id AS seed_id, e.event_id, e.last_updated_at FROM story_events s JOIN story_events e ON e.country = s.country AND e.category = s.category AND e.event_id <> s.event_id WHERE s.event_id < 3
+                   UNION SELECT s.event_id, e.event_id, e.last_updated_at FROM (SELECT event_id FROM story_events WHERE event_id < 3) s JOIN (SELECT event_id, last_updated_at FROM story_events WHERE title ILIKE {d.text(f"%{token}%")}) e ON e.event_id <> s.event_id)
+        SELECT seed_id, event_id, 0.45 AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY last_updated_at DESC, event_id) AS rn FROM near) x WHERE rn <= 4""")
 
 
 def event_counters(d: Spark) -> str:
@@ -101,7 +103,10 @@ def anti_orphan_articles(d: Spark) -> str:
 
 
 def recent_events(d: Spark) -> str:
-    return with_tables(d, ["story_events"], f"SELECT event_id, last_updated_at FROM story_events WHERE last_updated_at > {AS_OF} - INTERVAL '7' DAY AND status <> 'historical'")
+    """Events of the last seven days before the clock, which is the newest update if that is earlier, that aren't history."""
+    return with_tables(d, ["story_events"], f"""
+        , now AS (SELECT least({AS_OF}, max(last_updated_at)) AS at FROM story_events)
+        SELECT e.event_id, e.last_updated_at FROM story_events e CROSS JOIN now n WHERE e.last_updated_at > n.at - INTERVAL '7' DAY AND e.status <> 'historical'""")
 
 
 def entity_upsert(d: Spark) -> str:

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from newsloom.functions import vocabulary as V
 from newsloom.functions.dialect import Spark
-from newsloom.sources.adapters import AS_OF, with_tables
+from newsloom.sources.adapters import AS_OF, first_label, with_tables
 
 #: Weights of the composite score (fixed values).
 WEIGHTS = {"semantic": 0.30, "lexical": 0.25, "entity": 0.20, "graph": 0.10, "temporal": 0.10, "source": 0.05}
-#: Weights of the logistic ranker's default model, for the features used here, and its intercept.
-RANKER = {"semantic": 1.2, "lexical": 1.0, "headline": 0.8, "temporal": 0.5, "reliability": 0.6, "independence": 0.4, "novelty": 0.3}
-INTERCEPT = -2.0
+#: A pool article needs this composite score (fixed value).
+GATE = 0.34
+#: Weights and intercept of the logistic ranker's default model (fixed values).
+RANKER = {
+    "semantic": 1.85, "lexical": 1.25, "headline": 1.65, "entity": 1.40, "topic": 0.90, "event_type": 2.10, "temporal": 1.15, "reliability": 0.80, "independence": 0.70, "importance": 0.60, "novelty": 0.50,
+    "fit": 0.85, "redundancy": -0.90, "syndication": -0.75, "graph": 0.95, "direct": 2.20,
+}
+INTERCEPT = -0.45
+#: What a candidate with a demoted type keeps of its score (fixed value).
+DEMOTED = 0.20
 
 
 def overlap(d: Spark, x: str, tokens: list[str] | None = None) -> str:
@@ -24,23 +31,25 @@ def _cosine(d: Spark, a: str, b: str) -> str:
     return f"{d.dot(a, b)} / (sqrt({d.dot(a, a)}) * sqrt({d.dot(b, b)}))"
 
 
-def cosine_topk(d: Spark, k: int = 3, queries: int = 5) -> str:
-    """The k nearest vectors of each of a bounded set of query vectors."""
+def cosine_topk(d: Spark, k: int = 3) -> str:
+    """The k nearest vectors of each vector whose id is divisible by 100."""
     return f"""SELECT query_id, vec_id, similarity, rn FROM (SELECT q.vec_id AS query_id, e.vec_id, round({_cosine(d, 'q.embedding', 'e.embedding')}, 6) AS similarity,
         row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_cosine(d, 'q.embedding', 'e.embedding')}, 6) DESC, e.vec_id) AS rn
-        FROM embeddings e JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id < {queries}) q ON q.vec_id <> e.vec_id) x WHERE rn <= {k}"""
+        FROM embeddings e JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) q ON q.vec_id <> e.vec_id) x WHERE rn <= {k}"""
 
 
 def _lanes(d: Spark) -> str:
     any_token = " OR ".join(d.rlike("lower(a.title || ' ' || a.summary)", t) for t in V.FIXTURE_TOKENS)
-    return with_tables(d, ["articles", "sources"], f"""
+    return with_tables(d, ["articles", "sources", "event_articles", "story_events"], f"""
         , q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
         vec AS (SELECT e.vec_id AS article_id, {_cosine(d, 'e.embedding', 'q.embedding')} AS similarity FROM embeddings e JOIN q ON e.vec_id >= 0),
         vector_lane AS (SELECT v.article_id, v.similarity FROM vec v JOIN articles a ON a.article_id = v.article_id WHERE v.similarity >= 0.38 ORDER BY round(v.similarity, 6) DESC, v.article_id LIMIT 35),
         lexical_lane AS (SELECT a.article_id, cast(0.5 AS double) AS similarity FROM articles a LEFT JOIN sources s ON s.source_id = a.source_id WHERE {any_token}
                          ORDER BY coalesce(s.reliability, 0.5) DESC, a.published_at DESC, a.article_id LIMIT 35),
+        seeds AS (SELECT DISTINCT ea.event_id FROM event_articles ea JOIN vector_lane v ON v.article_id = ea.article_id ORDER BY ea.event_id LIMIT 10),
+        graph_lane AS (SELECT a.article_id, cast(0.6 AS double) AS similarity FROM event_articles ea JOIN seeds s ON s.event_id = ea.event_id JOIN articles a ON a.article_id = ea.article_id GROUP BY a.article_id, a.published_at ORDER BY a.published_at DESC, a.article_id LIMIT 35),
         lanes AS (SELECT article_id, similarity, lane FROM (SELECT article_id, similarity, lane, row_number() OVER (PARTITION BY article_id ORDER BY lane) AS rn FROM
-                  (SELECT article_id, similarity, 1 AS lane FROM vector_lane UNION ALL SELECT article_id, similarity, 2 AS lane FROM lexical_lane) u) w WHERE rn = 1)""")
+                  (SELECT article_id, similarity, 1 AS lane FROM vector_lane UNION ALL SELECT article_id, similarity, 2 AS lane FROM lexical_lane UNION ALL SELECT article_id, similarity, 3 AS lane FROM graph_lane) u) w WHERE rn = 1)""")
 
 
 def lexical_lane(d: Spark) -> str:
@@ -52,7 +61,7 @@ def lane_union(d: Spark) -> str:
 
 
 def lane_pool(d: Spark) -> str:
-    """The articles of both lanes, at most 70, with their place: the most similar first."""
+    """The articles of the three lanes, at most 105, with their place: the most similar first."""
     return _lanes(d) + """
         SELECT l.article_id, row_number() OVER (ORDER BY round(l.similarity, 6) DESC, l.article_id) AS place, a.title, a.summary, s.name AS outlet
         FROM lanes l JOIN articles a ON a.article_id = l.article_id LEFT JOIN sources s ON s.source_id = a.source_id"""
@@ -77,47 +86,69 @@ def temporal_score(d: Spark) -> str:
 
 def _composite(d: Spark) -> str:
     w = WEIGHTS
+    corpus = "a.title || ' ' || a.summary || ' ' || left(a.content, 400)"
     return _lanes(d) + f"""
-        , scored AS (SELECT l.article_id, a.title, a.source_id, a.published_at, l.similarity, {overlap(d, "a.title || ' ' || a.summary || ' ' || left(a.content, 400)")} AS lex, {overlap(d, 'a.title')} AS headline,
+        , scored AS (SELECT l.article_id, l.lane, a.title, a.summary, a.content, a.source_id, a.published_at, l.similarity, {overlap(d, corpus)} AS lex, {overlap(d, 'a.title')} AS headline, {overlap(d, corpus, V.FIXTURE_ENTITIES)} AS entity,
                             {_temporal(d, 'a.published_at')} AS temporal, coalesce(s.reliability, 0.5) AS reliability FROM lanes l JOIN articles a ON a.article_id = l.article_id LEFT JOIN sources s ON s.source_id = a.source_id),
-        composed AS (SELECT *, {w['semantic']} * similarity + {w['lexical']} * (CASE WHEN headline > 0 THEN 0.5 * lex + 0.5 * headline ELSE 0.7 * lex END) + {w['entity']} * headline + {w['temporal']} * temporal + {w['source']} * reliability AS composite FROM scored),
-        gated AS (SELECT * FROM composed WHERE NOT (lex = 0 AND headline = 0 AND similarity < 0.65) AND composite >= 0.2)"""
+        composed AS (SELECT *, {w['semantic']} * greatest(0.0, least(1.0, similarity)) + {w['lexical']} * (CASE WHEN headline > 0 THEN 0.5 * lex + 0.5 * headline ELSE 0.7 * lex END) + {w['entity']} * entity + {w['graph']} * (CASE WHEN lane = 3 THEN 1 ELSE 0 END)
+                            + {w['temporal']} * temporal + {w['source']} * reliability AS composite FROM scored),
+        gated AS (SELECT * FROM composed WHERE NOT (lex = 0 AND entity = 0 AND similarity < 0.65) AND composite >= {GATE})"""
 
 
 def composite_rerank(d: Spark) -> str:
-    """Vector and lexical lanes, composite score, suppression and gate, best eight."""
+    """Vector, lexical and graph lanes, composite score, suppression and gate, best eight."""
     return _composite(d) + " SELECT article_id, title, round(composite, 6) AS composite, rn FROM (SELECT *, row_number() OVER (ORDER BY round(composite, 6) DESC, article_id) AS rn FROM gated) x WHERE rn <= 8"
 
 
 def _features(d: Spark) -> str:
-    return _composite(d) + """
-        , featured AS (SELECT article_id, greatest(0.0, least(1.0, similarity)) AS semantic, lex AS lexical, headline, exp(-0.004 * age) AS temporal, greatest(0.5, reliability) AS reliability, least(1.0, n_sources / 4.0) AS independence,
-                              CASE WHEN same_title > 1 THEN 0.6 ELSE 1.0 END AS novelty, composite FROM (SELECT c.*, """ + _age(d, "c.published_at") + """ AS age, count(*) OVER (PARTITION BY c.title) AS same_title, cast(1 AS double) AS n_sources FROM composed c) x)"""
+    """The 16 features of the gated pool. An article's category and types come from its words, its source and article counts from its event."""
+    query = "climate " + " ".join(V.FIXTURE_TOKENS)
+    tokens = lambda x: d.distinct(d.keep(d.words(f"lower({x})", "[^a-zA-Z0-9_-]+"), "length(x) > 2"))
+    wanted = d.array(V.FIXTURE_TOKENS)
+    share = lambda x: f"cast({d.size(d.common(tokens(x), wanted))} AS double) / {len(V.FIXTURE_TOKENS)}"
+    held = " + ".join(f"CASE WHEN contains(lower(body), {d.text(e)}) THEN 1 ELSE 0 END" for e in V.FIXTURE_ENTITIES)
+    topic = f"CASE WHEN contains({d.text(query)}, category) THEN 1.0 WHEN category = 'technology' AND {d.rlike(d.text(query), 'ai|software|model|tech')} THEN 0.95 WHEN category = 'climate' AND {d.rlike(d.text(query), 'flood|earthquake|disaster')} THEN 0.95 ELSE 0.5 END"
+    yes = lambda types: " OR ".join(f"type = {d.text(t)}" for t in types)
+    return _composite(d) + f"""
+        , ev AS (SELECT ea.article_id, max(e.article_count) AS article_count, max(e.source_count) AS source_count, count(*) AS degree FROM event_articles ea JOIN story_events e ON e.event_id = ea.event_id GROUP BY ea.article_id),
+        pool AS (SELECT g.*, g.title || ' ' || g.summary AS body, {first_label(d, "lower(g.summary)", V.FIXTURE_CATEGORIES, "other")} AS category, coalesce(ev.article_count, 1) AS article_count, coalesce(ev.source_count, 1) AS source_count,
+                        coalesce(ev.degree, 0) AS degree, {_age(d, "g.published_at")} AS age, count(*) OVER (PARTITION BY g.title) AS same_title, count(*) OVER (PARTITION BY g.content) AS same_text FROM gated g LEFT JOIN ev ON ev.article_id = g.article_id),
+        typed AS (SELECT *, CASE category WHEN 'conflict' THEN 'CONFLICT' WHEN 'climate' THEN 'DISASTER' WHEN 'science' THEN 'RESEARCH_FINDING' WHEN 'law' THEN 'OPINION' ELSE '' END AS type, greatest(0.0, least(1.0, coalesce(nullif(similarity, 0), 0.5))) AS semantic_in,
+                         {share("title")} AS headline_in FROM pool),
+        featured AS (SELECT article_id, reliability AS stated, {yes(V.FIXTURE_DEMOTED)} AS demoted, cast(semantic_in AS double) AS semantic, {share("body")} AS lexical, headline_in AS headline_match, cast({held} AS double) / {len(V.FIXTURE_ENTITIES)} AS entity_overlap, {topic} AS topic,
+                            CASE WHEN type = '' THEN 0.5 WHEN {yes(V.FIXTURE_EXPECTED)} THEN 1.0 WHEN {yes(V.FIXTURE_DEMOTED)} THEN 0.05 ELSE 0.35 END AS event_type, exp(-0.004 * age) AS temporal_relevance, greatest(0.5, least(1.0, reliability)) AS source_reliability,
+                            least(1.0, source_count / 4.0) AS independence, least(1.0, log2(article_count + 1) / 3.0) AS importance, 0.6 AS novelty, CASE WHEN age <= 72 THEN 1.0 ELSE 0.6 END AS fit, CASE WHEN same_title > 1 THEN 0.8 ELSE 0.0 END AS redundancy,
+                            CASE WHEN same_text > 1 THEN 0.7 ELSE 0.0 END AS syndication, CASE WHEN degree = 0 THEN 0.4 ELSE least(1.0, degree / 5.0) END AS graph, 0.5 * headline_in + 0.5 * semantic_in AS direct, composite FROM typed)"""
+
+
+#: Columns of the features that are named otherwise than their weights.
+COLUMNS = {"headline": "headline_match", "entity": "entity_overlap", "temporal": "temporal_relevance", "reliability": "source_reliability"}
 
 
 def ranker_features(d: Spark) -> str:
-    names = ["semantic", "lexical", "headline", "temporal", "reliability", "independence", "novelty"]
-    return _features(d) + f" SELECT article_id, {', '.join(f'round(cast({x} AS double), 6) AS {x}' for x in names)} FROM featured"
+    return _features(d) + f" SELECT article_id, {', '.join(f'round(cast({COLUMNS.get(x, x)} AS double), 6) AS {x}' for x in RANKER)} FROM featured"
 
 
 def _score() -> str:
-    return f"1.0 / (1.0 + exp(-({INTERCEPT} + {' + '.join(f'{w} * {x}' for x, w in RANKER.items())})))"
+    z = " + ".join(f"{w} * {COLUMNS.get(x, x)}" for x, w in RANKER.items())
+    return f"(CASE WHEN demoted THEN {DEMOTED} ELSE 1.0 END / (1.0 + exp(-cast({INTERCEPT} + {z} AS double))))"
 
 
 def ranker_top(d: Spark) -> str:
-    return _features(d) + f" SELECT article_id, score, rn FROM (SELECT article_id, round({_score()}, 4) AS score, row_number() OVER (ORDER BY round({_score()}, 4) DESC, reliability DESC, article_id) AS rn FROM featured) x WHERE rn <= 10"
+    """The ten best; near ties by four digits go to the more reliable source."""
+    return _features(d) + f" SELECT article_id, score, rn FROM (SELECT article_id, round({_score()}, 4) AS score, row_number() OVER (ORDER BY round({_score()}, 4) DESC, stated DESC, article_id) AS rn FROM featured) x WHERE rn <= 10"
 
 
 def ranker_score(d: Spark) -> str:
-    """The logistic score of every candidate."""
-    return _features(d) + f" SELECT article_id, round({_score()}, 4) AS score FROM featured"
+    """The logistic score of every candidate of the pool."""
+    return _features(d) + f" SELECT article_id, round({_score()}, 4) AS score, demoted FROM featured"
 
 
 def knn_events(d: Spark, k: int = 3) -> str:
-    """The k story events whose mean vector is nearest each of a bounded set of query vectors."""
+    """The k story events whose mean vector is nearest each vector whose id is divisible by 100."""
     n = "generate_subscripts(embedding, 1)" if d.name == "duck" else "pos"
     flat = f"SELECT label, unnest(embedding) AS x, {n} AS pos FROM embeddings" if d.name == "duck" else "SELECT label, x, pos + 1 AS pos FROM embeddings LATERAL VIEW posexplode(embedding) p AS pos, x"
-    query = flat.replace("label,", "vec_id,").replace("FROM embeddings", "FROM (SELECT * FROM embeddings WHERE vec_id < 5) e", 1)
+    query = flat.replace("label,", "vec_id,").replace("FROM embeddings", "FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) e", 1)
     return f"""WITH flat AS ({flat}), mean AS (SELECT label AS event_id, pos, avg(cast(x AS double)) AS x FROM flat GROUP BY label, pos), norms AS (SELECT event_id, sqrt(sum(x * x)) AS norm FROM mean GROUP BY event_id),
         q AS ({query}), sizes AS (SELECT vec_id, sqrt(sum(cast(x AS double) * x)) AS norm FROM q GROUP BY vec_id),
         dots AS (SELECT q.vec_id, m.event_id, sum(cast(q.x AS double) * m.x) AS dot FROM q JOIN mean m ON m.pos = q.pos GROUP BY q.vec_id, m.event_id),

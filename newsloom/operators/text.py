@@ -27,16 +27,17 @@ def url_parts(d: Spark) -> str:
 
 def url_guard(d: Spark) -> str:
     """Addresses that must not be fetched."""
-    host = f"lower({d.group('url', '^[a-z]+://([^/:?#]+)', 1)})"
-    bad = d.rlike(host, r"^(?:localhost|127\.[0-9.]+|10\.[0-9.]+|192\.168\.[0-9.]+|169\.254\.[0-9.]+|172\.(?:1[6-9]|2[0-9]|3[01])\.[0-9.]+)$|\.(?:internal|local)$")
-    return f"SELECT page_id, {d.rlike('url', '^https?://')} AND NOT {bad} AS safe FROM pages"
+    host = f"lower({d.group('url', r'^[a-z]+://(\[[^\]]*\]|[^/:?#]+)', 1)})"
+    bad = d.rlike(host, r"^(?:localhost|.*\.localhost|0\.0\.0\.0|\[?::1\]?|127\..*|10\.[0-9.]+|192\.168\.[0-9.]+|169\.254\..*|172\.(?:1[6-9]|2[0-9]|3[01])\.[0-9.]+)$|\.(?:internal|local|lan|home|corp)$")
+    extra = " UNION ALL ".join(f"SELECT cast({-i} AS bigint), {d.text(u)}" for i, u in enumerate(("http://0.0.0.0/", "http://[::1]/", "http://a.localhost/x", "http://169.254.169.254/", "http://172.20.1.1", "http://10.0.0.1:80/", "ftp://example.com", "http://db.corp/", "https://example.com/"), 1))
+    return f"SELECT page_id, {d.rlike('url', '^https?://')} AND NOT {bad} AS safe FROM (SELECT page_id, url FROM pages UNION ALL {extra}) x"
 
 
 def strip_html_sql(d: Spark, html: str) -> str:
     x = d.replace_all(html, r"(?is)<script\b.*?</script>", " ")
     x = d.replace_all(x, r"(?is)<style\b.*?</style>", " ")
     x = d.replace_all(x, r"<[^>]*>", " ")
-    for entity, by in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    for entity, by in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'")):
         x = f"replace({x}, {d.text(entity)}, {d.text(by)})"
     return f"trim({d.replace_all(x, r'[ \t\n\r]+', ' ')})"
 
@@ -122,10 +123,27 @@ def headline_jaccard(d: Spark) -> str:
 
 
 def syndication_pairs(d: Spark) -> str:
-    """Articles of different outlets that carry the same text, found by hash."""
-    return with_tables(d, ["articles"], f"""
-        , h AS (SELECT article_id, source_id, {d.sha256("lower(content)")} AS h FROM articles), f AS (SELECT h, min(article_id) AS leader FROM h GROUP BY h)
-        SELECT f.leader, h.article_id, 'same text' AS reason FROM h JOIN f ON f.h = h.h WHERE h.article_id <> f.leader""")
+    """Articles that depend on others: those of one wire service or outlet by membership of its first article, and pairs of the first articles of word
+    sets of a similarity above 0.65 (equal sets by membership). Spark finds the pairs by a prefix filter: sets whose rarest words, as many as two that are
+    alike must share one of, meet by word. The oracle compares all."""
+    ws = d.sorted(d.distinct(d.keep(d.words(d.replace_all("lower(title || ' ' || summary)", "[^a-z0-9 \t\n\r]", ""), r"\s+"), "length(x) > 3")))
+    said = "coalesce(a.title, '') || ' ' || coalesce(s.name, '') || ' ' || left(coalesce(a.summary, ''), 300)"
+    head = with_tables(d, ["articles", "sources"], f"""
+        , m AS (SELECT a.article_id, {wire_sql(d, said, V.FIXTURE_WIRES)} AS wire, s.name AS outlet, {d.joined(ws, ' ')} AS ws FROM articles a LEFT JOIN sources s ON s.source_id = a.source_id),
+        led AS (SELECT wire, min(article_id) AS leader FROM m WHERE wire IS NOT NULL GROUP BY wire), outlets AS (SELECT outlet, min(article_id) AS leader FROM m GROUP BY outlet),
+        sets AS (SELECT ws, min(article_id) AS leader FROM m WHERE ws <> '' GROUP BY ws), listed AS (SELECT leader, {d.words('ws', ' ')} AS words FROM sets)""")
+    if d.name == "spark":
+        pairs = """, flat AS (SELECT leader, size(words) AS n, w FROM listed LATERAL VIEW explode(words) AS w), df AS (SELECT w, count(*) AS df FROM flat GROUP BY w),
+        ranked AS (SELECT f.leader, f.n, f.w, row_number() OVER (PARTITION BY f.leader ORDER BY df.df, f.w) AS place FROM flat f JOIN df ON df.w = f.w), prefix AS (SELECT leader, n, w FROM ranked WHERE place <= n - ceil(0.65 * n) + 1),
+        met AS (SELECT DISTINCT a.leader AS x, b.leader AS y FROM prefix a JOIN prefix b ON a.w = b.w AND a.leader < b.leader AND least(a.n, b.n) > 0.65 * greatest(a.n, b.n)),
+        alike AS (SELECT x, y FROM met JOIN listed a ON a.leader = x JOIN listed b ON b.leader = y WHERE size(array_intersect(a.words, b.words)) > 0.65 * (size(a.words) + size(b.words) - size(array_intersect(a.words, b.words))))"""
+    else:
+        pairs = ", alike AS (SELECT a.leader AS x, b.leader AS y FROM listed a JOIN listed b ON a.leader < b.leader WHERE len(list_intersect(a.words, b.words)) > 0.65 * (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))))"
+    return head + pairs + """
+        SELECT l.leader, m.article_id, 'same wire service' AS reason FROM m JOIN led l ON l.wire = m.wire WHERE m.article_id <> l.leader
+        UNION ALL SELECT o.leader, m.article_id, 'same outlet' FROM m JOIN outlets o ON o.outlet = m.outlet WHERE m.article_id <> o.leader
+        UNION ALL SELECT s.leader, m.article_id, 'same words' FROM m JOIN sets s ON s.ws = m.ws WHERE m.article_id <> s.leader
+        UNION ALL SELECT x, y, 'similar words' FROM alike"""
 
 
 def category_histogram(d: Spark) -> str:
@@ -157,7 +175,7 @@ def temporal_intent(d: Spark) -> str:
     rules = {
         "CURRENT_STATUS": ["right now", "currently", "at this moment", "today", "latest update", "breaking"],
         "CAUSAL": ["why did", "what caused", "cause of", "root cause", "how did this happen"],
-        "HISTORICAL": ["history of", "historical", "legacy", "origins of", "background of", "decades ago", "anniversary"],
+        "HISTORICAL": ["history of", "historical", "legacy", "handover", "origins of", "background of", "decades ago", "in the 19", "in the 200", "past events", "anniversary"],
         "RECENT_EVENT": ["what happened", "aftermath", "consequences", "damage", "victims", "rescue"],
     }
     arms = []

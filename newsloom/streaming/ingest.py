@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,11 @@ from pyspark.sql import functions as F
 
 
 def _folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/") + f"/ingest-{uuid.uuid4().hex[:12]}"
+    """A new folder below the one that driver and executors share; only where they are one process may that be unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or f"/tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/") + f"/ingest-{uuid.uuid4().hex[:12]}"
 
 
 def dedupe_stream(spark: SparkSession, path: str) -> DataFrame:
