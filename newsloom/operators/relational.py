@@ -80,7 +80,7 @@ def related_events(d: Spark) -> str:
         SELECT event_id, related_id, rn FROM (SELECT event_id, related_id, row_number() OVER (PARTITION BY event_id ORDER BY article_count DESC, related_id) AS rn FROM pairs) x WHERE rn <= 4""")
 
 
-def event_family(d: Spark, token: str = "attion") -> str:
+def event_family(d: Spark, token: str = "er") -> str:
     """Events of three seeds' country and category, or with the question's first word in the title: four each, the latest."""
     return with_tables(d, ["story_events"], f"""
         , near AS (SELECT s.event_id AS seed_id, e.event_id, e.last_updated_at FROM story_events s JOIN story_events e ON e.country = s.country AND e.category = s.category AND e.event_id <> s.event_id WHERE s.event_id < 3
