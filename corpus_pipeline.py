@@ -6,6 +6,8 @@ documents. Extra columns of documents are carried; null texts are empty; an empt
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +26,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest (doc_id, text hash) stays, ids that are null last; of rows that
-    repeat both, any one. Documents without words link with nothing and all stay. Decisions travel as ids and hashes; only texts
-    whose id and hash repeat are shuffled."""
+    repeat both, any one. Documents without words link with nothing and all stay. Decisions travel as ids and hashes, and groups of
+    one row are not looked at. A group of n rows is judged in parts, about sqrt(all rows) of them, so that no task holds a large
+    one. Texts move only where the rows that go are too many to broadcast, or where ids and hashes repeat."""
     scratch = Scratch(spark, "groups")
     found = neardup.near_duplicates(docs, text_hash="_nl_h", group="_nl_group").where(F.col("_nl_group").isNotNull())
     found = scratch.keep(found.groupBy("_nl_group", "doc_id", "_nl_h").agg(F.count(F.lit(1)).alias("_nl_rows")), "members")
-    best = found.groupBy("_nl_group").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_nl_h")).alias("_nl_best"))
+    parts = math.isqrt(found.count()) + 1
+    found = found.withColumn("_nl_part", F.pmod(F.xxhash64("doc_id", "_nl_h"), F.lit(parts)))
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_nl_h")).alias("_nl_first")
+    by_part = scratch.keep(found.groupBy("_nl_group", "_nl_part").agg(first, F.sum("_nl_rows").alias("_nl_rows")), "parts")
+    best = by_part.groupBy("_nl_group").agg(F.min("_nl_first").alias("_nl_best"), F.sum("_nl_rows").alias("_nl_size")).where("_nl_size > 1")
+    best = by_part.select("_nl_group", "_nl_part").join(best.select("_nl_group", "_nl_best"), "_nl_group")
     stays = found["doc_id"].eqNullSafe(F.col("_nl_best.doc_id")) & (found["_nl_h"] == F.col("_nl_best._nl_h"))
-    judged = found.join(best, "_nl_group").select(F.col("doc_id").alias("_nl_id"), "_nl_h", "_nl_rows", stays.alias("_nl_stays"))
+    judged = found.join(best, ["_nl_group", "_nl_part"]).select(F.col("doc_id").alias("_nl_id"), "_nl_h", "_nl_rows", stays.alias("_nl_stays"))
     judged = scratch.keep(judged.where(~F.col("_nl_stays") | (F.col("_nl_rows") > 1)), "judged")
     same = lambda other: docs["doc_id"].eqNullSafe(other["_nl_id"]) & (F.xxhash64(docs["text"]) == other["_nl_h"])
     gone, repeated = judged.where(~F.col("_nl_stays")), judged.where("_nl_stays")
