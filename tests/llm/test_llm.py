@@ -410,6 +410,19 @@ def test_near_duplicate_stage_keeps_one(spark):
     assert sorted(r.lang for r in out if not r.text) == ["g", "h", "i"]
 
 
+def test_near_duplicate_stage_large_group(spark):
+    """A group of most rows, judged in parts: exact and near copies in it, null ids, a pair, and texts that link with nothing."""
+    import corpus_pipeline
+
+    other = " ".join(f"pair{i}" for i in range(80))
+    large = [(i, BASE.replace(f"word{i % 7} ", "") if i % 3 else BASE) for i in range(1000, 700, -1)] + [(None, BASE)] * 5
+    rows = [*large, (3, other), (2, other.replace("pair40", "x")), (5, "alone in its own group of five words"), (None, ""), (9, ""), (None, "lone text of a null id")]
+    out = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in out)
+    want = [(-1, ""), (-1, "lone text of a null id"), (2, other.replace("pair40", "x")), (5, rows[-4][1]), (9, ""), (701, BASE.replace(f"word{701 % 7} ", ""))]
+    assert kept == sorted(want)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
 def test_pipeline(spark):
     import corpus_pipeline
