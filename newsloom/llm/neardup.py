@@ -10,7 +10,7 @@ Groups of copies never become all pairs. Equal texts are one class before anythi
 the one that leads most of its posting lists. What one component then holds is not compared again: only
 members of different components whose sizes and places in the list allow a link are, in lists of a bounded length all at once, in
 longer ones a bounded number of leaders against the list a round. No step holds a list in one task: postings of heavy tokens are
-salted, and what is known of a list as a whole is aggregated and joined back.
+salted, what is known of a list as a whole is aggregated and joined back, and the pairs of a class that meets many are dealt in parts.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ LIST = 1024
 HOT = 12
 #: Classes up to which those whose texts a round needs are broadcast; beyond it the join is shuffled.
 MOST_BROADCAST = 200_000
+#: A class of more candidate pairs than this is compared in parts.
+PAIRS = 64
 
 
 def prefix_length(n):
@@ -251,16 +253,36 @@ def meeting(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def texts_of(candidates: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(sig, text) of the classes that the candidates name. classes: (sig, rep, h), the id and text hash of one of its rows."""
-    wanted = scratch.keep(candidates.select(F.col("a").alias("sig")).union(candidates.select(F.col("b").alias("sig"))).distinct().join(classes, "sig").select("sig", "rep", "h"), f"{name}-wanted")
+def wanted_of(candidates: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(sig, rep, h, parts) of the classes that the candidates name: one of their rows, and in how many parts to deal the pairs of
+    each. A class of m pairs has about sqrt(m / PAIRS), so that neither a part nor the copies of its text pile up in a task.
+    classes: (sig, rep, h), the id and text hash of one of its rows."""
+    named = candidates.select(F.col("a").alias("sig")).union(candidates.select(F.col("b").alias("sig"))).groupBy("sig").count()
+    parts = F.ceil(F.sqrt(F.col("count") / F.lit(PAIRS))).cast("int").alias("parts")
+    return scratch.keep(named.join(classes, "sig").select("sig", "rep", "h", parts), f"{name}-wanted")
+
+
+def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(sig, part, text) of the wanted classes, once for each part."""
     named = broadcast_if(wanted, wanted.count(), MOST_BROADCAST)
     found = docs.where("text is not null").join(named, docs["doc_id"].eqNullSafe(wanted["rep"]) & (docs["h"] == wanted["h"]))
-    return found.select("sig", "text").dropDuplicates(["sig"])
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    return found.select("sig", parts, "text").dropDuplicates(["sig", "part"])
+
+
+def dealt(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """pairs with the parts part_a and part_b of their classes that hold them."""
+    many = wanted.where("parts > 1")
+    many = broadcast_if(many, many.count(), MOST_BROADCAST)
+    for x, other in (("a", "b"), ("b", "a")):
+        parts = many.select(F.col("sig").alias(x), "parts")
+        part = F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")
+        pairs = pairs.join(parts, x, "left").withColumn(f"part_{x}", part).drop("parts")
+    return pairs
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) of the pairs that link, by their whole texts. texts: (sig, text)."""
+    """(a, b) of the pairs (a, b, part_a, part_b) that link, by their whole texts. texts: (sig, part, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[int, np.ndarray] = {}
@@ -277,9 +299,9 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             on = [linked(of(x.as_py(), s), of(y.as_py(), t)) for x, y, s, t in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(on, pa.bool_())) for c in cols[:2]], names=["a", "b"])
 
-    one = texts.select(F.col("sig").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("sig").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    one = texts.select(F.col("sig").alias("a"), F.col("part").alias("part_a"), F.col("text").alias("text_a"))
+    two = texts.select(F.col("sig").alias("b"), F.col("part").alias("part_b"), F.col("text").alias("text_b"))
+    return pairs.join(one, ["a", "part_a"]).join(two, ["b", "part_b"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -351,7 +373,8 @@ def near_duplicates(docs: DataFrame, text_hash: str | None = None, group: str |
     first = first.groupBy(F.col("sig").alias("b"), F.col("low.sig").alias("a")).agg(F.count(F.lit(1)).alias("shared"), F.first("low.n").alias("n_a"), F.first("n").alias("n_b"))
     first = first.groupBy("b").agg(F.max(F.struct("shared", "a", "n_a", "n_b")).alias("x")).select("x.a", "b", "x.n_a", "x.n_b")
     candidates = scratch.keep(meeting(first, prefixes), "candidates")
-    links = scratch.keep(verify(candidates, texts_of(candidates, docs, classes, scratch, "first")), "links")
+    wanted = wanted_of(candidates, classes, scratch, "first")
+    links = scratch.keep(verify(dealt(candidates, wanted), texts_of(wanted, docs)), "links")
     comps = components(links, scratch, "comps")
 
     k = 0
@@ -377,7 +400,8 @@ def near_duplicates(docs: DataFrame, text_hash: str | None = None, group: str |
         ordered = [F.when(swap, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")) for c in ("sig", "n")] + [F.when(swap, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")) for c in ("sig", "n")]
         met = met.select(*[c.alias(x) for c, x in zip(ordered, ("a", "n_a", "b", "n_b"), strict=True)]).distinct()
         candidates = scratch.keep(meeting(met, prefixes), f"candidates-{k}")
-        found = scratch.keep(verify(candidates, texts_of(candidates, docs, classes, scratch, f"round-{k}")), f"links-{k}")
+        wanted = wanted_of(candidates, classes, scratch, f"round-{k}")
+        found = scratch.keep(verify(dealt(candidates, wanted), texts_of(wanted, docs)), f"links-{k}")
         if found.limit(1).count():
             links = scratch.keep(links.union(found), f"all-{k}")
             comps = components(links, scratch, f"comps-{k}")

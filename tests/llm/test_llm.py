@@ -260,6 +260,15 @@ def test_lists_beyond_the_bound(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_pairs_dealt_in_parts(spark, monkeypatch):
+    """Texts that meet many others, compared in parts of their pairs, both as the first and as the second of a pair."""
+    monkeypatch.setattr(neardup, "PAIRS", 1)
+    w = [f"t{k}" for k in range(60)]
+    rows = [(i, " ".join(w + [f"own{i}x{k}" for k in range(i % 11)])) for i in range(60)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
 def test_warc(spark):
     big, small = "<p>é</p>" * 300, "<p>"
     rows = [(1, "http://a/\r\nX: y", big), (2, None, big), (3, "http://b", big), (4, "http://c", small), (5, "http://c", small), (6, "u", None), (3, "http://b", big), (None, "n", big)]
