@@ -100,6 +100,12 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def small_messages(spark: SparkSession, size: str = "4m") -> None:
+    """At most so many bytes in an Arrow batch, besides the bound on rows: pairs of long texts else fill hundreds of megabytes, in the
+    JVM and in its Python worker at once. The session keeps the setting, as above."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def where_computed(df: DataFrame, cond: Column) -> DataFrame:
     """df.where(cond) on columns that cost much to compute. A plain filter would be pushed down through their projection, and each
     mention of such a column would then be computed again, within lambdas even once an element; it is not pushed past a column

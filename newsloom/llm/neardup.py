@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsloom.llm.common import Scratch, broadcast_if, read_table, small_batches
+from newsloom.llm.common import Scratch, broadcast_if, read_table, small_batches, small_messages
 from newsloom.llm.features import mix
 
 #: Words of a shingle; similarity, as a fraction, of which pairs link.
@@ -345,6 +345,7 @@ def near_duplicates(docs: DataFrame, text_hash: str | None = None, group: str |
     """
     spark = docs.sparkSession
     small_batches(spark)
+    small_messages(spark)
     scratch = Scratch(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     seen = scratch.keep(scan(docs), "scan")
