@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, classifier, fingerprints, licenses, mixing, neardup, pii, quality, toxicity, warc
+from newsloom.llm import bpe, classifier, fingerprints, licenses, mixing, neardup, pii, quality, sentencepiece_bpe, spelling, toxicity, warc, whitening
 
 
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,9 +33,15 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op9_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
 
 
+def whitening_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact columns of op12_whitening."""
+    return whitening.op12_whitening(spark, sf_dir).select("vec_id", "component", "n", "deviation")
+
+
 def queries() -> dict:
     found = [bpe.op1_bpe, quality.op2_quality, licenses.op3_licenses, fingerprints.op4_fingerprints, neardup.op5_neardup, warc.op6_warc, classifier.op7_classifier, pii.op8_pii, mixing.op9_mixing, toxicity.op10_toxicity]
-    return {f.__name__: f for f in [*found, quality_base, license_base, fingerprint_edits, pii_base, mixing_targets]}
+    found += [sentencepiece_bpe.op11_sentencepiece, whitening.op12_whitening, spelling.op13_spelling]
+    return {f.__name__: f for f in [*found, quality_base, license_base, fingerprint_edits, pii_base, mixing_targets, whitening_base]}
 
 
 _SPACE_WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -98,6 +104,37 @@ level AS (SELECT (t.total - coalesce(sum(3.0::double * w.source_size) FILTER (WH
 SELECT d.doc_id, d.size, w.source_size, round(least(3.0::double * w.source_size, coalesce(v.water, 1e300) * w.weight), 4) AS target FROM d JOIN weighed w ON w.source IS NOT DISTINCT FROM d.source CROSS JOIN level v"""
 
 
+_WHITENING = """
+WITH x AS (SELECT vec_id, list_transform(embedding, lambda c: cast(floor(1024 * cast(c AS double)) AS bigint) + 100000) AS x FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c)))),
+e AS (SELECT unnest(range(1, len(x) + 1)) AS i, unnest(x) AS v FROM x), s AS (SELECT i, sum(v) AS s, count(*) AS n FROM e GROUP BY i), t AS (SELECT list(s ORDER BY i) AS s, any_value(n) AS n FROM s)
+SELECT vec_id, cast(unnest(range(1, least(8, len(x)) + 1)) AS int) AS component, n, cast(list_sum(list_transform(range(1, len(x) + 1), lambda i: (n * x[i] - s[i]) * (n * x[i] - s[i]))) AS bigint) AS deviation FROM x, t"""
+
+
+def _nibbles(poly: int = 0xEDB88320) -> list[int]:
+    """What four zero bits make of each of the 16 last nibbles of a reflected CRC."""
+    out = list(range(16))
+    for _ in range(4):
+        out = [c >> 1 ^ (poly if c & 1 else 0) for c in out]
+    return out
+
+
+_BEYOND, _ASCII = "".join(map(chr, range(0xC0, 0x100))), "".join(chr(c) for c in range(33, 127) if not 97 <= c <= 122 and c not in (39, 92))
+_SPELLING = rf"""
+WITH RECURSIVE runs AS (SELECT coalesce(cast(doc_id AS varchar), '') AS id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+own AS (SELECT id, run, count(*) AS c, hex(id || ':' || run) AS hx FROM runs GROUP BY id, run),
+hashed AS (SELECT run, c, xor(4294967295, list_reduce(list_transform(flatten(list_transform(range(1, len(hx) // 2 + 1), lambda k: [hx[2 * k], hx[2 * k - 1]])), lambda h: cast(strpos('123456789ABCDEF', h) AS bigint)),
+           lambda crc, b: xor(crc >> 4, {_nibbles()}[(xor(crc, b) & 15) + 1]), 4294967295)) AS h FROM own),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, cast(sum(c) AS bigint) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+variants AS (SELECT DISTINCT word, n, translate(word, '{_BEYOND}', '{_ASCII[:64].replace("'", "''")}') AS plain, unnest(list_transform(range(0, length(word) + 1), lambda i: CASE WHEN i = 0 THEN word ELSE left(word, i - 1) || substr(word, i + 1) END)) AS v FROM words),
+near AS (SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM variants a JOIN variants b ON a.v = b.v AND a.word <> b.word WHERE levenshtein(a.plain, b.plain) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+found AS (SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.near_n >= 2 * w.n THEN r.near END AS form, CASE WHEN r.near_n >= 2 * w.n THEN r.near_n END AS form_n FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.k = 1),
+led AS (SELECT word, word AS at, form AS next FROM found UNION ALL SELECT l.word, f.word, f.form FROM led l JOIN found f ON f.word = l.next)
+SELECT f.word, f.form, l.at AS root, f.n, f.n_near, f.form_n FROM found f JOIN led l ON l.word = f.word AND l.next IS NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """What no SQL can express is tested against brute force: ids of BPE, ratios, licence labels, fingerprints, disclosing terms, draws, models."""
-    return {"op5_neardup": _NEARDUP, "op6_warc": _WARC, "quality_base": _QUALITY, "license_base": _LICENSES, "fingerprint_edits": _EDITS, "pii_base": _PII, "mixing_targets": _TARGETS}
+    """What no SQL can express is tested against brute force: ids of BPE and of pieces, ratios, licence labels, fingerprints, disclosing terms, draws,
+    models, eigenvectors."""
+    return {"op5_neardup": _NEARDUP, "op6_warc": _WARC, "quality_base": _QUALITY, "license_base": _LICENSES, "fingerprint_edits": _EDITS, "pii_base": _PII, "mixing_targets": _TARGETS, "whitening_base": _WHITENING, "op13_spelling": _SPELLING}

@@ -18,6 +18,9 @@ COLUMNS = {
     "op7_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
     "op8_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
     "op9_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op11_sentencepiece": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op12_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
+    "op13_spelling": "word string, form string, root string, n bigint, n_near bigint, form_n bigint",
     "op10_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
 }
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -31,7 +34,7 @@ def plain(v):
 def test_equals_sql(spark, name):
     df = queries.queries()[name](spark, SF)
     duck = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         duck.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     found = duck.execute(queries.oracle_sql()[name])
     names = [x[0] for x in found.description]
@@ -45,5 +48,7 @@ def test_columns(spark, name):
     df = queries.queries()[name](spark, SF)
     types = dict(df.dtypes)
     assert all(types[c.split()[0]] == c.split()[1] for c in COLUMNS[name].split(", "))
+    if name in ("op12_whitening", "op13_spelling"):  # rows for components and words
+        return
     table = "pages" if name == "op6_warc" else "documents"
     assert df.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
