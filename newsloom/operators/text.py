@@ -169,20 +169,28 @@ def source_tier(d: Spark) -> str:
         WHEN contains({host}, 'bbc.') OR contains({host}, 'reuters.com') OR contains({host}, 'apnews.com') THEN 'HIGH_QUALITY_NEWS' ELSE 'SECONDARY_ANALYSIS' END AS tier FROM pages"""
 
 
-def temporal_intent(d: Spark) -> str:
-    """What time a question asks about: the first rule with one of its phrases."""
-    q = "lower(trim(text))"
-    rules = {
-        "CURRENT_STATUS": ["right now", "currently", "at this moment", "today", "latest update", "breaking"],
-        "CAUSAL": ["why did", "what caused", "cause of", "root cause", "how did this happen"],
-        "HISTORICAL": ["history of", "historical", "legacy", "handover", "origins of", "background of", "decades ago", "in the 19", "in the 200", "past events", "anniversary"],
-        "RECENT_EVENT": ["what happened", "aftermath", "consequences", "damage", "victims", "rescue"],
-    }
+#: What time a question asks about, by its phrases (fixed values).
+TEMPORAL = {
+    "CURRENT_STATUS": ["right now", "currently", "at this moment", "today", "latest update", "breaking"],
+    "CAUSAL": ["why did", "what caused", "cause of", "root cause", "how did this happen"],
+    "HISTORICAL": ["history of", "historical", "legacy", "handover", "origins of", "background of", "decades ago", "in the 19", "in the 200", "past events", "anniversary"],
+    "RECENT_EVENT": ["what happened", "aftermath", "consequences", "damage", "victims", "rescue"],
+}
+
+
+def temporal_sql(d: Spark, text: str) -> str:
+    """The first rule with one of its phrases."""
+    q = f"lower(trim({text}))"
     arms = []
-    for label, phrases in rules.items():
+    for label, phrases in TEMPORAL.items():
         cond = " OR ".join(f"contains({q}, {d.text(p)})" for p in phrases)
         arms.append(f"WHEN {cond}{f' OR {q} LIKE ' + d.text('is %') + f' OR {q} LIKE ' + d.text('are %') if label == 'CURRENT_STATUS' else ''} THEN {d.text(label)}")
-    return f"SELECT conv_id, turn, CASE {' '.join(arms)} ELSE 'GENERAL_TOPIC' END AS intent FROM conversations WHERE role = 'user'"
+    return f"CASE {' '.join(arms)} ELSE 'GENERAL_TOPIC' END"
+
+
+def temporal_intent(d: Spark) -> str:
+    """What time each user turn asks about."""
+    return f"SELECT conv_id, turn, {temporal_sql(d, 'text')} AS intent FROM conversations WHERE role = 'user'"
 
 
 def region_activity(d: Spark) -> str:
@@ -227,7 +235,7 @@ def source_hierarchy(d: Spark) -> str:
         UNION ALL SELECT 'source', source_id, {hierarchy_sql(d, "name", "CASE WHEN source_id % 3 = 1 THEN '' ELSE type END", "''")} FROM sources""")
 
 
-#: Types of events that a question's signals ask for, and those that they rule out.
+#: Types of events that a question's signals ask for, and those that they rule out (fixed values).
 EXPECTED = {
     "forecast": "FORECAST", "model": "MODEL_RELEASE,PRODUCT_LAUNCH,PRODUCT_RELEASE,COMPANY_ANNOUNCEMENT", "launches": "PRODUCT_LAUNCH,PRODUCT_RELEASE,FEATURE_RELEASE,COMPANY_ANNOUNCEMENT",
     "research": "RESEARCH_FINDING,SCIENTIFIC_DISCOVERY,REPORT", "court": "COURT_DECISION,REPORT,INVESTIGATION", "cause": "REPORT,INVESTIGATION,DISASTER,CONFLICT,ANALYSIS", "disaster": "DISASTER,REPORT",

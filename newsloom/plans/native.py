@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import vocabulary as V
 from newsloom.functions.dialect import Spark
-from newsloom.operators import clusters, retrieval
+from newsloom.operators import asking, clusters, questions, retrieval
+from newsloom.plans import asking_sql
+from newsloom.sources.adapters import AS_OF, first_label, with_tables
+from newsloom.sources.tables import Scratch
 from newsloom.streaming import ingest
 
 
@@ -44,9 +47,45 @@ def independent_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.independent_clusters(spark.sql(pool), V.FIXTURE_WIRES)
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the user turns of all conversations ask; the news signals and some of the fixture's words."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
+    signals = {k: [*ts, *V.FIXTURE_SIGNALS.get(k, [])] for k, ts in V.INTENT_SIGNALS.items()}
+    return questions.expand(turns, ["conv_id", "turn"], signals)
+
+
+def expand_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, entities, hypotheses, keywords and expanded text of every user turn."""
+    listed = lambda c, by: F.array_join(c, by).alias(c)
+    return _turns(spark, sf_dir).select("conv_id", "turn", "temporal_intent", listed("tokens", " "), listed("entities", "|"), listed("hypotheses", "|"), listed("keywords", " "), "expanded")
+
+
+def news_tables(spark: SparkSession, sf_dir: str) -> asking.Corpus:
+    """The news tables over the fixture; an item's event type comes from its category."""
+    for t in ("documents", "embeddings", "benchmark", "labels", "nation"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    d = Spark()
+    sql = lambda names, body: spark.sql(with_tables(d, names, body))
+    types = lambda c: f"array(CASE {c} {' '.join(f'WHEN {d.text(k)} THEN {d.text(v)}' for k, v in V.FIXTURE_TYPES.items())} ELSE 'OTHER' END) AS event_types"
+    return asking.Corpus(
+        articles=sql(["articles", "sources"], f"SELECT a.article_id, a.title, a.summary, a.content, a.published_at, s.name AS outlet, s.type AS kind, s.reliability, {types(first_label(d, 'lower(a.summary)', V.FIXTURE_CATEGORIES, 'other'))} FROM articles a LEFT JOIN sources s ON s.source_id = a.source_id"),
+        events=sql(["story_events"], f"SELECT event_id, title, lead AS summary, category, status, country, source_count, article_count, first_reported_at, last_updated_at, {types('category')} FROM story_events"),
+        members=sql(["event_articles"], "SELECT event_id, article_id FROM event_articles"),
+        named=sql(["entities", "event_articles"], "SELECT DISTINCT e.name, ea.event_id FROM entities e JOIN event_articles ea ON ea.article_id = e.article_id"),
+        claims=sql(["claims"], "SELECT claim_id, event_id, claim_text FROM claims"),
+        as_of=AS_OF,
+    )
+
+
+def ask_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dossier of every user turn; conversations take the three modes in turn."""
+    mode = F.element_at(questions.strings(["ask", "fact_check", "research"]), (F.col("conv_id") % 3 + 1).cast("int"))
+    return asking.dossiers(_turns(spark, sf_dir).withColumn("mode", mode), ["conv_id", "turn"], news_tables(spark, sf_dir), Scratch(spark, "asking").keep)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (ingest_stream_dedupe, train_logreg, independent_clusters)}
+    return {f.__name__: f for f in (ingest_stream_dedupe, train_logreg, independent_clusters, expand_questions, ask_turns)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"ingest_stream_dedupe": "SELECT sha256(lower(text)) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1"}
+    return asking_sql.oracle_sql() | {"ingest_stream_dedupe": "SELECT sha256(lower(text)) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1"}
