@@ -11,7 +11,7 @@ from newsloom.operators import asking, clusters, questions, retrieval
 from newsloom.plans import asking_sql
 from newsloom.sources.adapters import AS_OF, first_label, with_tables
 from newsloom.sources.tables import Scratch
-from newsloom.streaming import ingest
+from newsloom.streaming import clustering, ingest
 
 
 def ingest_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +83,44 @@ def ask_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asking.dossiers(_turns(spark, sf_dir).withColumn("mode", mode), ["conv_id", "turn"], news_tables(spark, sf_dir), Scratch(spark, "asking").keep)
 
 
+def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table's files as a stream."""
+    where, name = ingest.folder_of(spark, f"{sf_dir}/{table}.parquet")
+    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{table}.parquet").schema).option("pathGlobFilter", name).parquet(where)
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> clustering.EventStore:
+    """The articles of all documents as a stream of one run; half of them have vectors."""
+    store, d = clustering.EventStore(spark, Scratch(spark, "clustering").root), Spark()
+    types = f"CASE category {' '.join(f'WHEN {d.text(k)} THEN {d.text(v)}' for k, v in V.FIXTURE_TYPES.items())} ELSE 'OTHER' END"
+
+    def prepared(batch: DataFrame) -> DataFrame:
+        own = batch.sparkSession
+        batch.createOrReplaceTempView("documents")
+        own.read.parquet(f"{sf_dir}/embeddings.parquet").createOrReplaceTempView("embeddings")
+        return own.sql(with_tables(d, ["articles", "sources"], f"""
+            SELECT article_id, title, summary, published_at, source, reliability, category, array({types}) AS event_types, embedding FROM (
+            SELECT a.article_id, a.title, a.summary, a.published_at, s.name AS source, s.reliability, {first_label(d, "lower(a.summary)", V.FIXTURE_CATEGORIES, "other")} AS category, cast(e.embedding AS array<double>) AS embedding
+            FROM articles a LEFT JOIN sources s ON s.source_id = a.source_id LEFT JOIN embeddings e ON e.vec_id = a.article_id) x"""))
+
+    clustering.cluster_stream(_stream(spark, sf_dir, "documents"), prepared, store)
+    return store
+
+
+def online_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event that each article joined or founded when it came, and whether it gave the event its headline."""
+    joined = _clustered(spark, sf_dir).table("joined", clustering.JOINED)
+    return joined.select("article_id", "event_id", F.round("relevance", 6).alias("relevance"), "is_new", "new_headline")
+
+
+def cluster_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the stream with their counts of articles and sources, the article whose headline they have, and entries of the live feed."""
+    joined = _clustered(spark, sf_dir).table("joined", clustering.JOINED)
+    return clustering.event_counts(joined)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (ingest_stream_dedupe, train_logreg, independent_clusters, expand_questions, ask_turns)}
+    return {f.__name__: f for f in (ingest_stream_dedupe, train_logreg, independent_clusters, expand_questions, ask_turns, online_clusters, cluster_events)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,15 +17,21 @@ def _folder(spark: SparkSession) -> str:
     return (found or f"/tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/") + f"/ingest-{uuid.uuid4().hex[:12]}"
 
 
+def folder_of(spark: SparkSession, path: str) -> tuple[str, str]:
+    """(folder, pattern of names) by which a stream reads a table: it reads folders, so a single file is named in its own."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return path, "*.parquet"
+    where, name = path.rsplit("/", 1)
+    return where, name
+
+
 def dedupe_stream(spark: SparkSession, path: str) -> DataFrame:
     """(content_hash, doc_id): each batch keeps its least doc_id by hash and is appended under its batch number, so that a batch
     that is run again replaces itself; the reader takes the least of all batches."""
     root = _folder(spark)
     schema = spark.read.parquet(path).schema
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
-    # a stream reads folders: of a single file, its folder and name
-    where, name = (path, "*.parquet") if folder else path.rsplit("/", 1)
+    where, name = folder_of(spark, path)
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(where)
 
     def merge(batch: DataFrame, number: int) -> None:
