@@ -62,19 +62,33 @@ def normalize_articles(d: Spark) -> str:
         SELECT article_id, title, CASE WHEN length(content) > 500 THEN left(content, 497) || '...' ELSE content END AS summary, coalesce(nullif(lang, ''), 'en') AS lang FROM articles WHERE length(trim(title)) >= 5""")
 
 
+def address_sql(d: Spark, url: str) -> str:
+    """Host and path of an address in lower case, without port, user and final slashes; what is no address is kept as it is."""
+    whole = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)"
+    host, path = d.group(url, whole, 1), d.group(url, whole, 2)
+    return f"CASE WHEN {host} <> '' THEN {d.replace_all(f'lower({host} || {path})', '/+$', '')} ELSE lower(trim({url})) END"
+
+
 def content_hash_sql(d: Spark) -> str:
-    title = f"trim({d.replace_all(d.replace_all('lower(title)', r'[^A-Za-z0-9_ \t\n\r]', ''), r'[ \t\n\r]+', ' ')})"
-    snippet = f"trim(left({d.replace_all('lower(content)', r'[ \t\n\r]+', ' ')}, 150))"
-    return d.sha256(f"{title} || '|' || 'example.com/' || lang || '|' || {snippet}")
+    """The key of an article: its title and the start of its content without case, marks and runs of blanks, and its address; of
+    columns title, content and url, where nulls are empty."""
+    title = f"trim({d.replace_all(d.replace_all('lower(coalesce(title, ' + d.text('') + '))', r'[^A-Za-z0-9_ \t\n\r]', ''), r'[ \t\n\r]+', ' ')})"
+    snippet = f"trim(left({d.replace_all('lower(coalesce(content, ' + d.text('') + '))', r'[ \t\n\r]+', ' ')}, 150))"
+    return d.sha256(f"{title} || '|' || {address_sql(d, 'coalesce(url, ' + d.text('') + ')')} || '|' || {snippet}")
+
+
+def _addressed(d: Spark) -> str:
+    """Articles with their keys; those whose page is among the pages have its address."""
+    return with_tables(d, ["articles"], f", hashed AS (SELECT article_id, {content_hash_sql(d)} AS content_hash FROM (SELECT a.article_id, a.title, a.content, p.url FROM articles a LEFT JOIN pages p ON p.page_id = a.article_id) x)")
 
 
 def content_hash(d: Spark) -> str:
-    return with_tables(d, ["articles"], f"SELECT article_id, {content_hash_sql(d)} AS content_hash FROM articles")
+    return _addressed(d) + " SELECT article_id, content_hash FROM hashed"
 
 
 def dedupe_articles(d: Spark) -> str:
     """The first article of each content hash."""
-    return with_tables(d, ["articles"], f"SELECT content_hash, min(article_id) AS article_id, count(*) AS copies FROM (SELECT article_id, {content_hash_sql(d)} AS content_hash FROM articles) x GROUP BY content_hash")
+    return _addressed(d) + " SELECT content_hash, min(article_id) AS article_id, count(*) AS copies FROM hashed GROUP BY content_hash"
 
 
 def claim_hash(d: Spark) -> str:

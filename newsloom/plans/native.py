@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import vocabulary as V
-from newsloom.functions.dialect import Spark
+from newsloom.functions.dialect import Duck, Spark
 from newsloom.operators import asking, clusters, questions, retrieval
+from newsloom.operators.text import dedupe_articles
 from newsloom.plans import asking_sql
 from newsloom.sources.adapters import AS_OF, first_label, with_tables
 from newsloom.sources.tables import Scratch
@@ -15,8 +16,17 @@ from newsloom.streaming import clustering, ingest
 
 
 def ingest_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table as a stream in one available-now run: the first row of each content hash, as in a batch."""
-    return ingest.dedupe_stream(spark, f"{sf_dir}/documents.parquet")
+    """The documents as a stream of articles into the keyed store: the first of each content hash, by the key of the batch queries."""
+    store = ingest.ArticleStore(spark, Scratch(spark, "ingest").root, "article_id bigint, title string, content string, url string")
+
+    def prepared(batch: DataFrame) -> DataFrame:
+        own = batch.sparkSession
+        batch.createOrReplaceTempView("documents")
+        own.read.parquet(f"{sf_dir}/pages.parquet").createOrReplaceTempView("pages")
+        return own.sql(with_tables(Spark(), ["articles"], "SELECT a.article_id, a.title, a.content, p.url FROM articles a LEFT JOIN pages p ON p.page_id = a.article_id"))
+
+    store.follow(_stream(spark, sf_dir, "documents"), prepared)
+    return store.articles().select("content_hash", "article_id")
 
 
 def train_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,4 +134,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return asking_sql.oracle_sql() | {"ingest_stream_dedupe": "SELECT sha256(lower(text)) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1"}
+    dedupe = dedupe_articles(Duck()).replace(", count(*) AS copies", "")
+    return asking_sql.oracle_sql() | {"ingest_stream_dedupe": dedupe}

@@ -58,9 +58,37 @@ def test_page(number, size, found):
     assert page(number, size) == found
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from newsloom.streaming.ingest import dedupe_stream
-
-    at = str(tmp_path / "documents.parquet")
-    spark.createDataFrame([(1, "a"), (2, "A"), (3, "b"), (4, "a")], "doc_id long, text string").repartition(3).write.parquet(at)
-    assert sorted(r.doc_id for r in dedupe_stream(spark, at).collect()) == [1, 3]
+ROWS = "article_id long, title string, content string, url string, image string"
+
+
+def test_keyed_store(spark, tmp_path, monkeypatch):
+    """Batches into the store, one of which fails after it was written and runs again; then the stream again with nothing new."""
+    from newsloom.streaming.ingest import ArticleStore
+
+    batches = [
+        [(4, "A  title!", "Body", "https://www.x.org:80/A/?q=1", None), (2, "a title", " body ", "http://www.x.org/a", None), (9, None, None, None, None)],
+        [(1, "a title", "body", "www.x.org/a", None), (3, "a title", "body", "https://u@www.x.org/a//", "i3"), (8, None, "", "", "i8")],
+        [(5, "A title", "BODY", "http://www.x.org/a", "i5"), (6, "other", "body", None, None)],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, ROWS).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    store, merge, calls = ArticleStore(spark, f"{tmp_path}/store", ROWS), ArticleStore.merge, []
+
+    def fails(self, batch, number):
+        merge(self, batch, number)
+        calls.append(number)
+        if calls == [0, 1]:
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(ArticleStore, "merge", fails)
+    stream = lambda: spark.readStream.schema(ROWS).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    with pytest.raises(Exception, match="lost"):
+        store.follow(stream(), lambda b: b)
+    for _ in range(2):
+        store.follow(stream(), lambda b: b)
+        rows = store.articles().collect()
+        assert len(rows) == len({r.content_hash for r in rows}) == 3 and calls == [0, 1, 1, 2]
+        assert {r.article_id for r in rows} >= {2, 6, 9}
+    # what a stored row lacks comes from later copies of its key; nothing that it has is replaced
+    filled = {r.article_id: (r.image, r.title) for r in store.filled("image").collect()}
+    assert filled[2] == ("i3", "a title") and filled[9] == ("i8", None) and filled[6] == (None, "other")
