@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import vocabulary as V
 from newsloom.functions.dialect import Duck, Spark
-from newsloom.operators import asking, clusters, questions, retrieval
+from newsloom.operators import asking, clusters, questions, retrieval, verification
 from newsloom.operators.text import dedupe_articles
-from newsloom.plans import asking_sql
+from newsloom.plans import asking_sql, verification_sql
 from newsloom.sources.adapters import AS_OF, first_label, with_tables
 from newsloom.sources.tables import Scratch
 from newsloom.streaming import clustering, ingest
@@ -129,10 +129,20 @@ def cluster_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.event_counts(joined)
 
 
+def claim_verifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every claim by the reports for and against it."""
+    for t in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    d, scratch = Spark(), Scratch(spark, "claims")
+    every = scratch.keep(spark.sql(with_tables(d, ["claims", "evidence", "articles", "sources"], verification_sql.reports(d))), "reports")
+    claims = spark.sql(with_tables(d, ["claims"], "SELECT claim_id FROM claims"))
+    return verification.verify(claims, every.where("NOT denies"), every.where("denies"), scratch.keep, V.FIXTURE_WIRES)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (ingest_stream_dedupe, train_logreg, independent_clusters, expand_questions, ask_turns, online_clusters, cluster_events)}
+    return {f.__name__: f for f in (ingest_stream_dedupe, train_logreg, independent_clusters, expand_questions, ask_turns, claim_verifications, online_clusters, cluster_events)}
 
 
 def oracle_sql() -> dict[str, str]:
     dedupe = dedupe_articles(Duck()).replace(", count(*) AS copies", "")
-    return asking_sql.oracle_sql() | {"ingest_stream_dedupe": dedupe}
+    return asking_sql.oracle_sql() | verification_sql.oracle_sql() | {"ingest_stream_dedupe": dedupe}
