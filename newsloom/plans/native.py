@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import vocabulary as V
 from newsloom.functions.dialect import Duck, Spark
-from newsloom.operators import asking, clusters, questions, retrieval, verification
+from newsloom.operators import asking, clusters, intelligence, questions, reports, retrieval, verification
 from newsloom.operators.text import dedupe_articles
-from newsloom.plans import asking_sql, verification_sql
+from newsloom.plans import asking_sql, reports_sql, verification_sql
 from newsloom.sources.adapters import AS_OF, first_label, with_tables
 from newsloom.sources.tables import Scratch
 from newsloom.streaming import clustering, ingest
@@ -139,10 +139,26 @@ def claim_verifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verification.verify(claims, every.where("NOT denies"), every.where("denies"), scratch.keep, V.FIXTURE_WIRES)
 
 
+def event_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of every story event."""
+    for t in ("documents", "embeddings", "benchmark", "labels", "nation"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    d = Spark()
+    sql = lambda names, body: spark.sql(with_tables(d, names, body))
+    news = reports.News(
+        events=sql(["story_events"], "SELECT event_id, title, lead AS summary, category, severity, status, country, source_count, article_count, first_reported_at, last_updated_at FROM story_events"),
+        articles=sql(["event_articles", "articles", "sources"], "SELECT ea.event_id, a.article_id, a.title, a.summary, a.published_at, s.name AS outlet, s.type AS kind, '' AS url, s.reliability FROM event_articles ea JOIN articles a ON a.article_id = ea.article_id LEFT JOIN sources s ON s.source_id = a.source_id"),
+        claims=sql(["claims"], "SELECT event_id, claim_id, claim_text, status, extracted_at, status <> 'CONTRADICTED' AS causal FROM claims"),
+        named=sql(["entities", "event_articles"], "SELECT ea.event_id, e.name, e.type FROM entities e JOIN event_articles ea ON ea.article_id = e.article_id"),
+    )
+    timeline = spark.sql(intelligence.timeline(d))
+    return reports.assemble(news, Scratch(spark, "reports").keep, timeline, reports_sql.STAGE_WORDS, V.FIXTURE_FRAMES, V.FIXTURE_WIRES)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (ingest_stream_dedupe, train_logreg, independent_clusters, expand_questions, ask_turns, claim_verifications, online_clusters, cluster_events)}
+    return {f.__name__: f for f in (ingest_stream_dedupe, train_logreg, independent_clusters, expand_questions, ask_turns, claim_verifications, event_reports, online_clusters, cluster_events)}
 
 
 def oracle_sql() -> dict[str, str]:
     dedupe = dedupe_articles(Duck()).replace(", count(*) AS copies", "")
-    return asking_sql.oracle_sql() | verification_sql.oracle_sql() | {"ingest_stream_dedupe": dedupe}
+    return asking_sql.oracle_sql() | verification_sql.oracle_sql() | reports_sql.oracle_sql() | {"ingest_stream_dedupe": dedupe}
