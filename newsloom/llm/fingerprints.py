@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsloom.llm.common import read_table, unit_hash, words
 
-#: Symbols in a k-mer and in its inner substrings. A k-mer is an anchor if its least inner substring is its first or its last.
-K, S = 6, 2
+#: Scales of symbols, from fine to coarse: name, symbols in a k-mer and in its inner substrings, and the code points (more than the first
+#: number, at most the second) of the texts that have them. A k-mer is an anchor if its least inner substring is its first or
+#: its last. A text and one of at least half and at most all of its length have a scale in common.
+SCALES = (("a", 2, 1, 0, 24), ("b", 4, 2, 12, 96), ("c", 6, 2, 48, 512), ("w", 6, 2, 256, 1 << 31))
+#: The scale whose symbols are words; texts of fewer words than FEW have scale c at any length.
+WORDS, FEW = "w", 24
 #: Two matches are in one group if their shifts, or those of matches between them, are within this many symbols of each other.
 SHIFT = 8
 #: Rows of a range of ids, ranges at most (beyond it ranges get longer and their sorts spill), and ids a range that the bounds are
@@ -17,29 +24,48 @@ SHIFT = 8
 RANGE_ROWS, MOST_RANGES, SAMPLE = 128, 1 << 17, 32
 
 
-def _symbols(text: Column) -> Column:
-    """Hashes of the words; of the code points if there are too few words for a k-mer."""
-    ws = words(text)
-    return F.transform(F.when(F.size(ws) >= K, ws).otherwise(F.split(F.coalesce(text, F.lit("")), "")), lambda w: F.xxhash64(w))
+_ANCHORS = "array<struct<h:bigint,p:int>>"
 
 
-def add_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with `name`: arrays of hashes, ascending, and of their places; a hash comes once for each place. Texts without an anchor get one for the whole of them, empty texts none."""
-    h, m = f"{name}_h", f"{name}_m"
-    inner = K - S
-    df = df.withColumn(h, F.when(F.coalesce(F.length(text), F.lit(0)) > 0, _symbols(F.col(text))).otherwise(F.array().cast("array<long>")))
-    mers = F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    df = df.withColumn(m, mers)
+def _anchors(h: str, m: str, k: int, s: int) -> Column:
+    """Anchors (h, p) of the symbols' hashes h and their inner substrings' hashes m, ascending."""
+    inner = k - s
 
     def anchor(i: Column) -> Column:
-        at = [F.get(m, i + k) for k in range(inner + 1)]
-        return F.when((F.least(*at) == at[0]) | (F.least(*at) == at[inner]), F.struct(F.xxhash64(*[F.get(h, i + k) for k in range(K)]).alias("h"), i.alias("p")))
+        at = [F.get(m, i + j) for j in range(inner + 1)]
+        return F.when((F.least(*at) == at[0]) | (F.least(*at) == at[inner]), F.struct(F.xxhash64(*[F.get(h, i + j) for j in range(k)]).alias("h"), i.alias("p")))
+
+    found = F.filter(F.transform(F.sequence(F.lit(0), F.size(h) - k), anchor), lambda x: x.isNotNull())
+    return F.when(F.size(h) >= k, F.sort_array(found)).otherwise(F.array().cast(_ANCHORS))
 
-    anchors = F.filter(F.transform(F.sequence(F.lit(0), F.size(h) - K), anchor), lambda x: x.isNotNull())
-    df = df.withColumn(name, F.when(F.size(h) >= K, F.sort_array(anchors)).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))).drop(m)
-    whole = F.when(F.size(h) > 0, F.array(F.struct(F.xxhash64(text).alias("h"), F.lit(0).alias("p")))).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))
-    df = df.withColumn(name, F.when(F.size(name) > 0, F.col(name)).otherwise(whole)).drop(h)
-    return df.withColumn(name, F.struct(F.transform(name, lambda x: x["h"]).alias("h"), F.transform(name, lambda x: x["p"]).alias("p")))
+
+def add_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with `name`: for each scale of SCALES the hashes, ascending, and the places of a text's anchors; a hash comes once for each
+    place. A scale that a text does not have is empty; one that it has without an anchor holds the whole text's hash. Empty texts have none."""
+    n, n_words = F.coalesce(F.length(text), F.lit(0)), F.size(words(F.col(text)))
+    df = df.withColumn(f"{name}_n", n_words)
+    parts = []
+    for scale, k, s, low, high in SCALES:
+        h, m = f"{name}_{scale}h", f"{name}_{scale}m"
+        has = (n > low) & (n <= high)
+        if scale == WORDS:
+            has, symbols = has & (F.col(f"{name}_n") >= k), words(F.col(text))
+        else:
+            has = has | ((n > high) & (F.col(f"{name}_n") < FEW)) if scale == "c" else has
+            symbols = F.split(F.coalesce(F.col(text), F.lit("")), "")
+        hashes = F.transform(symbols, lambda x: F.xxhash64(x))
+        df = df.withColumn(h, F.when(has, hashes).otherwise(F.array().cast("array<long>")))
+        if s == 1:
+            df = df.withColumn(m, F.col(h))
+        else:
+            after = F.greatest(F.size(h) - 1, F.lit(0))
+            df = df.withColumn(m, F.zip_with(F.slice(h, 1, after), F.slice(h, 2, after), lambda x, y: F.xxhash64(x, y)))
+        df = df.withColumn(f"{name}_{scale}", _anchors(h, m, k, s))
+        whole = F.when(F.size(h) > 0, F.array(F.struct(F.xxhash64(text).alias("h"), F.lit(0).alias("p")))).otherwise(F.array().cast(_ANCHORS))
+        df = df.withColumn(f"{name}_{scale}", F.when(F.size(f"{name}_{scale}") > 0, F.col(f"{name}_{scale}")).otherwise(whole)).drop(h, m)
+        x = F.col(f"{name}_{scale}")
+        parts.append(F.struct(F.transform(x, lambda y: y["h"]).alias("h"), F.transform(x, lambda y: y["p"]).alias("p")).alias(scale))
+    return df.withColumn(name, F.struct(*parts)).drop(f"{name}_n", *[f"{name}_{x[0]}" for x in SCALES])
 
 
 def _numbered(name: str, side: int) -> Column:
@@ -51,9 +77,20 @@ def _numbered(name: str, side: int) -> Column:
 
 
 def add_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """df with `name`: of all anchors of either text, the share that match. Equal hashes match in the order of their places, and a
+    """df with `name`: of all anchors of either text, of the finest scale that both have, the share that match. Equal hashes match in the order of their places, and a
     match counts if another one has nearly its shift, so that each part of a text that moved has a group of its own; a single
     match counts too. Two empty fingerprints are alike (1); an empty and another are not (0)."""
+    common = lambda scale: (F.size(f"{a}.{scale}.h") > 0) & (F.size(f"{b}.{scale}.h") > 0)
+    own = {}
+    for x in (a, b):
+        own[x] = f"{name}_{'x' if x == a else 'y'}"
+        pick = F.col(f"{x}.{WORDS}")
+        for scale, *_ in reversed(SCALES[:-1]):
+            pick = F.when(common(scale), F.col(f"{x}.{scale}")).otherwise(pick)
+        df = df.withColumn(own[x], pick)
+    empty = reduce(lambda p, q: p & q, [(F.size(f"{a}.{x[0]}.h") == 0) & (F.size(f"{b}.{x[0]}.h") == 0) for x in SCALES])
+    df = df.withColumn(f"{name}_empty", empty)
+    a, b = own[a], own[b]
     both, shifts = f"{name}_both", f"{name}_shifts"
     df = df.withColumn(both, F.when(F.arrays_overlap(f"{a}.h", f"{b}.h"), F.sort_array(F.concat(_numbered(a, 0), _numbered(b, 1)))))
 
@@ -64,12 +101,13 @@ def add_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     df = df.withColumn(shifts, F.sort_array(F.filter(F.transform(both, shift), lambda d: d.isNotNull()))).drop(both)
     near = F.filter(shifts, lambda d, i: F.coalesce((d - F.get(shifts, i - 1) <= SHIFT), F.lit(False)) | F.coalesce((F.get(shifts, i + 1) - d <= SHIFT), F.lit(False)) | (F.size(shifts) == 1))
     n = F.size(f"{a}.h") + F.size(f"{b}.h")
-    return df.withColumn(name, F.when(n == 0, 1.0).when(F.col(shifts).isNull(), 0.0).otherwise(F.size(near) / (n - F.size(shifts)))).drop(shifts)
+    return df.withColumn(name, F.when(F.col(f"{name}_empty"), 1.0).when(F.col(shifts).isNull(), 0.0).otherwise(F.size(near) / (n - F.size(shifts)))).drop(shifts, a, b, f"{name}_empty")
 
 
 def fingerprint_text(name: str) -> Column:
-    """`hash@place` in hexadecimal, by hash, comma-joined."""
-    return F.lower(F.array_join(F.zip_with(f"{name}.h", f"{name}.p", lambda h, p: F.concat(F.hex(h), F.lit("@"), F.hex(p.cast("long")))), ","))
+    """`hash@place` in hexadecimal, by hash, comma-joined; scales from fine to coarse, each ended by its name."""
+    listed = lambda x: F.lower(F.array_join(F.zip_with(f"{name}.{x}.h", f"{name}.{x}.p", lambda h, p: F.concat(F.hex(h), F.lit("@"), F.hex(p.cast("long")))), ","))
+    return F.concat(*[F.when(F.size(f"{name}.{x[0]}.h") > 0, F.concat(listed(x[0]), F.lit(f":{x[0]};"))).otherwise("") for x in SCALES])
 
 
 def with_next(df: DataFrame, key: str, order: list[str], carried: list[str]) -> DataFrame:
@@ -84,8 +122,8 @@ def with_next(df: DataFrame, key: str, order: list[str], carried: list[str]) ->
     n, low, nulls = keys.agg(F.count(F.lit(1)), F.min("k"), F.coalesce(F.sum(F.col("k").isNull().cast("long")), F.lit(0))).first()
     ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
     some = keys.where("k is not null").distinct() if n <= SAMPLE * ranges else keys.where(unit_hash(7, F.col("k")) < SAMPLE * ranges / n).distinct()
-    sampled = [r.k for r in some.sort("k").collect()] if ranges > 1 else []
-    starts = sorted({low, *sampled[:: max(1, len(sampled) // ranges)]} - {None})  # the least key of each range; nulls are range 0
+    sampled = np.sort(some.toArrow()["k"].to_numpy()) if ranges > 1 else np.zeros(0, np.int64)  # 8 bytes a key: 34 MB at most
+    starts = sorted({low, *sampled[:: max(1, len(sampled) // ranges)].tolist()} - {None})  # the least key of each range; nulls are range 0
     table = spark.createDataFrame([(starts,)], "starts array<long>").scalar()
     halves = [1 << b for b in range(max(1, len(starts)).bit_length() - 1, -1, -1)]
     found = F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), lambda acc, h: F.when(F.get("_nl_starts", acc + h - 1) <= F.col(key), acc + h).otherwise(acc))

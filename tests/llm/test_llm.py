@@ -186,11 +186,81 @@ def test_likeness_of_moved_parts_and_long_texts(spark):
     pairs = [(w, w), (w, twice), (w, x), long, (w + w, w + w)]
     df = spark.createDataFrame([(i, " ".join(a), " ".join(b)) for i, (a, b) in enumerate(pairs)], "i long, a string, b string")
     df = fingerprints.add_fingerprint(fingerprints.add_fingerprint(df, "a", "fa"), "b", "fb")
-    out = {r.i: (r.near, len(r.fa.h)) for r in fingerprints.add_likeness(df, "fa", "fb", "near").collect()}
+    out = {r.i: (r.near, len(r.fa.w.h)) for r in fingerprints.add_likeness(df, "fa", "fb", "near").collect()}
     assert out[0][0] == out[4][0] == 1 and out[1][0] > 0.85 and out[2][0] == 0 and 0 < out[3][0] < 0.01
     assert out[3][1] > 0.3 * 20_060 and out[4][1] > 1.9 * out[0][1]
 
 
+def plain_anchors(text):
+    """Closed syncmers by their definition, scale by scale; Spark's xxhash64 hashes values one after the other from seed 42."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def together(*longs):
+        seed = 42
+        for x in longs:
+            seed = xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), seed)
+        return signed(seed)
+
+    of = lambda x: signed(xxhash.xxh64_intdigest(x.encode(), 42))
+    out, ws = {}, space_words(text)
+    for name, k, s, low, high in fingerprints.SCALES:
+        has = low < len(text) <= high
+        if name == "w":
+            has, symbols = has and len(ws) >= k, ws
+        else:
+            has, symbols = has or (name == "c" and len(text) > high and len(ws) < fingerprints.FEW), list(text)
+        h = [of(x) for x in symbols] if has else []
+        inner = h if s == 1 else [together(*h[i : i + s]) for i in range(len(h) - s + 1)]
+        found = []
+        for i in range(len(h) - k + 1):
+            mer = inner[i : i + k - s + 1]
+            if min(mer) in (mer[0], mer[-1]):
+                found.append((together(*h[i : i + k]), i))
+        out[name] = sorted(found) or ([(of(text), 0)] if has else [])
+    return out
+
+
+def plain_likeness(x, y):
+    scale = next((s for s in x if x[s] and y[s]), None)
+    if scale is None:
+        return 1.0 if not any(x.values()) and not any(y.values()) else 0.0
+    places = [collections.defaultdict(list), collections.defaultdict(list)]
+    for side, fp in enumerate((x[scale], y[scale])):
+        for h, p in fp:
+            places[side][h].append(p)
+    shifts = sorted(a - b for h in places[0] if h in places[1] for a, b in zip(places[0][h], places[1][h]))
+    near = sum(len(shifts) == 1 or any(0 <= j < len(shifts) and abs(shifts[j] - d) <= fingerprints.SHIFT for j in (i - 1, i + 1)) for i, d in enumerate(shifts))
+    return near / (len(x[scale]) + len(y[scale]) - len(shifts)) if shifts else 0.0
+
+
+def test_fingerprints_against_plain_syncmers(spark):
+    rng = random.Random(12)
+    texts = ["", "a", "ab", "x" * 700, "é日😀 " * 40]
+    for n in (5, 9, 13, 24, 25, 60, 96, 97, 200, 256, 257, 500, 512, 513, 900, 3000):
+        for _ in range(3):
+            t = "".join(rng.choice("abcde  é\n") for _ in range(n))
+            texts += [t, t[: n - n // 2] + "".join(rng.choice("abcde  ") for _ in range(rng.randrange(n // 2 + 1)))]
+    pairs = [(texts[i], texts[j]) for i in range(len(texts)) for j in (i, (i + 1) % len(texts), rng.randrange(len(texts)))]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    df = fingerprints.add_fingerprint(fingerprints.add_fingerprint(df, "a", "fa"), "b", "fb")
+    for r in fingerprints.add_likeness(df, "fa", "fb", "near").collect():
+        x, y = plain_anchors(r.a), plain_anchors(r.b)
+        assert {s: list(zip(r.fa[s].h, r.fa[s].p)) for s in x} == x
+        assert abs(r.near - plain_likeness(x, y)) < 1e-12
+
+
+def test_halves_of_short_texts_stay_alike(spark):
+    """Whatever a text's length, one that begins with its half is like it."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(1, 9)))
+    texts = [" ".join(word() for _ in range(400))[:n] for n in (10, 12, 16, 24, 25, 30, 48, 49, 64, 96, 97, 120, 200, 300, 512, 513, 700, 1500) for _ in range(4)]
+    rows = fingerprints.fingerprint_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert min(r.near_edited for r in rows) > 0.05 and sum(r.near_edited > 0.2 for r in rows) > 0.9 * len(rows)
+    assert sum(r.near_next < r.near_edited for r in rows) > 0.95 * len(rows)
+
+
 def test_successors_across_ranges(spark):
     df = spark.range(0, 3000).select((F.col("id") * 7).alias("doc_id"), F.col("id").cast("string").alias("text"))
     got = fingerprints.with_next(df, "doc_id", ["text"], ["text"]).collect()
