@@ -167,3 +167,19 @@ DIRECT = [
     ("DISASTER_STATUS", [("earthquake|floods?|quake|cyclone|hurricane|disaster", 0.95)], 0.30),
     ("CAUSE", [("cause|reason|trigger|why|rainfall|fault|failure|investigation", 0.90)], 0.45),
 ]
+#: Sources that a new store starts with: name, type, address, reliability, enabled (fixed values).
+SOURCES = [
+    ("BBC World News", "rss", "http://feeds.bbci.co.uk/news/world/rss.xml", 0.88, True),
+    ("Al Jazeera English", "rss", "https://www.aljazeera.com/xml/rss/all.xml", 0.82, True),
+    ("NPR News", "rss", "https://feeds.npr.org/1001/rss.xml", 0.85, True),
+    ("The Guardian World", "rss", "https://www.theguardian.com/world/rss", 0.84, True),
+    ("Deutsche Welle World", "rss", "https://rss.dw.com/rdf/rss-en-world", 0.86, True),
+    ("GDELT Global Intelligence", "gdelt", None, 0.75, True),
+    ("NewsAPI Top Headlines", "newsapi", None, 0.80, False),
+    ("BBC Technology", "rss", "http://feeds.bbci.co.uk/news/technology/rss.xml", 0.88, True),
+    ("The Guardian Technology", "rss", "https://www.theguardian.com/technology/rss", 0.84, True),
+    ("BBC Science & Environment", "rss", "http://feeds.bbci.co.uk/news/science_and_environment/rss.xml", 0.88, True),
+    ("The Guardian Science", "rss", "https://www.theguardian.com/science/rss", 0.84, True),
+    ("BBC Business", "rss", "http://feeds.bbci.co.uk/news/business/rss.xml", 0.88, True),
+    ("The Guardian Business", "rss", "https://www.theguardian.com/business/rss", 0.84, True),
+]

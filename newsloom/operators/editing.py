@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from newsloom.functions import vocabulary as V
 from newsloom.functions.dialect import Spark
 from newsloom.sources.adapters import AS_OF, with_tables
 
@@ -129,14 +130,18 @@ def source_update(d: Spark) -> str:
 
 
 def seed_sources(d: Spark) -> str:
-    """Seed rows whose name is not there yet are inserted."""
-    seeds = " UNION ALL ".join(f"SELECT {d.text(n)} AS name, {d.text(t)} AS type" for n, t in (("src0", "rss"), ("src99", "rss"), ("World desk", "rss"), ("Global events", "gdelt"), ("Headlines", "newsapi")))
-    return with_tables(d, ["sources"], f", seeds AS ({seeds}) SELECT name, type FROM sources UNION ALL SELECT name, type FROM seeds x WHERE NOT EXISTS (SELECT 1 FROM sources s WHERE s.name = x.name)")
+    """Seed rows whose name is not there yet are inserted; one of the seeds is taken for stored already, with another reliability."""
+    none = f"cast(NULL AS {'string' if d.name == 'spark' else 'varchar'})"
+    seeds = " UNION ALL ".join(f"SELECT {d.text(n)} AS name, {d.text(t)} AS type, {d.text(u) if u else none} AS url, cast({r} AS double) AS reliability, {str(e).lower()} AS enabled" for n, t, u, r, e in V.SOURCES)
+    return with_tables(d, ["sources"], f""", stored AS (SELECT name, type, {none} AS url, cast(reliability AS double) AS reliability, enabled FROM sources UNION ALL SELECT {d.text(V.SOURCES[2][0])}, 'rss', {none}, cast(0.5 AS double), false), seeds AS ({seeds})
+        SELECT name, type, url, reliability, enabled FROM stored UNION ALL SELECT name, type, url, reliability, enabled FROM seeds x WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.name = x.name)""")
 
 
 def conversation_delete(d: Spark) -> str:
-    """A user deletes one conversation: only their own goes."""
-    return "SELECT conv_id, count(*) AS messages FROM conversations WHERE NOT (conv_id = 7 AND conv_id % 5 = 2) GROUP BY conv_id"
+    """Users delete conversations: of the demands, which name a conversation and a user, only those of its owner take effect. A
+    conversation belongs to the user of its number modulo 5; every seventh user asks for a conversation that is not theirs."""
+    return """WITH demands AS (SELECT DISTINCT conv_id, (conv_id + CASE WHEN conv_id % 7 = 0 THEN 1 ELSE 0 END) % 5 AS user_id FROM conversations WHERE conv_id % 3 = 0), owned AS (SELECT conv_id, turn, conv_id % 5 AS owner_id FROM conversations)
+        SELECT conv_id, count(*) AS messages FROM owned o WHERE NOT EXISTS (SELECT 1 FROM demands x WHERE x.conv_id = o.conv_id AND x.user_id = o.owner_id) GROUP BY conv_id"""
 
 
 def conversation_search(d: Spark) -> str:
@@ -148,7 +153,7 @@ def constraint_violations(d: Spark) -> str:
     """Rows that break an enumeration or a range, by rule."""
     return with_tables(d, ["sources", "story_events", "event_articles"], f"""
         SELECT 'source type' AS rule, count(CASE WHEN type NOT IN {_in(SOURCE_TYPES)} THEN 1 END) AS violations FROM sources UNION ALL
-        SELECT 'reliability', count(CASE WHEN reliability < 0 OR reliability > 0.9 THEN 1 END) FROM sources UNION ALL
+        SELECT 'reliability', count(CASE WHEN reliability < 0 OR reliability > 1 THEN 1 END) FROM sources UNION ALL
         SELECT 'event status', count(CASE WHEN status NOT IN {_in(EVENT_STATES)} THEN 1 END) FROM story_events UNION ALL
         SELECT 'relevance', count(CASE WHEN relevance < 0 OR relevance > 1 THEN 1 END) FROM event_articles""")
 
@@ -216,15 +221,16 @@ def labels_of_names(d: Spark) -> str:
 
 
 def article_ages(d: Spark) -> str:
-    """Date, hours since the source's first article (two or more allow a new headline) and the label that a reader sees."""
+    """Date, hours since the first report of the article's event (two or more allow a new headline) and the label that a reader sees; articles
+    without an event have no hours."""
     hours = f"(cast({d.seconds(AS_OF)} AS double) - cast({d.seconds('published_at')} AS double)) / 3600.0"
     day = "date_format(published_at, 'yyyy-MM-dd')" if d.name == "spark" else "strftime(published_at, '%Y-%m-%d')"
     since = f"(cast({d.seconds('published_at')} AS double) - cast({d.seconds('started')} AS double)) / 3600.0"
     whole = lambda x: f"cast(cast(floor({x}) AS bigint) AS {'string' if d.name == 'spark' else 'varchar'})"
-    return with_tables(d, ["articles"], f"""
+    return with_tables(d, ["articles", "event_articles", "story_events"], f"""
         SELECT article_id, {day} AS day, round({since}, 4) AS hours_since_first, {since} >= 2 AS may_retitle,
                CASE WHEN {hours} < 1 THEN {whole(f'60 * {hours}')} || 'm ago' WHEN {hours} < 24 THEN {whole(hours)} || 'h ago' ELSE {whole(f'{hours} / 24')} || 'd ago' END AS age
-        FROM (SELECT article_id, published_at, min(published_at) OVER (PARTITION BY source_id) AS started FROM articles) x""")
+        FROM (SELECT a.article_id, a.published_at, e.first_reported_at AS started FROM articles a LEFT JOIN event_articles ea ON ea.article_id = a.article_id LEFT JOIN story_events e ON e.event_id = ea.event_id) x""")
 
 
 def event_props(d: Spark) -> str:

@@ -19,9 +19,9 @@ def claim_verdicts(d: Spark) -> str:
 
 
 def verified_picture(d: Spark) -> str:
-    """The verified claim with most query tokens, the first of those on a tie."""
+    """The verified claim with most query tokens, the first of those on a tie; it must hold two of them or 40 percent."""
     hits = " + ".join(f"CASE WHEN contains(lower(claim_text), {d.text(t)}) THEN 1 ELSE 0 END" for t in V.FIXTURE_TOKENS)
-    return with_tables(d, ["claims"], f"SELECT claim_id, matches FROM (SELECT claim_id, {hits} AS matches, row_number() OVER (ORDER BY {hits} DESC, claim_id) AS rn FROM claims WHERE status = 'VERIFIED') x WHERE rn = 1")
+    return with_tables(d, ["claims"], f"SELECT claim_id, matches FROM (SELECT claim_id, {hits} AS matches FROM claims WHERE status = 'VERIFIED') x WHERE matches >= 2 OR matches >= 0.4 * {len(V.FIXTURE_TOKENS)} ORDER BY matches DESC, claim_id LIMIT 1")
 
 
 def event_forecast(d: Spark) -> str:
@@ -52,7 +52,7 @@ def framing(d: Spark) -> str:
     names = list(n)
     cols = ", ".join(f"{x} AS f{i}" for i, x in enumerate(n.values()))
     best = " ".join(f"WHEN {' AND '.join(f'f{i} >= f{j}' for j in range(len(names)) if j != i)} THEN {d.text(names[i])}" for i in range(len(names)))
-    return with_tables(d, ["articles"], f"SELECT frame, count(*) AS articles, {d.integer('floor(100.0 * count(*) / max(total) + 0.5)')} AS percent FROM (SELECT CASE {best} END AS frame, count(*) OVER () AS total FROM (SELECT {cols} FROM articles) x) y GROUP BY frame")
+    return with_tables(d, ["articles"], f"SELECT frame, count(*) AS articles, {d.integer('floor(100.0 * count(*) / max(total) + 0.5)')} AS percent FROM (SELECT CASE {best} END AS frame FROM (SELECT {cols} FROM articles) x) y CROSS JOIN (SELECT count(*) AS total FROM articles) t GROUP BY frame")
 
 
 def causal_stages(d: Spark) -> str:
@@ -64,10 +64,14 @@ def causal_stages(d: Spark) -> str:
 
 
 def desks(d: Spark) -> str:
-    """Sections: events of the category, filled up to four with the latest of the others."""
+    """Sections: events of the category, filled up to four with the latest of the others. Only the four latest of each category and the
+    eight latest of all can stand in one."""
     return with_tables(d, ["story_events"], """
-        , d AS (SELECT DISTINCT category AS desk FROM story_events)
-        SELECT desk, event_id, rn FROM (SELECT d.desk, e.event_id, row_number() OVER (PARTITION BY d.desk ORDER BY CASE WHEN e.category = d.desk THEN 0 ELSE 1 END, e.last_updated_at DESC, e.event_id) AS rn FROM d CROSS JOIN story_events e) x WHERE rn <= 4""")
+        , latest AS (SELECT category, event_id, last_updated_at FROM story_events ORDER BY last_updated_at DESC, event_id LIMIT 8),
+        own AS (SELECT category, event_id, last_updated_at FROM (SELECT category, event_id, last_updated_at, row_number() OVER (PARTITION BY category ORDER BY last_updated_at DESC, event_id) AS k FROM story_events) x WHERE k <= 4),
+        d AS (SELECT DISTINCT category AS desk FROM own),
+        offered AS (SELECT category AS desk, 0 AS other, event_id, last_updated_at FROM own UNION ALL SELECT d.desk, 1, l.event_id, l.last_updated_at FROM d CROSS JOIN latest l WHERE l.category <> d.desk)
+        SELECT desk, event_id, rn FROM (SELECT desk, event_id, row_number() OVER (PARTITION BY desk ORDER BY other, last_updated_at DESC, event_id) AS rn FROM offered) x WHERE rn <= 4""")
 
 
 QUERIES = [claim_verdicts, verified_picture, event_forecast, timeline, framing, causal_stages, desks]

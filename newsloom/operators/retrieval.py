@@ -42,7 +42,7 @@ def _lanes(d: Spark) -> str:
     any_token = " OR ".join(d.rlike("lower(a.title || ' ' || a.summary)", t) for t in V.FIXTURE_TOKENS)
     return with_tables(d, ["articles", "sources", "event_articles", "story_events"], f"""
         , q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
-        vec AS (SELECT e.vec_id AS article_id, {_cosine(d, 'e.embedding', 'q.embedding')} AS similarity FROM embeddings e JOIN q ON e.vec_id >= 0),
+        vec AS (SELECT e.vec_id AS article_id, {_cosine(d, 'e.embedding', 'q.embedding')} AS similarity FROM embeddings e CROSS JOIN q),
         vector_lane AS (SELECT v.article_id, v.similarity FROM vec v JOIN articles a ON a.article_id = v.article_id WHERE v.similarity >= 0.38 ORDER BY round(v.similarity, 6) DESC, v.article_id LIMIT 35),
         lexical_lane AS (SELECT a.article_id, cast(0.5 AS double) AS similarity FROM articles a LEFT JOIN sources s ON s.source_id = a.source_id WHERE {any_token}
                          ORDER BY coalesce(s.reliability, 0.5) DESC, a.published_at DESC, a.article_id LIMIT 35),
@@ -145,14 +145,14 @@ def ranker_score(d: Spark) -> str:
 
 
 def knn_events(d: Spark, k: int = 3) -> str:
-    """The k story events whose mean vector is nearest each vector whose id is divisible by 100."""
-    n = "generate_subscripts(embedding, 1)" if d.name == "duck" else "pos"
-    flat = f"SELECT label, unnest(embedding) AS x, {n} AS pos FROM embeddings" if d.name == "duck" else "SELECT label, x, pos + 1 AS pos FROM embeddings LATERAL VIEW posexplode(embedding) p AS pos, x"
-    query = flat.replace("label,", "vec_id,").replace("FROM embeddings", "FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) e", 1)
-    return f"""WITH flat AS ({flat}), mean AS (SELECT label AS event_id, pos, avg(cast(x AS double)) AS x FROM flat GROUP BY label, pos), norms AS (SELECT event_id, sqrt(sum(x * x)) AS norm FROM mean GROUP BY event_id),
-        q AS ({query}), sizes AS (SELECT vec_id, sqrt(sum(cast(x AS double) * x)) AS norm FROM q GROUP BY vec_id),
-        dots AS (SELECT q.vec_id, m.event_id, sum(cast(q.x AS double) * m.x) AS dot FROM q JOIN mean m ON m.pos = q.pos GROUP BY q.vec_id, m.event_id),
-        near AS (SELECT d.vec_id AS query_id, d.event_id, round(d.dot / nullif(s.norm * n.norm, 0), 6) AS similarity FROM dots d JOIN sizes s ON s.vec_id = d.vec_id JOIN norms n ON n.event_id = d.event_id)
+    """The k story events whose mean vector is nearest each vector whose id is divisible by 100. A mean is taken a place at a time and put
+    together as an array, so that vectors meet events in one step, with the few events broadcast."""
+    if d.name == "spark":
+        mean = "SELECT event_id, transform(array_sort(collect_list(struct(pos, x))), z -> z.x) AS v FROM (SELECT label AS event_id, pos, avg(cast(x AS double)) AS x FROM embeddings LATERAL VIEW posexplode(embedding) p AS pos, x GROUP BY label, pos) f GROUP BY event_id"
+    else:
+        mean = "SELECT event_id, list(x ORDER BY pos) AS v FROM (SELECT label AS event_id, pos, avg(cast(x AS double)) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) e GROUP BY label, pos) f GROUP BY event_id"
+    return f"""WITH mean AS ({mean}), near AS (SELECT q.vec_id AS query_id, m.event_id, round({d.dot('q.embedding', 'm.v')} / nullif(sqrt({d.dot('q.embedding', 'q.embedding')}) * sqrt({d.dot('m.v', 'm.v')}), 0), 6) AS similarity
+        FROM (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) q CROSS JOIN mean m)
         SELECT query_id, event_id, similarity, rn FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, event_id) AS rn FROM near) x WHERE rn <= {k}"""
 
 
@@ -178,10 +178,14 @@ def weak_labels(d: Spark) -> str:
 
 
 def time_split(d: Spark) -> str:
-    """Train, validation and test by exact order statistics at 60 and 80 percent."""
+    """Train, validation and test by exact order statistics at 60 and 80 percent: the day that holds each by the days' counts, then its
+    place within the day, so that no window holds more than a day."""
     return with_tables(d, ["articles"], """
-        , ranked AS (SELECT published_at, row_number() OVER (ORDER BY published_at, article_id) AS rn, count(*) OVER () AS n FROM articles),
-        cuts AS (SELECT max(CASE WHEN rn = floor(0.6 * n) + 1 THEN published_at END) AS c1, max(CASE WHEN rn = floor(0.8 * n) + 1 THEN published_at END) AS c2 FROM ranked)
+        , dated AS (SELECT article_id, published_at, date_trunc('day', published_at) AS day FROM articles),
+        days AS (SELECT day, count(*) AS n FROM dated GROUP BY day), upto AS (SELECT day, n, sum(n) OVER (ORDER BY day) AS upto, sum(n) OVER () AS total FROM days),
+        wanted AS (SELECT day, cut, floor(cut * total) + 1 - (upto - n) AS k FROM upto CROSS JOIN (SELECT 0.6 AS cut UNION ALL SELECT 0.8) c WHERE floor(cut * total) + 1 > upto - n AND floor(cut * total) + 1 <= upto),
+        placed AS (SELECT w.cut, w.k, a.published_at, row_number() OVER (PARTITION BY w.cut, w.day ORDER BY a.published_at, a.article_id) AS rn FROM wanted w JOIN dated a ON a.day = w.day),
+        cuts AS (SELECT max(CASE WHEN cut = 0.6 THEN published_at END) AS c1, max(CASE WHEN cut = 0.8 THEN published_at END) AS c2 FROM placed WHERE rn = k)
         SELECT part, count(*) AS rows_in_part FROM (SELECT CASE WHEN a.published_at > c.c2 THEN 'test' WHEN a.published_at > c.c1 THEN 'validation' ELSE 'train' END AS part FROM articles a CROSS JOIN cuts c) x GROUP BY part""")
 
 

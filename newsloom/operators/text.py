@@ -119,9 +119,8 @@ def conversation_titles(d: Spark) -> str:
 def trigram_title_pairs(d: Spark) -> str:
     """Trigram similarity of distinct part names: words padded by two blanks before and one after, shared over all trigrams."""
     padded = d.each(d.keep(d.words("lower(p_name)", r"[^a-z0-9]+"), "x <> ''"), "'  ' || x || ' '")
-    grams = "SELECT p_name, i, w, substr(w, i, 3) AS g FROM words JOIN nums ON nums.i <= length(w) - 2"
-    nums = "SELECT cast(id + 1 AS int) AS i FROM range(0, 40)" if d.name == "spark" else "SELECT cast(range + 1 AS int) AS i FROM range(0, 40)"
-    return f"""WITH names AS (SELECT DISTINCT p_name FROM part), words AS (SELECT p_name, w FROM {d.rows('names', padded, 'w')}), nums AS ({nums}),
+    grams = "SELECT p_name, w, substr(w, i, 3) AS g FROM words LATERAL VIEW explode(sequence(1, length(w) - 2)) AS i" if d.name == "spark" else "SELECT p_name, w, substr(w, i, 3) AS g FROM (SELECT p_name, w, unnest(range(1, length(w) - 1)) AS i FROM words) z"
+    return f"""WITH names AS (SELECT DISTINCT p_name FROM part), words AS (SELECT p_name, w FROM {d.rows('names', padded, 'w')}),
         grams AS (SELECT DISTINCT p_name, g FROM ({grams}) x), sizes AS (SELECT p_name, count(*) AS n FROM grams GROUP BY p_name),
         shared AS (SELECT a.p_name AS left_name, b.p_name AS right_name, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.p_name < b.p_name GROUP BY a.p_name, b.p_name)
         SELECT left_name, right_name, round(cast(c AS double) / (x.n + y.n - c), 6) AS similarity FROM shared JOIN sizes x ON x.p_name = left_name JOIN sizes y ON y.p_name = right_name WHERE cast(c AS double) / (x.n + y.n - c) >= 0.38"""

@@ -41,7 +41,7 @@ def train_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.regexp_count("text", F.lit("[A-Z]")) / F.greatest(F.length("text"), F.lit(1))).alias("upper"),
         (F.regexp_count("text", F.lit("[#*$%&|<>]")) / F.greatest(F.length("text"), F.lit(1))).alias("symbols"),
     )
-    weight = rows.agg(F.least(F.greatest(F.sum(1 - F.col("label")) / F.greatest(F.sum("label"), F.lit(1)), F.lit(0.125)), F.lit(8.0))).first()[0] or 1.0
+    weight = rows.agg(F.least(F.greatest(F.sum(1 - F.col("label")) / F.greatest(F.sum("label"), F.lit(1)), F.lit(1.0)), F.lit(8.0))).first()[0] or 1.0
     rows = rows.withColumn("weight", F.when(F.col("label") == 1, weight).otherwise(1.0))
     names = ["size", "upper", "symbols"]
     data = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
