@@ -48,6 +48,50 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "will the authors be held liable"),
 )
+#: Standard headers and whole licence texts: label, words, key phrase that tells the licence and its version (fixed values).
+_GNU = "{what} is free software you can redistribute it and or modify it under the terms of the gnu {kind}general public license as published by the free software foundation either version {version} of the license or at your option any later version"
+_AS_IS = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or "
+    "copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of "
+    "conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_BSD_END = (
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+)
+TEXTS = (
+    ("agpl-3.0", _GNU.format(what="this program", kind="affero ", version="3"), "affero general public license as published by the free software foundation either version 3"),
+    ("agpl-3.0", "gnu affero general public license version 3 19 november 2007 copyright c 2007 free software foundation inc", "affero general public license version 3 19 november 2007"),
+    ("apache-2.0", "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution", "apache license version 2 0 january 2004"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by "
+     "applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language "
+     "governing permissions and limitations under the license", "licensed under the apache license version 2 0"),
+    ("bsd-2-clause", _BSD + " " + _BSD_END, "materials provided with the distribution this software is provided by"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "promote products derived from this software without specific prior written permission"),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike 4 0"),
+    ("cc-by-nc-4.0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial 4 0"),
+    ("gpl-2.0", _GNU.format(what="this program", kind="", version="2"), "gnu general public license as published by the free software foundation either version 2"),
+    ("gpl-2.0", "gnu general public license version 2 june 1991 copyright c 1989 1991 free software foundation inc", "general public license version 2 june 1991"),
+    ("gpl-3.0", _GNU.format(what="this program", kind="", version="3"), "gnu general public license as published by the free software foundation either version 3"),
+    ("gpl-3.0", "gnu general public license version 3 29 june 2007 copyright c 2007 free software foundation inc", "general public license version 3 29 june 2007"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is "
+     "provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", "this permission notice appear in all copies"),
+    ("lgpl-2.1", _GNU.format(what="this library", kind="lesser ", version="2 1"), "lesser general public license as published by the free software foundation either version 2 1"),
+    ("lgpl-3.0", _GNU.format(what="this library", kind="lesser ", version="3"), "lesser general public license as published by the free software foundation either version 3"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to "
+     "use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this "
+     "permission notice shall be included in all copies or substantial portions of the software " + _AS_IS, "merge publish distribute sublicense and or sell copies of the software"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "mozilla public license v 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose "
+     "commercial or non commercial and by any means", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software "
+     "for any purpose including commercial applications and to alter it and redistribute it freely", "alter it and redistribute it freely"),
+)
+#: A template of n words counts n / (n + DOUBT): a mention in two words is a weak sign, a whole text a sure one.
+DOUBT = 4
 #: Share of a template's words that must stand near their places.
 LEAST = 0.6
 #: Words that may have been put into a notice, or left out, before a word's place shifts out of reach.
@@ -55,7 +99,12 @@ SLACK = 3
 
 
 def _vocabulary() -> list[str]:
-    return sorted({w for _, text, _ in TEMPLATES for w in text.split()} | {w for p, _ in PHRASES for w in p.split()})
+    return sorted({w for _, text, _ in (*TEMPLATES, *TEXTS) for w in text.split()} | {w for p, _ in PHRASES for w in p.split()})
+
+
+def weight(n: int) -> float:
+    """What a template or phrase of n words counts."""
+    return n / (n + DOUBT)
 
 
 def license_words(text: Column) -> Column:
@@ -66,11 +115,11 @@ def license_words(text: Column) -> Column:
 
 def template_index(df: DataFrame, n_docs: int) -> DataFrame:
     """One row: the postings as a map from a word to the templates that it is the rarest word of the key phrase of. df: rows (w, df), the
-    document frequencies of the licence words; they and the index are as large as TEMPLATES, whatever the corpus. A posting holds
+    document frequencies of the licence words; they and the index are as large as TEMPLATES and TEXTS, whatever the corpus. A posting holds
     the word's place q in its template and the second rarest word of the key phrase with its own (rare2, q2)."""
     spark = df.sparkSession
     rows = []
-    for k, (label, text, key) in enumerate(TEMPLATES):
+    for k, (label, text, key) in enumerate((*TEMPLATES, *TEXTS)):
         ws, ks = text.split(), key.split()
         at = next(i for i in range(len(ws)) if ws[i : i + len(ks)] == ks)
         rows += [(k, label, ws, ks, at, w, at + ks.index(w)) for w in dict.fromkeys(ks)]
@@ -101,8 +150,8 @@ def _places(ws: Column, phrase: list[str]) -> Column:
 
 def scan_licenses(docs: DataFrame, *, keep: list[str], least: float = LEAST) -> DataFrame:
     """The columns `keep` of every row of docs, and _nl_n_words, _nl_places (starts of base phrases, ascending), _nl_base and
-    _nl_labels (sorted distinct labels) and _nl_score (the best share of a template's words in their places; 1 with a base
-    phrase; else 0).
+    _nl_labels (sorted distinct labels) and _nl_score (the best share of a template's words in their places, or 1 of a base phrase,
+    times the weight of its length, DOUBT; 0 without any).
 
     Every row is scanned in place, without a shuffle; only the document frequencies of the fixed licence vocabulary are
     aggregated first. Null and empty texts have no words, labels or places. Repeated rows have equal results. An empty table
@@ -136,12 +185,14 @@ def scan_licenses(docs: DataFrame, *, keep: list[str], least: float = LEAST) ->
     keyed = lambda p, s: F.slice("_nl_ws", s + p["key_at"] + 1, F.size(p["ks"])) == p["ks"]
     held = lambda p, s: F.filter(F.transform(p["ws"], lambda w, q: (s + q + SLACK >= 0) & F.array_contains(window(F.greatest(s + q, F.lit(0)), 1), w)), lambda x: x)
     best = lambda x: F.array_max(F.transform(F.filter(x["starts"], lambda s: keyed(x["p"], s)), lambda s: F.size(held(x["p"], s)) / F.size(x["p"]["ws"])))
-    out = out.withColumn("_nl_found", F.filter(F.transform("_nl_near", lambda x: F.struct(x["p"]["label"].alias("label"), best(x).alias("share"))), lambda x: x["share"] >= least))
+    out = out.withColumn("_nl_found", F.filter(F.transform("_nl_near", lambda x: F.struct(x["p"]["label"].alias("label"), best(x).alias("share"), F.size(x["p"]["ws"]).alias("n"))), lambda x: x["share"] >= least))
     base = F.filter(F.array(*[F.when(F.size(f"_nl_p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]), lambda x: x.isNotNull())
     out = out.withColumn("_nl_places", F.array_sort(F.concat(*[F.col(f"_nl_p{k}") for k in range(len(PHRASES))]))).withColumn("_nl_base", F.array_sort(base))
     found = F.coalesce(F.transform("_nl_found", lambda x: x["label"]), F.array().cast("array<string>"))
     out = out.withColumn("_nl_labels", F.array_sort(F.array_distinct(F.concat("_nl_base", found))))
-    score = F.when(F.size("_nl_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("_nl_found", lambda x: x["share"])), F.lit(0.0)))
+    phrased = [F.when(F.size(f"_nl_p{k}") > 0, weight(len(p.split()))).otherwise(0.0) for k, (p, _) in enumerate(PHRASES)]
+    known = F.array_max(F.transform("_nl_found", lambda x: x["share"] * x["n"] / (x["n"] + DOUBT)))
+    score = F.greatest(F.coalesce(known, F.lit(0.0)), *phrased)
     return out.withColumn("_nl_score", score).select(*keep, "_nl_n_words", "_nl_places", "_nl_base", "_nl_labels", "_nl_score")
 
 

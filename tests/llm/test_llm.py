@@ -123,23 +123,43 @@ def test_licenses_with_stray_words(spark):
     text = "This file is under the MIT license. It was first released in 2019"
     rows = [(1, text), (2, "x " * 500 + "mit " * 50 + text), (3, "released under the license of mit")]
     out = {r.doc_id: (r._nl_labels, r._nl_score) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).collect()}
-    assert out == {1: (["mit"], 1.0), 2: (["mit"], 1.0), 3: ([], 0.0)}
+    mention = licenses.weight(2)  # two words are a weak sign
+    assert out == {1: (["mit"], mention), 2: (["mit"], mention), 3: ([], 0.0)}
+
+
+def test_license_headers_tell_their_versions(spark):
+    """Headers as files hold them, with a line's comment marks; a text of another version shares all but the key phrase."""
+    gnu = "# This {0} is free software; you can redistribute it and/or modify\n# it under the terms of the GNU {1}General Public License as published by\n# the Free Software Foundation; either version {2} of the License, or\n# (at your option) any later version.\n"
+    cases = {
+        1: (gnu.format("program", "", 2), "gpl,gpl-2.0"),
+        2: (gnu.format("program", "", 3), "gpl,gpl-3.0"),
+        3: (gnu.format("library", "Lesser ", "2.1"), "gpl,lgpl,lgpl-2.1"),
+        4: (gnu.format("program", "Affero ", 3), "agpl,agpl-3.0,gpl"),
+        5: ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\nCopyright (C) 1989, 1991 Free Software Foundation, Inc.", "gpl,gpl-2.0"),
+        6: ("Redistributions in binary form must reproduce. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "bsd-3-clause"),
+        7: ("we talked about the mit license and the bsd license at lunch", "bsd,mit"),
+        8: (licenses.TEXTS[3][1], "apache-2.0"),
+        9: (next(t for label, t, _ in licenses.TEXTS if label == "mit").title(), "mit"),
+    }
+    out = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([(i, c[0]) for i, c in cases.items()], "doc_id long, text string"), keep=["doc_id"]).collect()}
+    assert {i: ",".join(r._nl_labels) for i, r in out.items()} == {i: c[1] for i, c in cases.items()}
+    assert out[7]._nl_score < 0.4 < 0.9 < min(out[8]._nl_score, out[9]._nl_score)
 
 
 def brute_labels(text):
     """Every template at every start: its key phrase in place, and enough of its words within SLACK places of theirs."""
     ws = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     found = {}
-    for label, t, key in licenses.TEMPLATES:
+    for label, t, key in (*licenses.TEMPLATES, *licenses.TEXTS):
         t, key = t.split(), key.split()
         at = next(i for i in range(len(t)) if t[i : i + len(key)] == key)
         for s in range(-len(t), len(ws)):
             if s + at >= 0 and ws[s + at : s + at + len(key)] == key:
                 share = sum(s + q + licenses.SLACK >= 0 and w in ws[max(0, s + q - licenses.SLACK) : max(0, s + q) + 1 + licenses.SLACK] for q, w in enumerate(t)) / len(t)
                 if share >= licenses.LEAST:
-                    found[label] = max(found.get(label, 0), share)
+                    found[label] = max(found.get(label, 0), share * licenses.weight(len(t)))
     base = {label for p, label in licenses.PHRASES for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split()}
-    return sorted(base | set(found)), 1.0 if base else max(found.values(), default=0.0)
+    return sorted(base | set(found)), max([*found.values(), *(licenses.weight(len(p.split())) for p, label in licenses.PHRASES if label in base)], default=0.0)
 
 
 def test_licenses_against_brute_force(spark):
@@ -148,9 +168,9 @@ def test_licenses_against_brute_force(spark):
         "MIT License", "distributed under the MIT License. Released yesterday", "Licensed under Apache License Version 2.0", "SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier: MIT",
         "This is free and unencumbered software that was released into the whole public domain.", None, "", "mit", "license " * 30, "the mit of license",
     ]
-    words = sorted({w for _, t, _ in licenses.TEMPLATES for w in t.split()}) + ["river", "stone"]
+    words = sorted({w for _, t, _ in (*licenses.TEMPLATES, *licenses.TEXTS) for w in t.split()}) + ["river", "stone"]
     for _ in range(120):
-        _, t, _ = rnd.choice(licenses.TEMPLATES)
+        _, t, _ = rnd.choice(rnd.choice([licenses.TEMPLATES, licenses.TEXTS]))
         t = t.split()
         for _ in range(rnd.randrange(0, 5)):
             t.insert(rnd.randrange(len(t) + 1), rnd.choice(words))
