@@ -119,11 +119,11 @@ def _any_word(x: Column, pattern: str) -> Column:
     return F.rlike(x, F.lit(f"(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"))
 
 
-def rerank(candidates: DataFrame, keys: list[str], item: str, keep: Callable[[DataFrame, str], DataFrame], *, corpus: Column, dated: str, lasting: str, source: Column, reliability: Column, as_of: str) -> DataFrame:
-    """The KEPT best of each question's candidates: composite score with its gate, then the 16 features of the ranker over what passes it.
+def featured(candidates: DataFrame, keys: list[str], item: str, keep: Callable[[DataFrame, str], DataFrame], *, corpus: Column, dated: str, lasting: str, source: Column, reliability: Column, as_of: str) -> DataFrame:
+    """The candidates that pass the gate of the composite score, with the features f_<name> of the ranker, demoted, and stated.
     Questions' columns are those of questions.expand; items have title, summary, similarity, channel, event_types, category,
-    status, source_count and article_count. Adds score, demoted and place. Candidates, bounded for each question, are written once
-    with their shares: the gate is not to compute them again."""
+    status, source_count and article_count. Candidates, bounded for each question, are written once with their shares: the gate is
+    not to compute them again."""
     df = keep(candidates.withColumn("corpus", corpus).drop("content"), f"{item}-pool")
     df = df.withColumn("listed", _word_list(F.col("corpus"))).withColumn("title_words", _word_list(F.col("title")))
     lower_entities = F.transform("entities", F.lower)
@@ -165,11 +165,21 @@ def rerank(candidates: DataFrame, keys: list[str], item: str, keep: Callable[[Da
         "importance": F.least(F.lit(1.0), F.log2(F.col("article_count") + 1) / 3.0), "novelty": F.lit(0.6), "fit": fit,
         "redundancy": F.when(F.count(F.lit(1)).over(Window.partitionBy(*keys, "title")) > 1, 0.8).otherwise(0.0), "syndication": F.lit(0.0), "graph": F.lit(0.4), "direct": direct,
     }
-    z = reduce(lambda a, b: a + b, [weight * features[name].cast("double") for name, weight in retrieval.RANKER.items()], F.lit(retrieval.INTERCEPT))
-    df = df.withColumn("demoted", (F.col("demoted_types") != "") & has(demoted))
-    df = df.withColumn("score", F.round(F.when(F.col("demoted"), retrieval.DEMOTED).otherwise(1.0) / (1.0 + F.exp(-z)), 4)).withColumn("stated", reliability)
+    out = df.select("*", *[features[name].cast("double").alias(f"f_{name}") for name in retrieval.RANKER])
+    return out.withColumn("demoted", (F.col("demoted_types") != "") & has(demoted)).withColumn("stated", reliability)
+
+
+#: The ranker's default model (fixed values).
+DEFAULT = {"version": "base", "intercept": retrieval.INTERCEPT, "weights": retrieval.RANKER}
+
+
+def rerank(candidates: DataFrame, keys: list[str], item: str, keep: Callable[[DataFrame, str], DataFrame], model: dict = DEFAULT, **how) -> DataFrame:
+    """The KEPT best of each question's candidates by the model's score of their features; adds score, demoted and place."""
+    df = featured(candidates, keys, item, keep, **how)
+    z = reduce(lambda a, b: a + b, [weight * F.col(f"f_{name}") for name, weight in model["weights"].items()], F.lit(model["intercept"]))
+    df = df.withColumn("score", F.round(F.when(F.col("demoted"), retrieval.DEMOTED).otherwise(1.0) / (1.0 + F.exp(-z)), 4))
     # near ties by four digits go to the more reliable source
-    return _first(df, keys, [F.desc("score"), F.desc("stated"), F.col(item)], KEPT)
+    return _first(df.drop(*[f"f_{name}" for name in retrieval.RANKER]), keys, [F.desc("score"), F.desc("stated"), F.col(item)], KEPT)
 
 
 def relevant(x: Column) -> Column:
@@ -232,12 +242,18 @@ def _gathered(df: DataFrame, keys: list[str], name: str, fields: dict[str, Colum
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("place"), *[c.alias(n) for n, c in fields.items()]))).alias(name))
 
 
-def dossiers(questions: DataFrame, keys: list[str], corpus: Corpus, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
-    """One row a question with its dossier. questions: keys, mode (ask, fact_check or research) and the columns of questions.expand;
-    keys are unique. `keep` may write a table that several later steps read.
+@dataclass(frozen=True)
+class Pools:
+    """questions as written, and their candidates: articles and events with the questions' columns; `leading` has each first token."""
 
-    Questions without tokens have no candidates, and so no evidence; null titles and summaries are empty; ties go by id.
-    """
+    questions: DataFrame
+    articles: DataFrame
+    events: DataFrame
+    leading: DataFrame
+
+
+def pools(questions: DataFrame, keys: list[str], corpus: Corpus, keep: Callable[[DataFrame, str], DataFrame]) -> Pools:
+    """The lanes' candidates of every question."""
     q = keep(questions, "questions")
     corpus = replace(corpus, events=keep(corpus.events, "stories"), named=keep(corpus.named, "named"), members=keep(corpus.members, "members"))
     needles = q.select(F.explode("tokens").alias("token")).distinct()
@@ -278,11 +294,28 @@ def dossiers(questions: DataFrame, keys: list[str], corpus: Corpus, keep: Callab
         every = reduce(DataFrame.union, rows).groupBy(*keys, item).agg(F.min(F.struct("lane", "similarity", "channel")).alias("x"))
         return every.select(*keys, item, "x.similarity", "x.channel").join(q, keys)
 
-    # articles and events that pass the gate, best first
-    pool = pooled("article_id", [(article_lane, LEXICAL, "lexical"), (graph_articles, GRAPH, "graph")]).join(corpus.articles, "article_id")
-    pool = pool.withColumn("category", F.lit("")).withColumn("status", F.lit("")).withColumn("source_count", F.lit(1)).withColumn("article_count", F.lit(1))
+    arts = pooled("article_id", [(article_lane, LEXICAL, "lexical"), (graph_articles, GRAPH, "graph")]).join(corpus.articles, "article_id")
+    arts = arts.withColumn("category", F.lit("")).withColumn("status", F.lit("")).withColumn("source_count", F.lit(1)).withColumn("article_count", F.lit(1))
+    evs = pooled("event_id", [(event_lane, LEXICAL, "lexical"), (graph_events, GRAPH, "graph"), (sisters, FAMILY, "family")]).join(corpus.events, "event_id")
+    return Pools(q, arts, evs, leading)
+
+
+def article_features() -> dict:
+    """How rerank and featured read articles."""
     opening = F.concat_ws(" ", _text("title", "summary"), F.substring(F.coalesce("content", F.lit("")), 1, 400))
-    found = rerank(pool, keys, "article_id", keep, corpus=opening, dated="published_at", lasting="published_at", source=stated, reliability=F.coalesce("reliability", F.lit(0.82)), as_of=corpus.as_of)
+    return {"corpus": opening, "dated": "published_at", "lasting": "published_at", "source": F.coalesce("reliability", F.lit(0.5)), "reliability": F.coalesce("reliability", F.lit(0.82))}
+
+
+def dossiers(questions: DataFrame, keys: list[str], corpus: Corpus, keep: Callable[[DataFrame, str], DataFrame], model: dict = DEFAULT) -> DataFrame:
+    """One row a question with its dossier. questions: keys, mode (ask, fact_check or research) and the columns of questions.expand;
+    keys are unique. `keep` writes a table that several later steps read; model: what ranks the candidates.
+
+    Questions without tokens have no candidates, and so no evidence; null titles and summaries are empty; ties go by id.
+    """
+    found_in = pools(questions, keys, corpus, keep)
+    q, leading = found_in.questions, found_in.leading
+    # articles and events that pass the gate, best first
+    found = rerank(found_in.articles, keys, "article_id", keep, model, **article_features(), as_of=corpus.as_of)
     said = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("outlet", F.lit("")), F.substring(F.coalesce("summary", F.lit("")), 1, 300))
     plain = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     articles = _gathered(found.withColumn("said", said), keys, "articles", {
@@ -290,8 +323,7 @@ def dossiers(questions: DataFrame, keys: list[str], corpus: Corpus, keep: Callab
         "reliability": F.col("reliability"), "outlet": F.lower(F.trim(F.coalesce("outlet", F.lit("")))), "wire": F.expr(wire_sql(Spark(), "said", V.FIXTURE_WIRES)), "words": clusters._words(_text("title", "summary")),
         "level": F.expr(hierarchy_sql(Spark(), "coalesce(outlet, '')", "coalesce(kind, '')", "''")),
     })
-    pool = pooled("event_id", [(event_lane, LEXICAL, "lexical"), (graph_events, GRAPH, "graph"), (sisters, FAMILY, "family")]).join(corpus.events, "event_id")
-    ranked = keep(rerank(pool, keys, "event_id", keep, corpus=_text("title", "summary"), dated="first_reported_at", lasting="last_updated_at", source=F.when(F.col("source_count") >= 2, 0.9).otherwise(0.6), reliability=F.lit(0.82), as_of=corpus.as_of), "events")
+    ranked = keep(rerank(found_in.events, keys, "event_id", keep, model, corpus=_text("title", "summary"), dated="first_reported_at", lasting="last_updated_at", source=F.when(F.col("source_count") >= 2, 0.9).otherwise(0.6), reliability=F.lit(0.82), as_of=corpus.as_of), "events")
     events = _gathered(ranked, keys, "events", {"event_id": F.col("event_id"), "title": plain("title"), "summary": plain("summary"), "event_types": F.col("event_types"), "status": F.col("status"), "score": F.col("score")})
 
     # claims of the events found, or that hold the first token

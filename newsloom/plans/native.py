@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import vocabulary as V
 from newsloom.functions.dialect import Duck, Spark
-from newsloom.operators import asking, clusters, intelligence, questions, reports, retrieval, verification
+from newsloom.operators import asking, clusters, intelligence, questions, reports, retrieval, training, verification
 from newsloom.operators.text import dedupe_articles
 from newsloom.plans import asking_sql, reports_sql, verification_sql
 from newsloom.sources.adapters import AS_OF, first_label, with_tables
@@ -155,8 +155,21 @@ def event_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.assemble(news, Scratch(spark, "reports").keep, timeline, reports_sql.STAGE_WORDS, V.FIXTURE_FRAMES, V.FIXTURE_WIRES)
 
 
+def ranker_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranker fitted on the article candidates of all user turns, its stored version read back: weights and metrics beside the default's."""
+    scratch = Scratch(spark, "training")
+    found, news = _turns(spark, sf_dir), news_tables(spark, sf_dir)
+    keys = ["conv_id", "turn"]
+    pool = asking.pools(found, keys, news, scratch.keep).articles
+    features = asking.featured(pool, keys, "article_id", scratch.keep, **asking.article_features(), as_of=news.as_of)
+    store = training.ModelStore(spark, f"{scratch.root}/models")
+    out = training.train(scratch.keep(training.labelled(features), "rows"), store)
+    stored = store.read()
+    return out.withColumn("stored", F.create_map(*[F.lit(y) for n, w in {**stored["weights"], "intercept": stored["intercept"]}.items() for y in (n, float(w))])[F.col("name")])
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (ingest_stream_dedupe, train_logreg, independent_clusters, expand_questions, ask_turns, claim_verifications, event_reports, online_clusters, cluster_events)}
+    return {f.__name__: f for f in (ingest_stream_dedupe, train_logreg, independent_clusters, expand_questions, ask_turns, claim_verifications, event_reports, ranker_training, online_clusters, cluster_events)}
 
 
 def oracle_sql() -> dict[str, str]:
