@@ -42,16 +42,16 @@ def _anchors(h: str, m: str, k: int, s: int) -> Column:
 def add_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with `name`: for each scale of SCALES the hashes, ascending, and the places of a text's anchors; a hash comes once for each
     place. A scale that a text does not have is empty; one that it has without an anchor holds the whole text's hash. Empty texts have none."""
-    n, n_words = F.coalesce(F.length(text), F.lit(0)), F.size(words(F.col(text)))
-    df = df.withColumn(f"{name}_n", n_words)
+    n = F.coalesce(F.length(text), F.lit(0))
+    df = df.withColumn(f"{name}_ws", words(F.col(text)))  # split once: it is what costs most
     parts = []
     for scale, k, s, low, high in SCALES:
         h, m = f"{name}_{scale}h", f"{name}_{scale}m"
         has = (n > low) & (n <= high)
         if scale == WORDS:
-            has, symbols = has & (F.col(f"{name}_n") >= k), words(F.col(text))
+            has, symbols = has & (F.size(f"{name}_ws") >= k), F.col(f"{name}_ws")
         else:
-            has = has | ((n > high) & (F.col(f"{name}_n") < FEW)) if scale == "c" else has
+            has = has | ((n > high) & (F.size(f"{name}_ws") < FEW)) if scale == "c" else has
             symbols = F.split(F.coalesce(F.col(text), F.lit("")), "")
         hashes = F.transform(symbols, lambda x: F.xxhash64(x))
         df = df.withColumn(h, F.when(has, hashes).otherwise(F.array().cast("array<long>")))
@@ -65,7 +65,7 @@ def add_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
         df = df.withColumn(f"{name}_{scale}", F.when(F.size(f"{name}_{scale}") > 0, F.col(f"{name}_{scale}")).otherwise(whole)).drop(h, m)
         x = F.col(f"{name}_{scale}")
         parts.append(F.struct(F.transform(x, lambda y: y["h"]).alias("h"), F.transform(x, lambda y: y["p"]).alias("p")).alias(scale))
-    return df.withColumn(name, F.struct(*parts)).drop(f"{name}_n", *[f"{name}_{x[0]}" for x in SCALES])
+    return df.withColumn(name, F.struct(*parts)).drop(f"{name}_ws", *[f"{name}_{x[0]}" for x in SCALES])
 
 
 def _numbered(name: str, side: int) -> Column:
