@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from newsloom.functions import vocabulary as V
-from newsloom.functions.dialect import Spark
+from newsloom.functions.dialect import Duck, Spark
 from newsloom.sources.adapters import first_label, with_tables
 
 #: Query parameters that only track (fixed values), besides utm_*.
@@ -135,23 +135,21 @@ def headline_jaccard(d: Spark) -> str:
         SELECT article_id, {d.size(ws('title'))} AS a, {d.size(ws('prev'))} AS b, {both} AS c FROM (SELECT article_id, title, lag(title) OVER (PARTITION BY source_id ORDER BY published_at, article_id) AS prev FROM articles) x WHERE prev IS NOT NULL) y""")
 
 
-def syndication_pairs(d: Spark) -> str:
-    """Articles that depend on others: those of one wire service or outlet by membership of its first article, and pairs of the first articles of word
-    sets of a similarity above 0.65 (equal sets by membership). Spark finds the pairs by a prefix filter: sets whose rarest words, as many as two that are
-    alike must share one of, meet by word. The oracle compares all."""
+def dependence(d: Spark) -> str:
+    """(article_id, wire, outlet, ws) of articles a with sources s: what they share with those that they depend on."""
     ws = d.sorted(d.distinct(d.keep(d.words(d.replace_all("lower(title || ' ' || summary)", "[^a-z0-9 \t\n\r]", ""), r"\s+"), "length(x) > 3")))
     said = "coalesce(a.title, '') || ' ' || coalesce(s.name, '') || ' ' || left(coalesce(a.summary, ''), 300)"
+    return f"SELECT a.article_id, {wire_sql(d, said, V.FIXTURE_WIRES)} AS wire, s.name AS outlet, {d.joined(ws, ' ')} AS ws FROM articles a LEFT JOIN sources s ON s.source_id = a.source_id"
+
+
+def syndication_oracle(d: Duck) -> str:
+    """Articles that depend on others: those of one wire service or outlet by membership of its first article, and pairs of the first articles of word
+    sets of a similarity above 0.65 (equal sets by membership). It compares all sets; the query is in `syndication`."""
     head = with_tables(d, ["articles", "sources"], f"""
-        , m AS (SELECT a.article_id, {wire_sql(d, said, V.FIXTURE_WIRES)} AS wire, s.name AS outlet, {d.joined(ws, ' ')} AS ws FROM articles a LEFT JOIN sources s ON s.source_id = a.source_id),
+        , m AS ({dependence(d)}),
         led AS (SELECT wire, min(article_id) AS leader FROM m WHERE wire IS NOT NULL GROUP BY wire), outlets AS (SELECT outlet, min(article_id) AS leader FROM m GROUP BY outlet),
         sets AS (SELECT ws, min(article_id) AS leader FROM m WHERE ws <> '' GROUP BY ws), listed AS (SELECT leader, {d.words('ws', ' ')} AS words FROM sets)""")
-    if d.name == "spark":
-        pairs = """, flat AS (SELECT leader, size(words) AS n, w FROM listed LATERAL VIEW explode(words) AS w), df AS (SELECT w, count(*) AS df FROM flat GROUP BY w),
-        ranked AS (SELECT f.leader, f.n, f.w, row_number() OVER (PARTITION BY f.leader ORDER BY df.df, f.w) AS place FROM flat f JOIN df ON df.w = f.w), prefix AS (SELECT leader, n, w FROM ranked WHERE place <= n - ceil(0.65 * n) + 1),
-        met AS (SELECT DISTINCT a.leader AS x, b.leader AS y FROM prefix a JOIN prefix b ON a.w = b.w AND a.leader < b.leader AND least(a.n, b.n) > 0.65 * greatest(a.n, b.n)),
-        alike AS (SELECT x, y FROM met JOIN listed a ON a.leader = x JOIN listed b ON b.leader = y WHERE size(array_intersect(a.words, b.words)) > 0.65 * (size(a.words) + size(b.words) - size(array_intersect(a.words, b.words))))"""
-    else:
-        pairs = ", alike AS (SELECT a.leader AS x, b.leader AS y FROM listed a JOIN listed b ON a.leader < b.leader WHERE len(list_intersect(a.words, b.words)) > 0.65 * (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))))"
+    pairs = ", alike AS (SELECT a.leader AS x, b.leader AS y FROM listed a JOIN listed b ON a.leader < b.leader WHERE len(list_intersect(a.words, b.words)) > 0.65 * (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))))"
     return head + pairs + """
         SELECT l.leader, m.article_id, 'same wire service' AS reason FROM m JOIN led l ON l.wire = m.wire WHERE m.article_id <> l.leader
         UNION ALL SELECT o.leader, m.article_id, 'same outlet' FROM m JOIN outlets o ON o.outlet = m.outlet WHERE m.article_id <> o.leader
@@ -287,6 +285,6 @@ def query_intent(d: Spark) -> str:
 
 QUERIES = [
     clean_url, url_parts, url_guard, strip_html, page_paragraphs, page_titles, normalize_articles, content_hash, dedupe_articles, claim_hash, token_stats, stem_tokens, capitalized_phrases,
-    conversation_titles, trigram_title_pairs, headline_jaccard, syndication_pairs, category_histogram, infer_severity, taxonomy_labels, source_tier, temporal_intent, region_activity,
+    conversation_titles, trigram_title_pairs, headline_jaccard, category_histogram, infer_severity, taxonomy_labels, source_tier, temporal_intent, region_activity,
     tracking_params, wire_service, source_hierarchy, query_intent,
 ]

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import vocabulary as V
 from newsloom.functions.dialect import Duck, Spark
-from newsloom.operators import asking, clusters, intelligence, questions, reports, retrieval, training, verification
-from newsloom.operators.text import dedupe_articles
+from newsloom.operators import asking, clusters, intelligence, questions, reports, retrieval, syndication, training, verification
+from newsloom.operators.text import dedupe_articles, dependence, syndication_oracle
 from newsloom.plans import asking_sql, reports_sql, verification_sql
 from newsloom.sources.adapters import AS_OF, first_label, with_tables
 from newsloom.sources.tables import Scratch
@@ -57,6 +57,13 @@ def independent_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.independent_clusters(spark.sql(pool), V.FIXTURE_WIRES)
 
 
+def syndication_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles that depend on others, and on which."""
+    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("documents")
+    articles = spark.sql(with_tables(Spark(), ["articles", "sources"], dependence(Spark())))
+    return syndication.syndication_pairs(articles, Scratch(spark, "syndication").keep)
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the user turns of all conversations ask; the news signals and some of the fixture's words."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
@@ -169,9 +176,9 @@ def ranker_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (ingest_stream_dedupe, train_logreg, independent_clusters, expand_questions, ask_turns, claim_verifications, event_reports, ranker_training, online_clusters, cluster_events)}
+    return {f.__name__: f for f in (ingest_stream_dedupe, train_logreg, independent_clusters, syndication_pairs, expand_questions, ask_turns, claim_verifications, event_reports, ranker_training, online_clusters, cluster_events)}
 
 
 def oracle_sql() -> dict[str, str]:
     dedupe = dedupe_articles(Duck()).replace(", count(*) AS copies", "")
-    return asking_sql.oracle_sql() | verification_sql.oracle_sql() | reports_sql.oracle_sql() | {"ingest_stream_dedupe": dedupe}
+    return asking_sql.oracle_sql() | verification_sql.oracle_sql() | reports_sql.oracle_sql() | {"ingest_stream_dedupe": dedupe, "syndication_pairs": syndication_oracle(Duck())}
