@@ -3,8 +3,9 @@
 Whether an article joins an event depends on what became of all before it. But an event is only ever joined by articles that its
 vector or one of its members' titles is near to, so articles fall into blocks that never look at each other: the components of
 that nearness. A micro-batch is cut into slices of a bounded number of articles, by time. Of each slice, the rows of the state and
-its own articles are compared with it where they lie, a task sends home a spanning forest and no pairs, and each block is then folded in
-time order by its own task together with the events that it may join.
+its own articles are compared with it where they lie, a task sends home a spanning forest, and the blocks, many small ones in a task, are then folded in time order
+together with the events that it may join. Titles near each other were found in the comparison and come with their rows, so
+the fold, which order makes serial, only looks them up.
 
 The state is a table of the events within the horizon, a version for each slice. A slice that is run again replaces its version,
 so a stream that stops resumes from its checkpoint with equal results.
@@ -12,6 +13,7 @@ so a stream that stops resumes from its checkpoint with equal results.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -77,70 +79,87 @@ class Forest:
 
 @dataclass
 class Slice:
-    """The articles of a slice as every task holds them: vectors by row and the titles' trigrams."""
+    """The articles of a slice as every task holds them: vectors by row, and the sets of the titles' trigrams, each once under the number of
+    its first article. Trigrams that many titles hold are rows of a matrix, the others lists."""
 
-    ids: list[int]
     vectors: np.ndarray
     has: np.ndarray
+    rep: np.ndarray
+    first: np.ndarray
     sizes: np.ndarray
     index: dict[str, np.ndarray]
+    often: dict[str, int]
+    dense: np.ndarray
 
     @staticmethod
-    def of(rows: list) -> Slice:
-        units = [_unit(r.embedding) for r in rows]
+    def of(titles: list, embeddings: list) -> Slice:
+        units = [_unit(v) for v in embeddings]
         d = max((len(u) for u in units if u is not None), default=1)
-        vectors = np.zeros((len(rows), d))
+        vectors = np.zeros((len(units), d))
         has = np.array([u is not None and len(u) == d for u in units], bool)
         for i, u in enumerate(units):
             if has[i]:
                 vectors[i] = u
+        known: dict[frozenset, int] = {}
+        rep = np.array([known.setdefault(frozenset(trigrams(t)), i) for i, t in enumerate(titles)], np.int32)
         found: dict[str, list[int]] = {}
-        sizes = np.zeros(len(rows), np.int64)
-        for i, r in enumerate(rows):
-            grams = trigrams(r.title)
-            sizes[i] = len(grams)
+        for u, grams in enumerate(known):
             for g in grams:
-                found.setdefault(g, []).append(i)
-        return Slice([r.article_id for r in rows], vectors, has, sizes, {g: np.array(x) for g, x in found.items()})
-
-    def near(self, titles: list, vectors: list) -> list[np.ndarray]:
-        """For each title and vector, the articles that could share an event with it."""
+                found.setdefault(g, []).append(u)
+        common = [g for g, x in found.items() if len(x) * 50 > len(known)]
+        dense = np.zeros((len(common), len(known)), np.uint8)
+        for k, g in enumerate(common):
+            dense[k, found[g]] = 1
+        return Slice(vectors, has, rep, np.array(list(known.values()), np.int32), np.array([len(g) for g in known], np.int64), {g: np.array(x) for g, x in found.items()}, {g: k for k, g in enumerate(common)}, dense)
+
+    def titled(self, grams: set[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The sets that a title of these trigrams could match, and how many trigrams each shares. Of n trigrams so many must be shared that the
+        commonest need not be counted to find the sets, only for the few found."""
+        n, least = len(grams), LEAST_TITLE - 1e-6
+        skipped = sorted((g for g in grams if g in self.often), key=lambda g: -len(self.index[g]))[: max(0, int(np.ceil(least * n)) - 1)]
+        lists = [self.index[g] for g in grams.difference(skipped) if g in self.index]
+        if not lists:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        shared = np.bincount(np.concatenate(lists), minlength=len(self.first))
+        at = np.flatnonzero((shared > 0) & ((shared + len(skipped)) * (1 + least) >= least * (n + self.sizes)))
+        shared = shared[at] + self.dense[np.ix_([self.often[g] for g in skipped], at)].sum(axis=0, dtype=np.int64)
+        fits = shared >= least * (n + self.sizes[at] - shared)
+        return at[fits], shared[fits]
+
+    def close(self, vectors: list) -> list[np.ndarray]:
+        """For each vector, the articles whose vectors are near."""
         units = [_unit(v) for v in vectors]
-        matrix = np.zeros((len(units), self.vectors.shape[1]))
-        for i, u in enumerate(units):
-            if u is not None and len(u) == matrix.shape[1]:
-                matrix[i] = u
-        close = (matrix @ self.vectors.T >= LEAST_VECTOR - 1e-6) & self.has
-        out = []
-        for title, row in zip(titles, close, strict=True):
-            grams = trigrams(title)
-            lists = [self.index[g] for g in grams if g in self.index]
-            if lists:
-                shared = np.bincount(np.concatenate(lists), minlength=len(self.ids))
-                row = row | (shared >= (LEAST_TITLE - 1e-6) * (len(grams) + self.sizes - shared)) & (shared > 0)
-            out.append(np.flatnonzero(row))
+        own = [i for i, u in enumerate(units) if u is not None and len(u) == self.vectors.shape[1]]
+        out = [np.zeros(0, np.int64)] * len(units)
+        if own:
+            for i, row in zip(own, (np.stack([units[i] for i in own]) @ self.vectors.T >= LEAST_VECTOR - 1e-6) & self.has, strict=True):
+                out[i] = np.flatnonzero(row)
         return out
 
 
-def _blocks(items: DataFrame, known, n: int) -> tuple[dict[int, int], DataFrame]:
-    """(block of each article by its number, (event_id, block) of the events that a block may join). items: (event_id, number, title,
-    embedding), the state's events with a null number and the slice's articles with a null event_id."""
+def _blocks(items: DataFrame, known, n: int) -> tuple[list[int], DataFrame]:
+    """(the block of each article by number; of events that a block may join, with the number of one of its articles, and of articles, whose event_id is
+    null, the columns NEARBY). The table is persisted. items: (event_id, number, title, embedding), the state's events with a null number and the
+    slice's articles with a null event_id."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, forest, met = known.value, Forest(n), []
+        own, forest = known.value, Forest(n)
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
-                part = b.slice(at, ROWS).to_pydict()
-                near = own.near(part["title"], part["embedding"])
-                for event, number, found in zip(part["event_id"], part["number"], near, strict=True):
-                    first = number if number is not None else int(found[0]) if len(found) else None
-                    for j in found.tolist():
+                part, rows = b.slice(at, ROWS).to_pydict(), []
+                for event, number, title, close in zip(part["event_id"], part["number"], part["title"], own.close(part["embedding"]), strict=True):
+                    rep = None if number is None else int(own.rep[number])
+                    grams = trigrams(title) if rep == number else set()  # an article with the title of an earlier one shares its list
+                    sets, shared = own.titled(grams)
+                    found = own.first[sets]
+                    joined = [*found.tolist(), *close.tolist()]
+                    first = number if number is not None else joined[0] if joined else None
+                    for j in joined + ([] if rep is None else [rep]):
                         forest.join(first, j)
-                    if number is None and first is not None:
-                        met.append((event, first))
-        edges = [(i, forest.root(i)) for i in range(n) if forest.up[i] != i]
-        yield _edges([None] * len(edges), [i for i, _ in edges], [r for _, r in edges])
-        yield _edges([e for e, _ in met], [i for _, i in met], [None] * len(met))
+                    if first is not None:
+                        rows.append((event, first, None, rep, len(grams), found.astype(np.int32).tobytes(), shared.astype(np.int32).tobytes()))
+                yield _found(rows)
+        yield _found([(None, i, forest.root(i), None, None, None, None) for i in range(n) if forest.up[i] != i])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest(n)
@@ -148,53 +167,93 @@ def _blocks(items: DataFrame, known, n: int) -> tuple[dict[int, int], DataFrame]
             for i, j in zip(b.column("number").to_pylist(), b.column("root").to_pylist(), strict=True):
                 forest.join(i, j)
         edges = [(i, forest.root(i)) for i in range(n) if forest.up[i] != i]
-        yield _edges([None] * len(edges), [i for i, _ in edges], [r for _, r in edges])
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in edges], pa.int32()), pa.array([r for _, r in edges], pa.int32())], names=["number", "root"])
 
-    schema = "event_id long, number int, root int"
-    found = items.mapInArrow(compare, schema).persist()
-    edges = found.where("root IS NOT NULL")
+    found = items.mapInArrow(compare, f"event_id long, number int, root int, {NEARBY}").persist()
+    edges = found.where("root IS NOT NULL").select("number", "root")
     # a forest a partition, then up a tree: no task reads more than the root of the partitions' number of forests
     parts = max(1, int(edges.rdd.getNumPartitions() ** 0.5))
-    edges = edges.repartition(parts).mapInArrow(merge, schema).coalesce(1).mapInArrow(merge, schema)
+    edges = edges.repartition(parts).mapInArrow(merge, "number int, root int").coalesce(1).mapInArrow(merge, "number int, root int")
     forest = Forest(n)
     for r in edges.collect():
         forest.join(r.number, r.root)
-    blocks = {i: forest.root(i) for i in range(n)}
-    return blocks, found.where("event_id IS NOT NULL").select("event_id", "number")
+    return [forest.root(i) for i in range(n)], found
+
+
+def _bins(blocks: list[int], most: int) -> dict[int, int]:
+    """A bin for each block, the largest first into the emptiest: a task's fixed cost is for a bin, not for each of many small blocks."""
+    load = [(0, b) for b in range(most)]
+    out = {}
+    for block, n in sorted(Counter(blocks).items(), key=lambda x: (-x[1], x[0])):
+        held, b = heapq.heappop(load)
+        out[block] = b
+        heapq.heappush(load, (held + n, b))
+    return out
+
+
+#: What the title of an article or event is near to: the article that stands for its title (null for events), its trigrams, the articles that stand for
+#: the titles near it and the trigrams shared with each, as 4-byte numbers.
+NEARBY = "rep int, grams int, near binary, shared binary"
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [("event_id", pa.int64()), ("number", pa.int32()), ("root", pa.int32()), ("rep", pa.int32()), ("grams", pa.int32()), ("near", pa.binary()), ("shared", pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(kinds)], names=[name for name, _ in kinds])
+
+
+class Titles:
+    """Titles of a block by number, events' titles from 0 and then those that articles stand for, each with the titles near it."""
 
+    def __init__(self, events: list[tuple], articles: list[tuple]):
+        """events: (grams, near, shared) of the state's events in their order; articles: (number, grams, near, shared) of those that stand for titles."""
+        self.base, numbers = len(events), np.array([a[0] for a in articles], np.int64)
+        self.of = {int(x): self.base + i for i, x in enumerate(numbers)}
+        sizes = np.array([e[0] for e in events] + [a[1] for a in articles], np.int64)
+        lists = [np.frombuffer(x[-2], np.int32) for x in [*events, *articles]]
+        source = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        none = [np.zeros(0, np.int32)]
+        place = np.argsort(numbers)
+        target = place[np.searchsorted(numbers, np.concatenate(lists + none), sorter=place)] if len(numbers) else np.zeros(0, np.int64)
+        shared = np.concatenate([np.frombuffer(x[-1], np.int32) for x in [*events, *articles]] + none)
+        sims = np.round(shared / np.maximum(1, sizes[source] + sizes[self.base + target] - shared), 9)
+        kept = np.flatnonzero(sims >= LEAST_TITLE)
+        kept = kept[np.lexsort((-sims[kept], target[kept]))]
+        self.near, self.sims = source[kept], sims[kept]
+        self.start = np.searchsorted(target[kept], np.arange(len(numbers) + 1))
 
-def _edges(events: list, numbers: list, roots: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(events, pa.int64()), pa.array(numbers, pa.int32()), pa.array(roots, pa.int32())], names=["event_id", "number", "root"])
+    def around(self, title: int) -> Iterator[tuple[int, float]]:
+        """The titles near one that an article stands for, the most similar first."""
+        at, to = self.start[title - self.base], self.start[title - self.base + 1]
+        return zip(self.near[at:to].tolist(), self.sims[at:to].tolist(), strict=True)
 
 
 class Fold:
-    """The events of a block, to which articles are added in time order."""
+    """The events of some blocks, to which articles are added in time order. Vectors meet within a block and a length."""
 
-    def __init__(self):
+    def __init__(self, titles: Titles):
         self.events: list[dict] = []
-        self.by_gram: dict[str, set[int]] = {}
-        self.vectors = np.zeros((16, 0))
+        self.titles = titles
+        self.by_title: dict[int, set[int]] = {}
+        self.vectors: dict[tuple, tuple[np.ndarray, list[int]]] = {}
 
     def add(self, event: dict) -> int:
-        k = len(self.events)
-        self.events.append(event | {"grams": set()})
-        unit = event["unit"]
-        if unit is not None and self.vectors.shape[1] == 0:
-            self.vectors = np.zeros((16, len(unit)))
-        if k >= len(self.vectors):
-            self.vectors = np.vstack([self.vectors, np.zeros_like(self.vectors)])
-        if unit is not None and len(unit) == self.vectors.shape[1]:
-            self.vectors[k] = unit
-        self.name(k, event["title"])
+        k, unit = len(self.events), event["unit"]
+        self.events.append(event)
+        if unit is not None:
+            vectors, owners = self.vectors.get(at := (event["block"], len(unit)), (np.zeros((4, len(unit))), []))
+            if len(owners) >= len(vectors):
+                vectors = np.vstack([vectors, np.zeros_like(vectors)])
+            vectors[len(owners)] = unit
+            owners.append(k)
+            self.vectors[at] = vectors, owners
+        self.by_title.setdefault(event["number"], set()).add(k)
         return k
 
-    def name(self, k: int, title: str | None) -> None:
+    def name(self, k: int, title: str | None, number: int) -> None:
         event = self.events[k]
-        for g in event["grams"]:
-            self.by_gram[g].discard(k)
-        event["title"], event["grams"] = title, trigrams(title)
-        for g in event["grams"]:
-            self.by_gram.setdefault(g, set()).add(k)
+        self.by_title[event["number"]].discard(k)
+        event["title"], event["number"] = title, number
+        self.by_title.setdefault(number, set()).add(k)
 
     def match(self, a: dict, now: int) -> tuple[int, float] | None:
         """The first of the nearest live events, by vector and then by title, that the article fits; with the composite score."""
@@ -205,21 +264,21 @@ class Fold:
             shared = any(t != "OTHER" and t in e["event_types"] for t in a["event_types"])
             return round(sim * NEAR + (TYPES if shared else 0.0) + (CATEGORY if e["category"] == a["category"] else 0.0), 9)
 
-        if a["unit"] is not None and len(a["unit"]) == self.vectors.shape[1]:
-            sims = np.round(self.vectors[: len(self.events)] @ a["unit"], 9)
-            near = [(-float(sims[k]), self.events[k]["event_id"], k) for k in np.flatnonzero(sims >= LEAST_VECTOR - 1e-6).tolist() if live(k) and self.events[k]["unit"] is not None]
+        if a["unit"] is not None and (held := self.vectors.get((a["block"], len(a["unit"])))):
+            vectors, owners = held
+            sims = np.round(vectors[: len(owners)] @ a["unit"], 9)
+            near = [(-float(sims[i]), self.events[k]["event_id"], k) for i in np.flatnonzero(sims >= LEAST_VECTOR - 1e-6).tolist() if live(k := owners[i])]
             for minus, _, k in sorted(near)[:BEST]:
                 score = composite(k, -minus)
                 if score >= BY_VECTOR or -minus >= ALONE_VECTOR:
                     return k, score
-        grams = trigrams(a["title"])
-        shared = Counter(k for g in grams for k in self.by_gram.get(g, ()))
-        titled = []
-        for k, n in shared.items():
-            sim = round(n / (len(grams) + len(self.events[k]["grams"]) - n), 9)
-            if sim >= LEAST_TITLE and live(k):
-                titled.append((-sim, self.events[k]["event_id"], k))
-        for minus, _, k in sorted(titled)[:BEST]:
+        titled: list[tuple] = []
+        for title, sim in self.titles.around(a["number"]):
+            if len(titled) >= BEST and -sim > titled[BEST - 1][0]:
+                break
+            found = [(-sim, self.events[k]["event_id"], k) for k in self.by_title.get(title, ()) if live(k)]
+            titled = sorted(titled + found)[:BEST] if found else titled
+        for minus, _, k in titled:
             score = composite(k, -minus)
             if score >= BY_TITLE or -minus >= ALONE_TITLE:
                 return k, score
@@ -229,15 +288,16 @@ class Fold:
         """Adds an article; (article_id, event_id, relevance, is_new, new_headline, source)."""
         found = self.match(a, now)
         if found is None:
-            self.add({"event_id": a["article_id"], "title": a["title"], "category": a["category"], "event_types": list(a["event_types"]), "embedding": a["embedding"], "unit": a["unit"], "first_at": a["at"], "last_at": a["at"]})
+            self.add({"block": a["block"], "event_id": a["article_id"], "title": a["title"], "number": a["number"], "category": a["category"], "event_types": list(a["event_types"]), "embedding": a["embedding"], "unit": a["unit"], "first_at": a["at"], "last_at": a["at"], "changed": True})
             return a["article_id"], a["article_id"], 1.0, True, False, a["source"]
         k, score = found
         event = self.events[k]
+        event["changed"] = True
         event["event_types"] = sorted(set(event["event_types"]) | set(a["event_types"]))
         event["last_at"] = max(event["last_at"], now)
         renamed = score >= HEADLINE and self.may_rename(event, a)
         if renamed:
-            self.name(k, a["title"])
+            self.name(k, a["title"], a["number"])
         return a["article_id"], event["event_id"], score, False, renamed, a["source"]
 
     @staticmethod
@@ -254,15 +314,19 @@ def _none(x):
 
 
 def fold_block(rows: pd.DataFrame, watermark: int) -> pd.DataFrame:
-    """A block's events (article_id null) and its articles in time order, as rows of JOINED for its articles and of STATE for its events."""
-    fold, joined = Fold(), []
-    for r in rows[rows.article_id.isna()].sort_values("event_id").itertuples():
-        fold.add({"event_id": int(r.event_id), "title": r.title, "category": r.category, "event_types": list(r.event_types), "embedding": r.embedding, "unit": _unit(r.embedding), "first_at": int(r.first_at), "last_at": int(r.last_at)})
-    for r in rows[rows.article_id.notna()].sort_values(["first_at", "article_id"]).itertuples():
+    """The events (article_id null) of blocks and their articles in time order, as rows of JOINED for its articles and of STATE for the events that
+    they founded or joined."""
+    earlier, own = rows[rows.article_id.isna()].sort_values("event_id"), rows[rows.article_id.notna()].sort_values(["first_at", "article_id"])
+    leading = own[own.rep == own.number]
+    titles = Titles(list(zip(earlier.grams, earlier.near, earlier.shared, strict=True)), list(zip(leading.number, leading.grams, leading.near, leading.shared, strict=True)))
+    fold, joined = Fold(titles), []
+    for i, r in enumerate(earlier.itertuples()):
+        fold.add({"block": r.block, "event_id": int(r.event_id), "title": r.title, "number": i, "category": r.category, "event_types": list(r.event_types), "embedding": r.embedding, "unit": _unit(r.embedding), "first_at": int(r.first_at), "last_at": int(r.last_at), "changed": False})
+    for r in own.itertuples():
         at = int(r.first_at)
-        a = {"article_id": int(r.article_id), "title": r.title, "category": r.category, "event_types": list(r.event_types), "embedding": r.embedding, "unit": _unit(r.embedding), "at": at, "source": r.source, "reliability": _none(r.reliability)}
+        a = {"block": r.block, "article_id": int(r.article_id), "title": r.title, "number": titles.of[int(r.rep)], "category": r.category, "event_types": list(r.event_types), "embedding": r.embedding, "unit": _unit(r.embedding), "at": at, "source": r.source, "reliability": _none(r.reliability)}
         joined.append(fold.take(a, max(watermark, at)))
-    states = [(None, e["event_id"], None, None, None, None, e["title"], e["category"], e["event_types"], e["embedding"], e["first_at"], e["last_at"]) for e in fold.events]
+    states = [(None, e["event_id"], None, None, None, None, e["title"], e["category"], e["event_types"], e["embedding"], e["first_at"], e["last_at"]) for e in fold.events if e["changed"]]
     return pd.DataFrame([(*j, None, None, None, None, None, None) for j in joined] + states, columns=_FOLDED)
 
 
@@ -315,32 +379,37 @@ def cluster_slice(articles: DataFrame, store: EventStore, name: str) -> None:
     """Joins the articles of a slice, at most SLICE rows, to the store. Late articles, older than the horizon when they come, are
     counted; they can join what is live but found events that nothing can join."""
     spark = store.spark
-    rows = articles.select(*[f.split(" ")[0] for f in ARTICLES.split(", ")]).withColumn("at", F.unix_timestamp("published_at")).collect()
-    rows.sort(key=lambda r: (r.at, r.article_id))
+    articles = articles.select(*[f.split(" ")[0] for f in ARTICLES.split(", ") if not f.startswith("summary")]).withColumn("at", F.unix_timestamp("published_at"))
+    rows = articles.select("article_id", "title", "embedding", "at").toArrow().sort_by([("at", "ascending"), ("article_id", "ascending")])
+    times = rows["at"].to_pylist()
     state, watermark = store.before(name)
-    state = state.where(F.col("last_at") > max(watermark, rows[0].at) - HORIZON)
-    known = spark.sparkContext.broadcast(Slice.of(rows))
-    numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"number int, {ARTICLES}, at long").repartition(spark.sparkContext.defaultParallelism)
+    state = state.where(F.col("last_at") > max(watermark, times[0]) - HORIZON)
+    known = spark.sparkContext.broadcast(Slice.of(rows["title"].to_pylist(), rows["embedding"].to_pylist()))
+    order = spark.createDataFrame(pa.table({"article_id": rows["article_id"], "number": pa.array(range(len(times)), pa.int32())}))
+    numbered = articles.join(F.broadcast(order), "article_id").repartition(spark.sparkContext.defaultParallelism)
     items = state.select("event_id", F.lit(None).cast("int").alias("number"), "title", "embedding").union(numbered.select(F.lit(None).cast("long"), "number", "title", "embedding"))
-    blocks, met = _blocks(items, known, len(rows))
-    block_of = spark.createDataFrame(list(blocks.items()), "number int, block int")
-    events = met.join(F.broadcast(block_of), "number").select("event_id", "block").join(state, "event_id")
+    blocks, found = _blocks(items, known, len(times))
+    bins = _bins(blocks, 2 * spark.sparkContext.defaultParallelism)
+    block_of = spark.createDataFrame(pa.table({"number": pa.array(range(len(blocks)), pa.int32()), "block": pa.array(blocks, pa.int32()), "bin": pa.array([bins[b] for b in blocks], pa.int32())}))
+    near = [f.split(" ")[0] for f in NEARBY.split(", ")]
+    events = found.where("event_id IS NOT NULL").join(F.broadcast(block_of), "number").select("event_id", "bin", "block", *near).join(state, "event_id")
     empty = lambda kind: F.lit(None).cast(kind)
     types = F.coalesce("event_types", F.array().cast("array<string>")).alias("event_types")
-    events = events.select("block", empty("long").alias("article_id"), "event_id", "title", "category", types, "embedding", "first_at", "last_at", empty("string").alias("source"), empty("double").alias("reliability"))
-    own = numbered.join(F.broadcast(block_of), "number").select("block", "article_id", empty("long").alias("event_id"), "title", "category", types, "embedding", F.col("at").alias("first_at"), empty("long").alias("last_at"), "source", "reliability")
-    folded = events.union(own).groupBy("block").applyInPandas(lambda pdf: fold_block(pdf, watermark), _FOLDED_SCHEMA)
+    events = events.select("bin", "block", empty("long").alias("article_id"), "event_id", "title", "category", types, "embedding", "first_at", "last_at", empty("string").alias("source"), empty("double").alias("reliability"), empty("int").alias("number"), *near)
+    own = numbered.join(F.broadcast(block_of), "number").join(found.where("event_id IS NULL AND root IS NULL").select("number", *near), "number").select("bin", "block", "article_id", empty("long").alias("event_id"), "title", "category", types, "embedding", F.col("at").alias("first_at"), empty("long").alias("last_at"), "source", "reliability", "number", *near)
+    folded = events.union(own).groupBy("bin").applyInPandas(lambda pdf: fold_block(pdf, watermark), _FOLDED_SCHEMA)
     at = f"{store.root}/folded/{name}"
     folded.write.mode("overwrite").parquet(at)
     folded = spark.read.schema(_FOLDED_SCHEMA).parquet(at)
     folded.where("article_id IS NOT NULL").select(*[f.split(" ")[0] for f in JOINED.split(", ")]).write.mode("overwrite").parquet(f"{store.root}/joined/{name}")
-    now = max(watermark, rows[-1].at)
+    now = max(watermark, times[-1])
     changed = folded.where("article_id IS NULL").select(*[f.split(" ")[0] for f in STATE.split(", ")])
     kept = state.join(changed, "event_id", "left_anti").select(changed.columns).union(changed).where(F.col("last_at") > now - HORIZON)
     kept.write.mode("overwrite").parquet(f"{store.root}/state/{name}")
-    late = sum(r.at <= watermark - HORIZON for r in rows)
-    spark.createDataFrame([(name, len(rows), late, now)], LINE).coalesce(1).write.mode("overwrite").parquet(f"{store.root}/slices/{name}")
+    late = sum(at <= watermark - HORIZON for at in times)
+    spark.createDataFrame([(name, len(times), late, now)], LINE).coalesce(1).write.mode("overwrite").parquet(f"{store.root}/slices/{name}")
     store.forget(name)
+    found.unpersist()
     known.destroy()
 
 
