@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import vocabulary as V
 from newsloom.functions.dialect import Duck, Spark
-from newsloom.operators import asking, clusters, intelligence, questions, reports, retrieval, syndication, training, verification
+from newsloom.operators import asking, clusters, intelligence, nearest, questions, reports, retrieval, syndication, training, verification
 from newsloom.operators.text import dedupe_articles, dependence, syndication_oracle
 from newsloom.plans import asking_sql, reports_sql, verification_sql
 from newsloom.sources.adapters import AS_OF, first_label, with_tables
@@ -64,6 +64,12 @@ def syndication_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syndication.syndication_pairs(articles, Scratch(spark, "syndication").keep)
 
 
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest vectors of each vector whose id is divisible by 100; its oracle is `retrieval.cosine_topk`."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest.nearest(vectors, vectors.where("vec_id % 100 = 0"), 3)
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the user turns of all conversations ask; the news signals and some of the fixture's words."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
@@ -176,7 +182,7 @@ def ranker_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (ingest_stream_dedupe, train_logreg, independent_clusters, syndication_pairs, expand_questions, ask_turns, claim_verifications, event_reports, ranker_training, online_clusters, cluster_events)}
+    return {f.__name__: f for f in (ingest_stream_dedupe, train_logreg, independent_clusters, syndication_pairs, cosine_topk, expand_questions, ask_turns, claim_verifications, event_reports, ranker_training, online_clusters, cluster_events)}
 
 
 def oracle_sql() -> dict[str, str]:
