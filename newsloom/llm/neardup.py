@@ -167,7 +167,7 @@ def scan(docs: DataFrame) -> DataFrame:
 def frequency_classes(chunks: DataFrame) -> np.ndarray:
     """A byte for each counter: 0 for what chance gives, else the logarithm of what exceeds it. chunks: (n, task, data) of all
     tasks. They are summed up a tree, 64 tasks at a time by chunk and then by chunk; the sums, COUNTERS numbers in all, come to the
-    driver."""
+    driver, which keeps them compressed and unpacks one chunk at a time: as arrays of doubles they take tens of megabytes each."""
 
     def summed(dtype: type):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +184,15 @@ def frequency_classes(chunks: DataFrame) -> np.ndarray:
     schema = "n long, task long, data binary"
     some = chunks.select("n", F.shiftright("task", 6).alias("task"), "data").repartition("n", "task").mapInArrow(summed(np.uint8), schema)
     all_ = some.select("n", F.lit(0).cast("long").alias("task"), "data").repartition("n").mapInArrow(summed(np.uint32), schema)
-    total = np.zeros(COUNTERS, np.uint32)
     step = COUNTERS // CHUNKS
-    for r in all_.collect():
-        total[r.n * step : (r.n + 1) * step] = np.frombuffer(zlib.decompress(bytes(r.data)), np.uint32)
-    mean = total.mean()
-    above = np.maximum(total - (mean + 4 * np.sqrt(mean) + 8), 0)
-    return np.where(above > 0, 1 + np.log2(np.maximum(above, 1)), 0).astype(np.uint8)
+    sums = {r.n: bytes(r.data) for r in all_.collect()}
+    unpacked = lambda n: np.frombuffer(zlib.decompress(sums[n]), np.uint32)
+    mean = sum(int(unpacked(n).sum()) for n in sums) / COUNTERS
+    classes = np.zeros(COUNTERS, np.uint8)
+    for n in sums:
+        above = np.maximum(unpacked(n) - (mean + 4 * np.sqrt(mean) + 8), 0)
+        classes[n * step : (n + 1) * step] = np.where(above > 0, 1 + np.log2(np.maximum(above, 1)), 0)
+    return classes
 
 
 def postings(docs: DataFrame, classes) -> DataFrame:
@@ -311,8 +313,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     labels = scratch.keep(both.groupBy(F.col("a").alias("sig")).agg(F.min("b").alias("b")).select("sig", F.least("sig", "b").alias("comp")), f"{name}-0")
     k = 0
     while True:
-        near = both.join(labels, both["b"] == labels["sig"]).groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, labels["sig"] == near["a"], "left").select("sig", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
+        # Both joins look up labels by sig, so one exchange serves them; a node's own label comes with its neighbours' in one grouping.
+        of_node = labels.select(F.col("sig").alias("b"), F.col("comp").alias("near"))
+        near = both.join(of_node, "b").select(F.col("a").alias("sig"), F.lit(None).cast("long").alias("old"), F.col("near").alias("comp"))
+        step = labels.select("sig", F.col("comp").alias("old"), "comp").union(near).groupBy("sig").agg(F.max("old").alias("old"), F.min("comp").alias("comp"))
         jump = labels.select(F.col("sig").alias("comp"), F.col("comp").alias("further"))
         k += 1
         new = scratch.keep(step.join(jump, "comp", "left").select("sig", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp")), f"{name}-{k}")
